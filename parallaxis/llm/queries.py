@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, licenses, mixing
+from . import bpe, chat, language, licenses, mixing, warc
 from .common import pick, table
 
 
@@ -62,6 +62,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -71,10 +75,11 @@ def queries() -> dict:
         "op1_license_scan": op1_license_scan,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_chat_format": op3_chat_format,
+        "op5_warc_normalise": op5_warc_normalise,
         "op10_language_id": op10_language_id,
         "op6_mix_sources": op6_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_chat_format": ORACLE3}
+    return {"op1_license_scan": licenses.oracle(), "op3_chat_format": ORACLE3, "op5_warc_normalise": warc.ORACLE}

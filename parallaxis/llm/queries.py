@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, licenses, mixing, warc
+from . import bpe, chat, language, licenses, mixing, neardup, warc
 from .common import pick, table
 
 
@@ -66,6 +66,10 @@ def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_chat_format": op3_chat_format,
         "op5_warc_normalise": op5_warc_normalise,
+        "op9_minhash_near_dup": op9_minhash_near_dup,
         "op10_language_id": op10_language_id,
         "op6_mix_sources": op6_mix_sources,
     }

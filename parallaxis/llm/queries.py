@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, licenses, mixing, neardup, warc
+from . import bpe, chat, covertree, curves, language, licenses, mixing, neardup, warc
 from .common import pick, table
 
 
@@ -66,6 +66,17 @@ def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = covertree.scaled_integers(table(spark, sf_dir, "embeddings"))
+    found = covertree.top_k(rows.where(F.col("id") % 50 == 0), rows, k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = curves.vectors(table(spark, sf_dir, "embeddings"))
+    return curves.search(rows, rows.where(F.col("id") % 20 == 0), k=20)
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,6 +91,8 @@ def queries() -> dict:
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_chat_format": op3_chat_format,
         "op5_warc_normalise": op5_warc_normalise,
+        "op7_cover_tree_top_k": op7_cover_tree_top_k,
+        "op8_hilbert_neighbours": op8_hilbert_neighbours,
         "op9_minhash_near_dup": op9_minhash_near_dup,
         "op10_language_id": op10_language_id,
         "op6_mix_sources": op6_mix_sources,
@@ -87,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_chat_format": ORACLE3, "op5_warc_normalise": warc.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op3_chat_format": ORACLE3, "op5_warc_normalise": warc.ORACLE, "op7_cover_tree_top_k": covertree.ORACLE}

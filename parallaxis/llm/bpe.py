@@ -13,12 +13,12 @@ Null texts count as empty: no ids, and decoding gives the empty text. Very long
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap
 import os
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -275,7 +275,7 @@ def make_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) ->
     frequent = [r["word"].encode() for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
     bpe = ByteBpe(tokenizer)
     data = build_lexicon({w: bpe.merge(w) for w in frequent})
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}"
+    name = f"lexicon-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="parallaxis-"), name)
     with open(path, "wb") as f:
         f.write(data)

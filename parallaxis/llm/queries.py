@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, curves, language, licenses, mixing, neardup, warc
+from . import bpe, chat, covertree, curves, language, licenses, mixing, neardup, toxicity, warc
 from .common import pick, table
 
 
@@ -62,6 +62,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
@@ -90,6 +95,7 @@ def queries() -> dict:
         "op1_license_scan": op1_license_scan,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_chat_format": op3_chat_format,
+        "op4_toxicity": op4_toxicity,
         "op5_warc_normalise": op5_warc_normalise,
         "op7_cover_tree_top_k": op7_cover_tree_top_k,
         "op8_hilbert_neighbours": op8_hilbert_neighbours,

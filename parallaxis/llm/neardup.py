@@ -3,13 +3,13 @@
 1. Every document's set of word shingles is hashed (64 bits); the minima under HASHES functions give BANDS band
    keys of ROWS minima each, and BITS low bits of every minimum are packed into four longs. Sets aren't kept.
 2. Documents with equal sets are one class (aggregated before the shuffle), so copies never meet as pairs.
-3. In each band bucket every class is compared with one head of the bucket; the packed bits give the
-   share of equal minima by counting bits, corrected for chance collisions; pairs whose estimate is further below
-   the threshold than SLACK standard errors go. The others are confirmed on full sets, which are made again
-   from the texts of just these classes.
-4. Where a bucket still holds different components, the pairs across them are compared too: first the best pair
-   of each class and component, then all that are left. Pairs within a component are never compared, since
-   they can't change it. So all pairs that share a bucket are either compared or connected already.
+3. In each band bucket every class is compared with HEADS heads of the bucket; the packed bits give the
+   share of equal minima by counting bits, corrected for chance collisions. The TRIED likeliest pairs of a class are confirmed on full
+   sets, which are made again from the texts of just these classes.
+4. Where a bucket still holds different components, all pairs across them are decided too, within a join: those whose
+   estimate is further below the threshold than SLACK standard errors are out, the others are compared by full sets.
+   Only links come out. Pairs within a component can't change it and are left alone. So all pairs that share a
+   bucket are either decided or connected already.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^16 = 7e-6, and less above it.
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case. A document with fewer words than a
@@ -33,7 +33,9 @@ from .graph import components
 
 HASHES, BANDS, BITS = 64, 16, 4
 ROWS = HASHES // BANDS
-SLACK = 5.0
+#: Standard errors below the threshold down to which a pair is decided on full sets, and is likely enough to be tried first.
+SLACK, LIKELY = 5.0, 1.5
+HEADS, TRIED = 3, 2
 #: Classes whose sets are asked for by a broadcast of 24 bytes each; beyond it the texts are shuffled instead.
 BROADCAST_CLASSES = 500_000
 #: Hubs are dealt to so many partitions when their pairs are confirmed.
@@ -120,11 +122,12 @@ def packed(m: np.ndarray) -> np.ndarray:
 
 
 LONGS = HASHES // 16
+MAP_LONGS = 32
 SIG = [f"s{i}" for i in range(LONGS)]
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, c (digest of the set; null if it is empty), packed signature, band keys."""
+    """doc_id, t (hash of the text), n, c (digest of the set; null if it is empty), packed signature, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,26 +142,34 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 pick_ = lambda col: pa.array([None if p < 0 else int(col[p]) for p in place], pa.int64())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0),
+                    "t": batch.column(2),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "c": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     **{SIG[j]: pick_(sig[:, j]) for j in range(LONGS)},
                     "bands": pa.array([None if p < 0 else keys[p] for p in place], pa.list_(pa.int64())),
                 })
 
-    schema = "doc_id long, n long, c binary, " + ", ".join(f"{s} long" for s in SIG) + ", bands array<long>"
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, t long, n long, c binary, " + ", ".join(f"{s} long" for s in SIG) + ", bands array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The shingles' low bits as a set of MAP_LONGS * 64. Each bit that two maps differ in is a shingle that only one set has."""
+    bits = np.zeros(64 * MAP_LONGS, dtype=bool)
+    bits[s & np.uint64(64 * MAP_LONGS - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """c and set of documents."""
+    """c, set and bitmap of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 sets = [s for t in whole.slice(at, 512).column(0) if len(s := shingles(t.as_py(), k))]
-                yield pa.RecordBatch.from_pydict({"c": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"c": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), "map": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(run, "c binary, set array<long>")
+    return docs.select("text").mapInArrow(run, "c binary, set array<long>, map array<long>")
 
 
 def equal_minima(a: str, b: str) -> Column:
@@ -174,11 +185,11 @@ def equal_minima(a: str, b: str) -> Column:
     return same
 
 
-def least_equal(percent: int) -> int:
-    """Equal low bits that a pair at the threshold has, less SLACK standard errors."""
+def least_equal(percent: int, errors: float) -> int:
+    """Equal low bits that a pair at the threshold has, less so many standard errors."""
     chance = 2.0**-BITS
     p = chance + (1 - chance) * percent / 100
-    return int(HASHES * (p - SLACK * (p * (1 - p) / HASHES) ** 0.5))
+    return int(HASHES * (p - errors * (p * (1 - p) / HASHES) ** 0.5))
 
 
 def estimate(equal: Column) -> Column:
@@ -187,10 +198,10 @@ def estimate(equal: Column) -> Column:
     return F.greatest(F.lit(0.0), (equal / float(HASHES) - chance) / (1 - chance))
 
 
-def _candidate(percent: int) -> Column:
+def _candidate(percent: int, errors: float) -> Column:
     """Of rows with structs x and y: sizes that allow the similarity, and an estimate that does."""
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return sizes & (equal_minima("x", "y") >= least_equal(percent))
+    return sizes & (equal_minima("x", "y") >= least_equal(percent, errors))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,6 +210,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The pairs get the set of b, which is in few pairs; a may be a hub, so its pairs are salted and its set is
     sent once for each salt that is in use.
     """
+    sets = sets.select("c", "set")
     one = pairs.join(sets.withColumnRenamed("set", "set_b"), pairs["b"] == sets["c"]).drop("c")
     one = one.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)))
     asked = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).alias("salt")).distinct()
@@ -216,73 +228,106 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     if ids.count() <= BROADCAST_CLASSES:
         ids = F.broadcast(ids)
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-    return written(full_sets(rows, k).groupBy("c").agg(F.first("set").alias("set")), "sets")
+    return written(full_sets(rows, k).groupBy("c").agg(F.first("set").alias("set"), F.first("map").alias("map")), "sets")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    return _marked(docs, k, percent).drop("t")
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+    """The rows of docs, one of each component. Those that go are named by doc_id and a hash of their text; their
+    names are broadcast up to BROADCAST_CLASSES of them, else the rows are shuffled. Of rows that repeat, one stays."""
+    marked = written(_marked(docs, k, percent), "marked")
+    key = lambda df: df.groupBy("doc_id", "t").agg(F.count("*").alias("times"))
+    gone = written(marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct(), "gone")
+    again = written(key(marked.where("kept")).where("times > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t")), "again")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+    names = docs.columns
+    rows = docs.withColumn("row_t", F.xxhash64("text"))
+    rows = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_t") == F.col("gone_t")), "left_anti")
+    if not again.limit(1).count():
+        return rows.select(*names)
+    repeated = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("row_t") == F.col("again_t"))
+    once = rows.join(small(again), repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(small(again), repeated, "left_anti").unionByName(once).select(*names)
+
+
+def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     rows = written(signatures(docs, k), "signatures")
     about = F.struct("n", *SIG, "bands")
     classes = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("m"), F.count("*").alias("copies"), F.first(about).alias("about"))
     classes = written(classes.select("c", "m", "copies", "about.*"), "classes")
-    member = F.struct("c", "n", *SIG).alias("y")
-    buckets = classes.select(F.explode("bands").alias("key"), member)
-    heads = written(buckets.groupBy("key").agg(F.min("y").alias("x"), F.count("*").alias("size")).where("size > 1").select(F.col("key").alias("head_key"), "x"), "heads")
-    shared = buckets.join(heads, F.col("key") == F.col("head_key"))
-    first = shared.where(F.col("x.c") != F.col("y.c")).where(_candidate(percent)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    tried = None
-    labels = None
-    for turn in range(3):
-        if turn == 0:
-            pairs = first.distinct()
-        else:
-            pairs = _across(classes, heads, labels, tried, percent, best_only=turn == 1)
-        pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
-        wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-        found = written(confirm(pairs, _sets_of(docs, classes, wanted, k), percent), "confirmed")
-        tried = found if tried is None else tried.unionByName(found)
-        linked = tried.where("linked")
-        labels = components(linked) if linked.limit(1).count() else labels
+    pairs = written(_with_heads(classes, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
+    linked = written(confirm(pairs, _sets_of(docs, classes, wanted, k), percent).where("linked").select("a", "b"), "linked")
+    labels = components(linked)
+    across = written(_across(docs, classes, labels, k, percent), "linked")
+    if across.limit(1).count():
+        labels = components(linked.unionByName(across))
     return _resolved(rows, classes, labels)
 
 
-def _across(classes: DataFrame, heads: DataFrame, labels: DataFrame | None, tried: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, may be similar and weren't tried; best_only: of those the
-    one with the most equal bits for each class and component."""
-    comp = F.col("c") if labels is None else F.coalesce("label", "c")
-    known = classes if labels is None else classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left")
-    known = known.withColumn("comp", comp)
-    buckets = known.select(F.explode("bands").alias("key"), F.struct("c", "n", *SIG, "comp").alias("y"))
-    mixed = buckets.join(heads.select("head_key"), F.col("key") == F.col("head_key"), "left_semi")
-    mixed = mixed.groupBy("key").agg(F.min("y.comp").alias("low"), F.max("y.comp").alias("high")).where("low < high").select(F.col("key").alias("mixed_key"))
-    mixed = written(mixed, "mixed")
+def _with_heads(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of each bucket's HEADS heads with its other members that are likely similar: a few for each
+    member and bucket, whatever the bucket's size."""
+    member = F.struct("c", "n", *SIG).alias("y")
+    buckets = classes.select(F.explode("bands").alias("key"), member)
+    chosen = [F.min_by("y", F.xxhash64(F.lit(i), "y.c")) for i in range(HEADS)]
+    heads = buckets.groupBy("key").agg(F.array(*chosen).alias("heads"), F.count("*").alias("size")).where("size > 1")
+    heads = written(heads.select(F.col("key").alias("head_key"), "heads"), "heads")
+    met = buckets.join(heads, F.col("key") == F.col("head_key")).select("y", F.explode("heads").alias("x"))
+    met = met.where(F.col("x.c") != F.col("y.c")).where(_candidate(percent, LIKELY))
+    # the likeliest heads of a member; at most BANDS * HEADS of them meet here
+    met = met.groupBy(F.col("y.c").alias("b")).agg(F.sort_array(F.collect_set(F.struct(equal_minima("x", "y").alias("equal"), F.col("x.c").alias("a"))), asc=False).alias("met"))
+    met = met.select("b", F.explode(F.slice("met", 1, TRIED)).alias("p")).select(F.col("p.a").alias("a"), "b")
+    return met.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"]).select("a", "b")
+
+
+def _across(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b between classes of different components that share a bucket.
+
+    A pair is decided in the first bucket that it shares. Rows of a bucket without such a partner are left out by a
+    semi-join. The others get a bitmap of their shingles, whose differing bits bound the sets' difference from below, and
+    their shingles cut to 31 bits, with how many of these collide. What the join lets through is confirmed on full
+    sets; so hardly anything but links comes out of it, whatever a bucket's size."""
+    known = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").withColumn("comp", F.coalesce("label", "c"))
+    buckets = known.select(F.explode("bands").alias("key"), F.struct("c", "n", *SIG, "comp", "bands").alias("y"))
+    mixed = buckets.groupBy("key").agg(F.min("y.comp").alias("low"), F.max("y.comp").alias("high")).where("low < high").select(F.col("key").alias("mixed_key"))
     left = written(buckets.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"), "across")
-    x = left.select(F.col("key").alias("xk"), F.col("y").alias("x"))
-    met = x.join(left, (F.col("xk") == F.col("key")) & (F.col("x.comp") < F.col("y.comp")) & _candidate(percent))
-    a, b = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
-    met = met.select(a.alias("a"), b.alias("b"), F.col("x.comp").alias("xcomp"), F.col("y.comp").alias("ycomp"), F.col("x.c").alias("xc"), F.col("y.c").alias("yc"), equal_minima("x", "y").alias("equal"))
-    done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-    met = met.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    if not best_only:
-        return met.select("a", "b").distinct()
-    best = met.groupBy("xcomp", "ycomp", "yc").agg(F.max(F.struct("equal", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
-
-
-def _resolved(rows: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    first = F.lit(None).cast("long")
+    for i in reversed(range(BANDS)):
+        first = F.when(F.get("x.bands", F.lit(i)) == F.get("y.bands", F.lit(i)), F.get("x.bands", F.lit(i))).otherwise(first)
+    met = (F.col("xk") == F.col("key")) & _candidate(percent, SLACK) & (first == F.col("key"))
+    as_x = lambda df: df.select(F.col("key").alias("xk"), F.col("y").alias("x"))
+    left = written(left.join(as_x(left), met & (F.col("x.comp") != F.col("y.comp")), "left_semi"), "across")
+    sets = _sets_of(docs, classes, left.select(F.col("y.c").alias("w")).distinct(), k)
+    bits = F.transform("set", lambda s: s.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    cut = sets.select(F.col("c").alias("sc"), "map", bits.alias("cut")).withColumn("lost", F.size("cut") - F.size(F.array_distinct("cut")))
+    full = left.join(cut, F.col("y.c") == F.col("sc")).select("key", F.struct("y.*", "map", "cut", "lost").alias("y"))
+    full = written(full, "across")
+    apart = F.lit(0)
+    for i in range(MAP_LONGS):
+        apart = apart + F.bit_count(F.get("x.map", F.lit(i)).bitwiseXOR(F.get("y.map", F.lit(i))))
+    total = F.col("x.n") + F.col("y.n")
+    # similar sets differ in (100 - percent) / (100 + percent) of their sizes at most
+    may_be = (F.col("x.comp") < F.col("y.comp")) & met & (apart.cast("long") * (100 + percent) <= total * (100 - percent))
+    inter = F.size(F.array_intersect("x.cut", "y.cut")) + F.least("x.lost", "y.lost")
+    near = full.join(as_x(full), may_be & (inter.cast("long") * (100 + percent) >= total * percent))
+    near = written(near.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), "pairs")
+    return confirm(near, sets, percent).where("linked").select("a", "b")
+
+
+def _resolved(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Component ids of all rows. Only classes with copies or links are joined; the others are their own component."""
-    if labels is None:
-        named = classes.where("copies > 1").select("c", F.col("m").alias("component_id"))
-    else:
-        known = classes.select("c", "m", "copies").join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left")
-        linked = known.where("label IS NOT NULL")
-        least = written(linked.groupBy("label").agg(F.min("m").alias("component_id")), "least")
-        linked = linked.join(least.withColumnRenamed("label", "ll"), F.col("label") == F.col("ll")).select("c", "component_id")
-        named = linked.unionByName(known.where("label IS NULL AND copies > 1").select("c", F.col("m").alias("component_id")))
+    known = classes.select("c", "m", "copies").join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left")
+    linked = known.where("label IS NOT NULL")
+    least = written(linked.groupBy("label").agg(F.min("m").alias("component_id")), "least")
+    linked = linked.join(least.withColumnRenamed("label", "ll"), F.col("label") == F.col("ll")).select("c", "component_id")
+    named = linked.unionByName(known.where("label IS NULL AND copies > 1").select("c", F.col("m").alias("component_id")))
     named = written(named.withColumnRenamed("c", "nc"), "named")
-    out = rows.select("doc_id", "n", "c").join(named, F.col("c") == F.col("nc"), "left")
+    out = rows.select("doc_id", "t", "n", "c").join(named, F.col("c") == F.col("nc"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

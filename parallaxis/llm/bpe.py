@@ -17,32 +17,40 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, resident, text_batches, written
 
 #: Words in the lexicon, most frequent first; a bound on what is collected and sent.
 LEXICON_WORDS = 40_000
 #: Longer words stay out of the lexicon.
 LEXICON_WORD_BYTES = 64
-#: A task's counts are passed on when it has seen so many words, and a worker's memo is emptied.
-COUNTED_AT_ONCE, MEMO_WORDS = 200_000, 300_000
+#: A task's counts are passed on when it has seen so many words; a worker's memos have at most so many entries.
+COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 400_000, 300_000, 500_000
 OUT_BYTES = 8 << 20
 
 #: Fixed value: the pre-tokenizer's pattern for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space but for the space and the line feed.
+RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ODD_SPACE = re.compile(r" \s|\s ").search
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-in of each byte: itself where it is printable, else a character from 256 on, in order."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,6 +62,46 @@ def _byte_chars() -> dict[str, int]:
     return table
 
 
+class PairTable:
+    """Ranks of pairs of ids for whole arrays: two hash tables, each key in one of them (cuckoo hashing)."""
+
+    BITS = 17
+    MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, rank: dict[int, int], none: int):
+        bits = max(self.BITS, len(rank).bit_length() + 1)
+        self.shift, self.none = np.uint64(64 - bits), none
+        self.keys = np.full((2, 1 << bits), np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.ranks = np.full((2, 1 << bits), none, dtype=np.int64)
+        every = np.fromiter(rank, dtype=np.uint64, count=len(rank))
+        value = np.fromiter(rank.values(), dtype=np.int64, count=len(rank))
+        at = [self._place(every, t).tolist() for t in (0, 1)]
+        holder: list[dict[int, int]] = [{}, {}]
+        for i in range(len(every)):
+            side = 0
+            for _ in range(500):
+                out = holder[side].get(at[side][i])
+                holder[side][at[side][i]] = i
+                if out is None:
+                    break
+                i, side = out, 1 - side
+            else:
+                raise ValueError("the pairs can't be placed")
+        for t in (0, 1):
+            places, rows = np.array(list(holder[t]), dtype=np.int64), np.array(list(holder[t].values()), dtype=np.int64)
+            self.keys[t, places], self.ranks[t, places] = every[rows], value[rows]
+
+    def _place(self, keys: np.ndarray, t: int) -> np.ndarray:
+        return ((keys * self.MULTIPLIERS[t]) >> self.shift).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        h = self._place(keys, 0)
+        out = np.where(self.keys[0, h] == keys, self.ranks[0, h], self.none)
+        h = self._place(keys, 1)
+        return np.where(self.keys[1, h] == keys, self.ranks[1, h], out)
+
+
 class ByteBpe:
     """Merges and ids out of a tokenizer file."""
 
@@ -67,62 +115,113 @@ class ByteBpe:
         for t, i in vocab.items():
             if len(t) == 1:
                 self.byte[back[t]] = i
-        self.rank = {}
+        #: Rank of a pair of ids, packed into one int; id that a merge of that rank makes.
+        self.rank, self.made = {}, []
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
+            self.rank[(vocab[a] << 32) | vocab[b]] = r
+            self.made.append(vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.pairs: PairTable | None = None
         self.table = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.byte[b] for b in word]
-        if len(ids) > 48:
+        if len(ids) > 100:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank((a << 32) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i, new = ranks.index(best), made[best]
+            ids[i : i + 2] = [new]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1] << 32) | new, none)
+            if i < len(ranks):
+                ranks[i] = rank((new << 32) | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, rank = len(ids), self.rank
+        n, rank, made = len(ids), self.rank.get, self.made
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i] << 32) | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
+            best, i, a, b = heapq.heappop(heap)
+            j, new = after[i], made[best]
             if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
             ids[i], alive[j] = new, False
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if r := rank.get((new, ids[after[i]])):
-                    heapq.heappush(heap, (r[0], i, new, ids[after[i]], r[1]))
-            if (p := before[i]) >= 0 and (r := rank.get((ids[p], new))):
-                heapq.heappush(heap, (r[0], p, ids[p], new, r[1]))
+                if (r := rank((new << 32) | ids[after[i]])) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[after[i]]))
+            if (p := before[i]) >= 0 and (r := rank((ids[p] << 32) | new)) is not None:
+                heapq.heappush(heap, (r, p, ids[p], new))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
-    def parts(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
-        """(id of a special token, []) or (None, words), in the order of the text."""
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's begin and end), none empty. Each round merges the first best pair of
+        every word that still has one, so it is the same as merge() for each of them."""
+        if self.pairs is None:
+            self.pairs, self.byte_ids, self.made_ids = PairTable(self.rank, len(self.made)), np.array(self.byte), np.array([*self.made, -1])
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ids = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        owner, none = np.repeat(np.arange(len(words)), lengths), len(self.made)
+        rank = np.full(len(ids), none)
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self.pairs.of(ids[:-1], ids[1:]), none)
+        done_ids, done_owner = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
+            over = best == none
+            if over.any():
+                done_ids.append(ids[over])
+                done_owner.append(owner[over])
+                ids, owner, rank, best = ids[~over], owner[~over], rank[~over], best[~over]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == best)
+            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
+            ids[hit] = self.made_ids[best[hit]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # where the merged pairs are once their second halves are gone
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            for i in (at, at - 1):
+                i = i[(i >= 0) & (i + 1 < len(ids))]
+                rank[i] = np.where(owner[i] == owner[i + 1], self.pairs.of(ids[i], ids[i + 1]), none)
+            rank[-1] = none
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        by = np.argsort(owner, kind="stable")
+        return ids[by].astype(np.int32), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+
+    def parts(self, text: str) -> Iterator[tuple[int | None, str]]:
+        """(id, "") of a special token or (None, text), in the order of the text."""
         if self.at_special is None or not any(s in text for s in self.special):
-            yield None, self.split(text)
+            yield None, text
             return
         for k, piece in enumerate(self.at_special.split(text)):
             if k % 2:
-                yield self.special[piece], []
+                yield self.special[piece], ""
             elif piece:
-                yield None, self.split(piece)
+                yield None, piece
+
+    @staticmethod
+    def chunks(text: str) -> list[str] | None:
+        """A text cut at its spaces, which are left out; None if it has a space next to other white space.
+
+        No piece of the pattern goes on across a space that has no white space beside it, and none looks back, so the
+        text's pieces are those of its first chunk and of every other one with a space before it."""
+        if any(c in text for c in RARE_SPACES):
+            odd = ODD_SPACE(text) is not None
+        else:
+            odd = "  " in text or " \n" in text or "\n " in text
+        return None if odd else text.split(" ")
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
@@ -196,6 +295,7 @@ class Lexicon:
             at += 4 * n
         self.start, self.target, self.output, self.ids_at, self.ids = found
         self.final, self.labels = at, at + states
+        self.arcs: np.ndarray | None = None
 
     def find(self, word: bytes) -> list[int] | None:
         state, number, find, base = self.root, 0, self.map.find, self.labels
@@ -209,40 +309,140 @@ class Lexicon:
             return None
         return self.ids[self.ids_at[number] : self.ids_at[number + 1]].tolist()
 
+    def packed(self, number: int) -> bytes:
+        return self.ids[self.ids_at[number] : self.ids_at[number + 1]].tobytes()
+
+
+    def find_many(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 of those that aren't there: all words take a step at a time."""
+        if self.arcs is None:
+            start = np.array(self.start, dtype=np.int64)
+            labels = np.frombuffer(self.map, dtype=np.uint8, count=len(self.target), offset=self.labels)
+            self.arcs = np.repeat(np.arange(len(start) - 1), np.diff(start)) * 256 + labels
+            self.to, self.out = np.array(self.target, dtype=np.int64), np.array(self.output, dtype=np.int64)
+        found = np.full(len(words), -1)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if not len(self.arcs) or not len(words):
+            return found
+        raw, at = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8), np.cumsum(lengths) - lengths
+        live, state, number = np.arange(len(words)), np.full(len(words), self.root, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        finals = np.frombuffer(self.map, dtype=np.uint8, count=len(self.start) - 1, offset=self.final)
+        for k in range(int(lengths.max()) + 1):
+            ended = lengths[live] == k
+            full = ended & (finals[state] == 1)
+            found[live[full]] = number[full]
+            live, state, number = live[~ended], state[~ended], number[~ended]
+            if not len(live):
+                break
+            q = state * 256 + raw[at[live] + k]
+            arc = np.minimum(np.searchsorted(self.arcs, q), len(self.arcs) - 1)
+            ok = self.arcs[arc] == q
+            live, state, number = live[ok], self.to[arc[ok]], number[ok] + self.out[arc[ok]]
+        return found
 
-class _Memo(dict):
-    """Ids of words as packed int32, from the lexicon or merged; emptied when it is large."""
 
-    def __init__(self, bpe: ByteBpe, lexicon: Lexicon):
-        self.bpe, self.lexicon = bpe, lexicon
+def one_word(chunk: str) -> bool:
+    """Whether a chunk is sure to be one piece of the pattern with the space before it: letters of old blocks only."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250")
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.find(raw) if len(raw) <= LEXICON_WORD_BYTES else None
-        packed = np.array(self.bpe.merge(raw) if ids is None else ids, dtype=np.int32).tobytes()
-        if len(word) <= 256:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
 
+class Encoder:
+    """Encodes texts with memos of words and of chunks (words with a space before them and what follows), both bounded:
+    one that is full is emptied. What a run of texts has and the memos lack is looked up and merged all at once."""
 
-_loaded: dict[str, object] = {}
+    def __init__(self, bpe: ByteBpe, lexicon: Lexicon):
+        self.bpe, self.lexicon = bpe, lexicon
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _packed(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words, from the lexicon or merged."""
+        raw = [w.encode() for w in words]
+        out: list[bytes] = [b""] * len(raw)
+        short = [i for i, r in enumerate(raw) if len(r) <= LEXICON_WORD_BYTES]
+        number = self.lexicon.find_many([raw[i] for i in short]).tolist()
+        rest = []
+        for i, n in zip(short, number, strict=True):
+            if n < 0:
+                rest.append(i)
+            else:
+                out[i] = self.lexicon.packed(n)
+        if rest:
+            ids, at = self.bpe.merge_many([raw[i] for i in rest])
+            data, at = ids.tobytes(), (4 * at).tolist()
+            for i, a, b in zip(rest, at, at[1:], strict=False):
+                out[i] = data[a:b]
+        if len(short) < len(raw):
+            for i, r in enumerate(raw):
+                if len(r) > LEXICON_WORD_BYTES:
+                    out[i] = array("i", self.bpe.merge(r)).tobytes()
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids (int32) of each text."""
+        split, plans, chunks, words = self.bpe.split, [], set(), set()
+        for text in texts:
+            plan = []
+            for special, part in self.bpe.parts(text or ""):
+                if special is not None:
+                    plan.append((array("i", [special]).tobytes(), None, None))
+                    continue
+                cut = ByteBpe.chunks(part)
+                first = split(part if cut is None else cut[0])
+                words.update(first)
+                if cut is not None:
+                    del cut[0]
+                    chunks.update(cut)
+                plan.append((None, first, cut))
+            plans.append(plan)
+        if len(self.chunks) + len(chunks) > MEMO_CHUNKS:
+            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
+        new = chunks.difference(self.chunks)
+        whole = [c for c in new if one_word(c)]
+        pieces = {c: split(" " + c) for c in new.difference(whole)}
+        for p in pieces.values():
+            words.update(p)
+        if len(self.words) + len(words) > MEMO_WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        fresh = list(words.difference(self.words))
+        packed = self._packed(fresh + [" " + c for c in whole])
+        self.words.update(zip(fresh, packed, strict=False))
+        self.chunks.update(zip(whole, packed[len(fresh) :], strict=True))
+        word, chunk = self.words.__getitem__, self.chunks
+        for c, p in pieces.items():
+            chunk[c] = b"".join(map(word, p))
+        out = []
+        for plan in plans:
+            ids = []
+            for special, first, cut in plan:
+                if special is not None:
+                    ids.append(special)
+                else:
+                    ids += map(word, first)
+                    ids += map(chunk.__getitem__, cut or ())
+            out.append(b"".join(ids))
+        return out
 
 
 def _worker_bpe(file: str) -> ByteBpe:
-    key = f"bpe{hash(file)}"
-    if key not in _loaded:
-        _loaded[key] = ByteBpe(file)
-    return _loaded[key]
+    return resident(("bpe", hash(file)), lambda: ByteBpe(file))
+
+
+def _worker_encoder(file: str, name: str) -> Encoder:
+    return resident(("bpe", name), lambda: Encoder(ByteBpe(file), Lexicon(SparkFiles.get(name))))
 
 
-def _worker_memo(file: str, name: str) -> _Memo:
-    if name not in _loaded:
-        for old in [k for k in _loaded if k.startswith("lexicon-")]:
-            del _loaded[old]
-        _loaded[name] = _Memo(_worker_bpe(file), Lexicon(SparkFiles.get(name)))
-    return _loaded[name]
+def _runs(texts: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
+    """Slices of texts with about so many bytes each, or one text."""
+    size = np.nan_to_num(np.array(pc.binary_length(texts), dtype=float))
+    first, n = 0, 0.0
+    for i, b in enumerate(size):
+        n += b
+        if n >= most:
+            yield slice(first, i + 1)
+            first, n = i + 1, 0.0
+    if first < len(size):
+        yield slice(first, len(size))
 
 
 def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -250,29 +450,48 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     file = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = _worker_bpe(file.value), Counter()
+        bpe, seen, chunks = _worker_bpe(file.value), Counter(), Counter()
 
         def passed_on() -> pa.RecordBatch:
+            for chunk, n in chunks.items():
+                for word in (" " + chunk,) if one_word(chunk) else bpe.split(" " + chunk):
+                    seen[word] += n
             out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
             seen.clear()
+            chunks.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                for _, words in bpe.parts(text.as_py() or ""):
-                    seen.update(words)
-                if len(seen) > COUNTED_AT_ONCE:
+                for special, part in bpe.parts(text.as_py() or ""):
+                    if special is not None:
+                        continue
+                    if (cut := bpe.chunks(part)) is None:
+                        seen.update(bpe.split(part))
+                    else:
+                        seen.update(bpe.split(cut[0]))
+                        chunks.update(cut[1:])
+                if len(seen) + len(chunks) > COUNTED_AT_ONCE:
                     yield passed_on()
         yield passed_on()
 
-    return pick(docs, "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return text_batches(pick(docs, "text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def make_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words and gives their file to all executors; returns its name there."""
+    """Compiles the most frequent words, at most so many, and gives their file to all executors; returns its name there."""
     spark = docs.sparkSession
-    counted = count_words(docs, tokenizer).where(F.octet_length("word") <= LEXICON_WORD_BYTES)
-    frequent = [r["word"].encode() for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    # words seen once are no frequent ones; the others are few enough to write
+    counted = written(count_words(docs, tokenizer).where((F.octet_length("word") <= LEXICON_WORD_BYTES) & (F.col("n") > 1)), "words")
+    level = F.floor(F.log2("n") * 32)
+    steps = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 32 * 64 rows
+    total, least = 0, None
+    for r in steps:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    frequent = [] if least is None else [r["word"].encode() for r in counted.where(level >= least).select("word").collect()]
     bpe = ByteBpe(tokenizer)
     data = build_lexicon({w: bpe.merge(w) for w in frequent})
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -297,8 +516,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _worker_memo(file.value, lexicon)
-        bpe, table = memo.bpe, memo.bpe.table
+        encoder = _worker_encoder(file.value, lexicon)
+        table = encoder.bpe.table
         keys, packed, texts, size = [], [], [], 0
 
         def passed_on() -> pa.RecordBatch:
@@ -312,20 +531,19 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = b"".join(
-                    np.int32(special).tobytes() if special is not None else b"".join(map(memo.__getitem__, words)) for special, words in bpe.parts(text.as_py() or "")
-                )
-                keys.append(key.as_py())
-                packed.append(ids)
-                size += len(ids)
-                if decoded:
-                    texts.append(b"".join(map(table.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())).decode("utf-8", "replace"))
+            for some in _runs(batch.column(1)):
+                texts_in = batch.column(1)[some].to_pylist()
+                for ids in encoder.encode(texts_in):
+                    packed.append(ids)
+                    size += len(ids)
+                    if decoded:
+                        texts.append(b"".join(map(table.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())).decode("utf-8", "replace"))
+                keys += batch.column(0)[some].to_pylist()
                 if size > OUT_BYTES:
                     yield passed_on()
         yield passed_on()
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
+    return text_batches(pick(docs, "doc_id", "text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

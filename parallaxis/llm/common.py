@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch of texts. Texts may be long, and a batch is in memory several times over.
+TEXT_ROWS = 1_024
+
+_resident: dict[tuple, Any] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps between tasks. It keeps that of one operator at a time: what a worker that Spark
+    uses again still held for an earlier one is given back to the system first."""
+    if key not in _resident:
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            with contextlib.suppress(ImportError, OSError, AttributeError):
+                import pyarrow
+
+                pyarrow.default_memory_pool().release_unused()
+                ctypes.CDLL(None).malloc_trim(0)
+        _resident[key] = make()
+    return _resident[key]
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Has Spark send texts to Python in batches of TEXT_ROWS."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, found by their exact names.
 

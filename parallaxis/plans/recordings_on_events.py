@@ -439,3 +439,53 @@ def positional_join(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def median_intervals(spark: SparkSession, d: str) -> DataFrame:
     return stats.median_interval(events(spark, d), ["user_id"], "value")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents")
+def frame_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as the rows of a frame, encoded and decoded again; the digest is of what came back."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    from parallaxis.kernels import codec
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                raw = r.text.encode()
+                h = 2 * max(1, -(-len(raw) // 96))  # of 32 bytes; with half as many chroma rows
+                frame = np.zeros((h * 3 // 2, 32), dtype=np.uint8)
+                frame.ravel()[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+                back = codec.decode_color(codec.encode_color(frame, h), 32, h).tobytes()[: len(raw)]
+                out.append((r.doc_id, hashlib.sha256(back).hexdigest(), len(back)))
+            yield pd.DataFrame(out, columns=["doc_id", "sha256", "size"])
+
+    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, sha256 string, size long")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 256)::DOUBLE AS y, (l_suppkey * 7 % 256)::DOUBLE - 128 AS cb, (l_orderkey % 256)::DOUBLE - 128 AS cr FROM lineitem),
+q AS (SELECT *, y + 2 * (1 - 0.299) * cr AS red, y + 2 * (1 - 0.114) * cb AS blue FROM p)
+SELECT l_orderkey, l_linenumber, greatest(0, least(255, round_even(red, 0)))::INT AS r, greatest(0, least(255, round_even((y - 0.299 * red - 0.114 * blue) / (1 - 0.299 - 0.114), 0)))::INT AS g, greatest(0, least(255, round_even(blue, 0)))::INT AS b FROM q""")
+def colour_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """A 2 x 2 frame of one colour for each row, through the colour kernel."""
+    import numpy as np
+    import pandas as pd
+
+    from parallaxis.kernels import image
+
+    def run(batches):
+        for pdf in batches:
+            # one wide frame for a batch: two luma rows and one chroma row, two columns a colour
+            n = len(pdf)
+            frame = np.zeros((3, 2 * n), dtype=np.uint8)
+            frame[:2] = np.repeat(pdf.y.to_numpy(), 2)
+            frame[2, 0::2], frame[2, 1::2] = pdf.cb.to_numpy(), pdf.cr.to_numpy()
+            bgr = image.to_bgr(frame, "ITU_R_601_4")[0, ::2].astype(np.int32)
+            yield pd.DataFrame({"l_orderkey": pdf.l_orderkey, "l_linenumber": pdf.l_linenumber, "r": bgr[:, 2], "g": bgr[:, 1], "b": bgr[:, 0]})
+
+    p = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("y"), (F.col("l_suppkey") * 7 % 256).alias("cb"), (F.col("l_orderkey") % 256).alias("cr"))
+    return p.mapInPandas(run, "l_orderkey long, l_linenumber int, r int, g int, b int")

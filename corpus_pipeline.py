@@ -9,7 +9,6 @@ the third. Empty tables pass through all stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parallaxis.llm import bpe, language, mixing, neardup, toxicity
 from parallaxis.llm.common import table, written
@@ -21,13 +20,11 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.mark(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = language.mark(docs, language.fit(language.learnable(docs)))
-    known = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
-    return marked.where(known).select(*docs.columns)
+    return language.in_languages(docs, language.fit(language.learnable(docs)), LEAST_LANGUAGE_SCORE)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

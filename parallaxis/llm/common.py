@@ -59,6 +59,24 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*places).select(*[F.col(places[df.columns.index(n)]).alias(n) for n in names])
 
 
+class Carried:
+    """A table's columns packed into one, `row_`, so that nothing an operator adds can clash with them."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        places = [f"c{i}" for i in range(len(self.names))]
+        self.rows = df.toDF(*places).select(F.struct(*places).alias("row_"))
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"row_.c{self.names.index(name)}")
+
+    def place(self, name: str) -> int:
+        return self.names.index(name)
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.select("row_.*").toDF(*self.names)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other character as it is."""
     return F.translate(c, UPPER, LOWER)

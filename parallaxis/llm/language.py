@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Carried, pick, resident, text_batches
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -45,16 +46,11 @@ def _letters() -> np.ndarray:
     return table
 
 
-_table: np.ndarray | None = None
-
-
 def grams(text: str | None) -> np.ndarray:
     """The hashed n-grams of a text, one for each place and order; empty without letters."""
-    global _table
-    if _table is None:
-        _table = _letters()
+    table = resident(("language",), _letters)
     cp = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32)
-    a = _table[np.minimum(cp, 0x1FFFF)]
+    a = table[np.minimum(cp, 0x1FFFF)]
     if cp.size and int(cp.max()) > 0x1FFFF:
         a[cp > 0x1FFFF] = cp[cp > 0x1FFFF]
     if not a.any():
@@ -171,7 +167,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"feature": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
 
-    rows = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = text_batches(texts).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(FEATURES + 1, dtype=np.int64)
     for r in rows:
         n[r["feature"]] = r["n"]
@@ -223,7 +219,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             found = [m.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([y for _, y in found], pa.float64())})
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, lang_pred string, score double")
+    return text_batches(docs.select(key, "text")).mapInArrow(run, f"{key} long, lang_pred string, score double")
 
 
 def learnable(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -237,17 +233,15 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def mark(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with lang_pred and lang_score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
+def in_languages(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs whose language is told, with at least this score."""
+    c, sent = Carried(docs), docs.sparkSession.sparkContext.broadcast(model)
+    place = c.place("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(place)]
-            names = [*batch.schema.names, "lang_pred", "lang_score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=names)
+            found = [m.predict(t.as_py()) for t in pc.struct_field(batch.column(0), place)]
+            yield batch.filter(pa.array([x != UNDETERMINED and y >= least_score for x, y in found], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return c.restored(text_batches(c.rows).mapInArrow(run, c.rows.schema))

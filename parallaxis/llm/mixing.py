@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import Carried, pick, written
 
 BUCKETS = 1024
 BROADCAST_SOURCES = 10_000
@@ -101,25 +101,23 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float
     return sized, written(cuts(sized, targets), "mix")
 
 
-def apply_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds source_size, target and reps to rows with source and h."""
+def apply_plan(df: DataFrame, source: Column, h: Column, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target and reps to rows; source and h are columns of theirs."""
     small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda d: d)
-    p = small(plan.select(F.col("source").alias("source_"), "source_size", "target", "whole", "cut"))
-    once_more = F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return df.join(p, df["source"].eqNullSafe(p["source_"]), "left").withColumn("reps", F.coalesce(F.col("whole") + once_more, F.lit(0))).drop("source_", "whole", "cut")
+    p = small(plan.select(F.col("source").alias("source_"), "source_size", "target", F.col("whole").alias("whole_"), F.col("cut").alias("cut_")))
+    once_more = F.when(h <= F.col("cut_"), 1).otherwise(0)
+    return df.join(p, source.eqNullSafe(F.col("source_")), "left").withColumn("reps", F.coalesce(F.col("whole_") + once_more, F.lit(0)))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, reps, taken for every row."""
     sized, plan = mixture(docs, weights, epochs, seed)
-    return apply_plan(sized, plan).select("doc_id", "source", "size", "source_size", "target", "reps", (F.col("reps") * F.col("size")).alias("taken"))
+    return apply_plan(sized, F.col("source"), F.col("h"), plan).select("doc_id", "source", "size", "source_size", "target", "reps", (F.col("reps") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    names = docs.columns
     _, plan = mixture(docs, weights, epochs, seed)
-    rows = docs.withColumn("h", order_of(F.col("doc_id"), seed))
-    out = apply_plan(rows, plan)
-    return out.where("reps > 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.col("reps")))).select(*names)
-
+    c = Carried(docs)
+    out = apply_plan(c.rows, c["source"], order_of(c["doc_id"], seed), plan).where("reps > 0")
+    return c.restored(out.select("row_", F.explode(F.sequence(F.lit(1), F.col("reps")))))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import Carried, pick, resident, text_batches, written
 from .graph import components
 
 HASHES, BANDS, BITS = 64, 16, 4
@@ -59,9 +59,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -73,7 +70,8 @@ def shingles(text: str | None, k: int = 3) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    memo = resident(("neardup",), _Words)
+    w = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(w) < k:
         return _mixed(np.array([np.sum(w * _W[: len(w)]) + np.uint64(len(w))], dtype=np.uint64))
     n = len(w) - k + 1
@@ -150,7 +148,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 })
 
     schema = "doc_id long, t long, n long, c binary, " + ", ".join(f"{s} long" for s in SIG) + ", bands array<long>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
+    return text_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("t"))).mapInArrow(run, schema)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -169,7 +167,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = [s for t in whole.slice(at, 512).column(0) if len(s := shingles(t.as_py(), k))]
                 yield pa.RecordBatch.from_pydict({"c": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), "map": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(run, "c binary, set array<long>, map array<long>")
+    return text_batches(docs.select("text")).mapInArrow(run, "c binary, set array<long>, map array<long>")
 
 
 def equal_minima(a: str, b: str) -> Column:
@@ -244,14 +242,14 @@ def without_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> D
     gone = written(marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct(), "gone")
     again = written(key(marked.where("kept")).where("times > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t")), "again")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
-    names = docs.columns
-    rows = docs.withColumn("row_t", F.xxhash64("text"))
-    rows = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_t") == F.col("gone_t")), "left_anti")
+    c = Carried(docs)
+    same = lambda i, t: c["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(c["text"]) == F.col(t))
+    rows = c.rows.join(small(gone), same("gone_id", "gone_t"), "left_anti")
     if not again.limit(1).count():
-        return rows.select(*names)
-    repeated = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("row_t") == F.col("again_t"))
-    once = rows.join(small(again), repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.join(small(again), repeated, "left_anti").unionByName(once).select(*names)
+        return c.restored(rows)
+    repeated = rows.join(small(again), same("again_id", "again_t"), "left_semi")
+    once = repeated.groupBy(c["doc_id"].alias("i"), F.xxhash64(c["text"]).alias("t")).agg(F.first("row_").alias("row_")).select("row_")
+    return c.restored(rows.join(small(again), same("again_id", "again_t"), "left_anti").unionByName(once))
 
 
 def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import Carried, pick, resident, text_batches, written
 from .language import remainder
 
 WINDOW, STRIDE = 32, 16
@@ -466,14 +467,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     return model
 
 
-_scorer: list = [None, None]
-
-
 def _worker_scorer(sent) -> tuple[Model, Scorer]:
     model = sent.value
-    if _scorer[0] is not model:
-        _scorer[:] = [model, Scorer(model.parameters)]
-    return _scorer[0], _scorer[1]
+    return model, resident(("toxicity", id(model)), lambda: Scorer(model.parameters))
 
 
 def window_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -492,7 +488,7 @@ def window_scores(docs: DataFrame, model: Model) -> DataFrame:
             found[:, 0] = np.where(np.isfinite(found[:, 0]), found[:, 0], 0)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(score), "largest": pa.array(found[:, 0]), "mean": pa.array(found[:, 1]), "windows": pa.array(found[:, 2].astype(np.int64)), "first_word": pa.array(found[:, 3].astype(np.int64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, largest double, mean double, windows long, first_word long")
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, largest double, mean double, windows long, first_word long")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:
@@ -502,20 +498,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "windows", "first_word")
 
 
-def mark(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with toxic_score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double"
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold."""
+    c, sent = Carried(docs), docs.sparkSession.sparkContext.broadcast(model)
+    place = c.place("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = pc.struct_field(batch.column(0), place).to_pylist()
             if sent.value.parameters is None:
                 score = np.zeros(len(texts))
             else:
                 model, scorer = _worker_scorer(sent)
                 score = model.score(scorer.documents(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "toxic_score"])
+            yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return c.restored(text_batches(c.rows).mapInArrow(run, c.rows.schema))

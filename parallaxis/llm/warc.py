@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, pick, written
+from .common import fresh_path, pick, text_batches, written
 
 ROLL_BYTES = 256 << 20
 #: Read at once; deflate can make at most about 1,000 times as much of it.
@@ -197,7 +197,7 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_pydict({"archive": pa.array([x for x, _ in done], pa.string()), "records": pa.array([x for _, x in done], pa.int64())})
 
-    return written(records.mapInArrow(write, "archive string, records long"), "archives")
+    return written(text_batches(records).mapInArrow(write, "archive string, records long"), "archives")
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:

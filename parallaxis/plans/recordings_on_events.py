@@ -272,7 +272,7 @@ def even_subsample(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH c AS (
   SELECT vec_id, s, CASE WHEN s IS NOT NULL THEN round(-abs(embedding[1]::DOUBLE * s - embedding[2]::DOUBLE), 9) END AS score
-  FROM embeddings, (SELECT unnest(range(41)) * 0.0025 + 0.95 AS s)
+  FROM embeddings, (SELECT (unnest(range(41)) * 0.0025 + 0.95)::DOUBLE AS s)
 ), m AS (SELECT vec_id, max(score) AS best FROM c GROUP BY vec_id)
 SELECT c.vec_id, round(max(s), 9) AS scale FROM c JOIN m ON m.vec_id = c.vec_id AND score = best GROUP BY c.vec_id""")
 def grid_argmax(spark: SparkSession, d: str) -> DataFrame:

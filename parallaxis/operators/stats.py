@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Names = Sequence[str]
@@ -35,6 +35,32 @@ def quantiles(value: Column, *shares: float) -> Column:
     return F.percentile(value, F.array(*map(F.lit, shares)))
 
 
+def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins: int = 1024) -> DataFrame:
+    """keys and q, an array of the quantiles as quantiles() gives them, for groups of any size.
+
+    quantiles() keeps a group's distinct values in one task. Here values are counted first, the counts of bins of equal width tell
+    which bins hold the ranks that are asked for, and only the values of these are put in order, each bin by itself."""
+    keys = list(keys)
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("n_"))
+    whole = v.groupBy(*keys).agg(F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.sum("n_").alias("all_"))
+    place = F.when(F.col("high_") > F.col("low_"), F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * bins)).otherwise(0)
+    binned = v.join(whole, keys).withColumn("bin_", F.least(place, F.lit(bins - 1)).cast("int"))
+    counts = binned.groupBy(*keys, "bin_").agg(F.sum("n_").alias("in_"))
+    upto = F.sum("in_").over(Window.partitionBy(*keys).orderBy("bin_"))
+    counts = counts.withColumn("before_", upto - F.col("in_"))
+    at = lambda s: F.lit(s) * (F.col("all_") - 1)
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("side"), f(at(s)).cast("long").alias("rank"), at(s).alias("at")) for i, s in enumerate(shares) for j, f in enumerate((F.floor, F.ceil))])
+    ranks = whole.select(*keys, F.explode(asked).alias("r_")).select(*keys, "r_.*")
+    held = counts.join(ranks, keys).where((F.col("rank") >= F.col("before_")) & (F.col("rank") < F.col("before_") + F.col("in_")))
+    wanted = held.select(*keys, "bin_", "before_").distinct()
+    run = F.sum("n_").over(Window.partitionBy(*keys, "bin_").orderBy("v_"))
+    sorted_ = binned.join(wanted, [*keys, "bin_"]).withColumn("to_", F.col("before_") + run).withColumn("from_", F.col("to_") - F.col("n_")).select(*keys, "bin_", "v_", "from_", "to_")
+    hit = held.join(sorted_, [*keys, "bin_"]).where((F.col("rank") >= F.col("from_")) & (F.col("rank") < F.col("to_")))
+    both = hit.groupBy(*keys, "i", "at").agg(F.max(F.when(F.col("side") == 0, F.col("v_"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v_"))).alias("b"))
+    one = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 def upper_median(value: str) -> Column:
     """sorted[n div 2]. As a discrete percentile a little above one half it is aggregated in parts, without collecting the values."""
     return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY {value})")

@@ -211,7 +211,7 @@ SELECT event_type, round(q[1], 9) AS p05, round(q[2], 9) AS p25, round(q[3], 9)
 FROM (SELECT event_type, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM events GROUP BY event_type)""")
 def coverage_quantiles(spark: SparkSession, d: str) -> DataFrame:
     shares = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    q = events(spark, d).groupBy("event_type").agg(stats.quantiles(F.col("value"), *shares.values()).alias("q"))
+    q = stats.exact_quantiles(events(spark, d), ["event_type"], "value", *shares.values())
     return q.select("event_type", *[F.round(F.get("q", F.lit(i)), 9).alias(n) for i, n in enumerate(shares)])
 
 
@@ -220,8 +220,10 @@ SELECT l_returnflag, min(x) AS low, round(quantile_cont(x, 0.01), 6) AS p01, rou
 FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem WHERE l_extendedprice > 0 AND isfinite(l_extendedprice)) GROUP BY l_returnflag""")
 def depth_range(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("l_extendedprice")
-    q = read(spark, d, "lineitem").where(scalar.is_depth(x)).groupBy("l_returnflag").agg(F.min(x).alias("low"), stats.quantiles(x, 0.01, 0.5, 0.99).alias("q"), F.max(x).alias("high"), F.count("*").alias("n"))
-    return q.select("l_returnflag", "low", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p01", "median", "p99"))], "high", "n")
+    ok = read(spark, d, "lineitem").select("l_returnflag", "l_extendedprice").where(scalar.is_depth(x))
+    q = stats.exact_quantiles(ok, ["l_returnflag"], "l_extendedprice", 0.01, 0.5, 0.99)
+    ends = ok.groupBy("l_returnflag").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n"))
+    return ends.join(q, "l_returnflag").select("l_returnflag", "low", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p01", "median", "p99"))], "high", "n")
 
 
 @query("""

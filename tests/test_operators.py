@@ -125,3 +125,13 @@ def test_geometry(spark):
     assert [r[0] for r in df.select(geometry.is_pose(F.col("s"), F.col("m"))).collect()] == [True, False, False, False]
     assert df.select(geometry.homogeneous(F.col("m"))).first()[0][3] == [0.0, 0.0, 0.0, 1.0]
     assert df.select(geometry.row_major(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4))))).first()[0] == [[1, 3], [2, 4]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_quantiles(spark, seed):
+    rng = np.random.default_rng(seed)
+    groups = {"a": rng.standard_normal(200).round(1), "b": np.array([5.0]), "c": np.repeat([1.0, 2.0], 30), "d": np.array([0.0, 1e12, 3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan"))], "k string, v double")
+    got = {r.k: r.q for r in stats.exact_quantiles(df, ["k"], "v", 0.0, 0.05, 0.5, 0.95, 1.0, bins=16).collect()}
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(list(np.percentile(v, [0, 5, 50, 95, 100])))

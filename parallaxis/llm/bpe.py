@@ -13,13 +13,13 @@ Null texts count as empty: no ids, and decoding gives the empty text. Very long
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import heapq
 import json
 import mmap
 import os
 import re
-import tempfile
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -28,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, resident, text_batches, written
+from .common import fresh_path, pick, resident, text_batches, written
 
 #: Words in the lexicon, most frequent first; a bound on what is collected and sent.
 LEXICON_WORDS = 40_000
@@ -341,6 +342,18 @@ class Lexicon:
         return found
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for reference cycles: the many small objects that are made here have none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def one_word(chunk: str) -> bool:
     """Whether a chunk is sure to be one piece of the pattern with the space before it: letters of old blocks only."""
     return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250")
@@ -380,6 +393,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (int32) of each text."""
+        with uncollected():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split, plans, chunks, words = self.bpe.split, [], set(), set()
         for text in texts:
             plan = []
@@ -432,7 +449,7 @@ def _worker_encoder(file: str, name: str) -> Encoder:
     return resident(("bpe", name), lambda: Encoder(ByteBpe(file), Lexicon(SparkFiles.get(name))))
 
 
-def _runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[slice]:
+def _runs(texts: pa.Array, most: int = 8 << 20) -> Iterator[slice]:
     """Slices of texts with about so many bytes each, or one text."""
     size = np.nan_to_num(np.array(pc.binary_length(texts), dtype=float))
     first, n = 0, 0.0
@@ -453,9 +470,10 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe, seen, chunks = _worker_bpe(file.value), Counter(), Counter()
 
         def passed_on() -> pa.RecordBatch:
-            for chunk, n in chunks.items():
-                for word in (" " + chunk,) if one_word(chunk) else bpe.split(" " + chunk):
-                    seen[word] += n
+            with uncollected():
+                for chunk, n in chunks.items():
+                    for word in (" " + chunk,) if one_word(chunk) else bpe.split(" " + chunk):
+                        seen[word] += n
             out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
             seen.clear()
             chunks.clear()
@@ -463,14 +481,15 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for special, part in bpe.parts(text.as_py() or ""):
-                    if special is not None:
-                        continue
-                    if (cut := bpe.chunks(part)) is None:
-                        seen.update(bpe.split(part))
-                    else:
-                        seen.update(bpe.split(cut[0]))
-                        chunks.update(cut[1:])
+                with uncollected():
+                    for special, part in bpe.parts(text.as_py() or ""):
+                        if special is not None:
+                            continue
+                        if (cut := bpe.chunks(part)) is None:
+                            seen.update(bpe.split(part))
+                        else:
+                            seen.update(bpe.split(cut[0]))
+                            chunks.update(cut[1:])
                 if len(seen) + len(chunks) > COUNTED_AT_ONCE:
                     yield passed_on()
         yield passed_on()
@@ -494,12 +513,13 @@ def make_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) ->
     frequent = [] if least is None else [r["word"].encode() for r in counted.where(level >= least).select("word").collect()]
     bpe = ByteBpe(tokenizer)
     data = build_lexicon({w: bpe.merge(w) for w in frequent})
-    name = f"lexicon-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="parallaxis-"), name)
-    with open(path, "wb") as f:
+    path = fresh_path(spark, "lexicon")  # in the shared folder; every executor gets its copy from there
+    system, at = fs.FileSystem.from_uri(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as f:
         f.write(data)
     spark.sparkContext.addFile(path)
-    return name
+    return path.rpartition("/")[2]
 
 
 def read_tokenizer(path: str) -> str:

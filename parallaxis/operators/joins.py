@@ -40,10 +40,10 @@ def latest_or_first(probe: DataFrame, build: DataFrame, keys: Names, probe_ts: s
 
 
 def zipped(df: DataFrame, arrays: Names, name: str = "pos") -> DataFrame:
-    """Parallel lists as rows by position. Lists of unequal lengths are an error, not padded."""
+    """Parallel lists as rows by position. Lists of unequal lengths are an error, not padded; lists that are all null have no rows."""
     same = F.lit(True)
     for a in arrays[1:]:
-        same = same & (F.size(a) == F.size(arrays[0]))
+        same = same & F.size(a).eqNullSafe(F.size(arrays[0]))
     checked = F.when(same, F.arrays_zip(*arrays)).otherwise(F.raise_error(F.lit("parallel lists differ in length")))
     rest = [c for c in df.columns if c not in arrays]
     return df.select(*rest, F.posexplode(checked).alias(name, "z_")).select(*rest, name, *[F.col(f"z_.{a}").alias(a) for a in arrays])

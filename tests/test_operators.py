@@ -87,6 +87,16 @@ def test_zipped_refuses_unequal_lists(spark):
         joins.zipped(df, ["x", "y"]).collect()
 
 
+def test_positional_join_takes_every_document(spark, tmp_path):
+    from parallaxis.plans import recordings_on_events
+
+    texts = {1: "a bc", 2: "word " * 20_000, 3: "", 4: None, 5: "no count here", 6: "ä  b"}
+    docs = spark.createDataFrame([(i, t, None if i == 5 or t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in recordings_on_events.positional_join(spark, str(tmp_path)).collect())
+    assert got == [(i, k, w, len(w)) for i, t in texts.items() if t is not None for k, w in enumerate(t.split(" "))]
+
+
 def test_upper_median_rate_and_best(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0)], "v double")
     assert df.agg(stats.upper_median("v")).first()[0] == 3.0

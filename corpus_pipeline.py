@@ -16,6 +16,8 @@ from parallaxis.llm.queries import tokenizer_path
 
 #: A document goes if its language can't be told with this much confidence.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Near-duplicates share this percentage of their shingles of so many words. op9_minhash_near_dup has its own, 3 and 85.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def in_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.without_near_duplicates(docs)
+    return neardup.without_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash, confirmed on full shingle sets.
 
-1. Every document's set of word shingles is hashed (64 bits); the minima under HASHES functions give BANDS band
-   keys of ROWS minima each, and BITS low bits of every minimum are packed into four longs. Sets aren't kept.
+1. Every document's set of word shingles is hashed (64 bits); the minima under HASHES functions give band keys of
+   a few minima each (band_rows), and BITS low bits of every minimum are packed into four longs. Sets aren't kept.
 2. Documents with equal sets are one class (aggregated before the shuffle), so copies never meet as pairs.
 3. In each band bucket every class is compared with HEADS heads of the bucket; the packed bits give the
    share of equal minima by counting bits, corrected for chance collisions. The TRIED likeliest pairs of a class are confirmed on full
@@ -11,7 +11,8 @@
    Only links come out. Pairs within a component can't change it and are left alone. So all pairs that share a
    bucket are either decided or connected already.
 
-A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^16 = 7e-6, and less above it.
+A pair at the threshold shares no band with a probability of at most MISSED, and less above it: at 0.85, 16 bands of 4
+minima miss (1 - 0.85^4)^16 = 7e-6; at 0.8, 21 bands of 3 miss (1 - 0.8^3)^21 = 3e-7, where 16 of 4 would miss 2e-4.
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case. A document with fewer words than a
 shingle has one shingle, the sequence; null and empty texts have none and are linked with nothing. Repeated rows
 share a class. A null doc_id is never a component's id, unless the component has no other. An empty
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import Carried, pick, resident, text_batches, written
 from .graph import components
 
-HASHES, BANDS, BITS = 64, 16, 4
-ROWS = HASHES // BANDS
+HASHES, BITS = 64, 4
+#: The share of pairs at the threshold that may share no band.
+MISSED = 1e-5
 #: Standard errors below the threshold down to which a pair is decided on full sets, and is likely enough to be tried first.
 SLACK, LIKELY = 5.0, 1.5
 HEADS, TRIED = 3, 2
@@ -101,11 +103,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    """A key for each band, with the band's number in it."""
-    rows = m.reshape(len(m), BANDS, ROWS)
-    x = np.zeros((len(m), BANDS), dtype=np.uint64) + _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for j in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Minima in a band: as many as leave no more than MISSED of the pairs at the threshold without a common band."""
+    return next((n for n in range(8, 1, -1) if (1 - (percent / 100) ** n) ** (HASHES // n) <= MISSED), 1)
+
+
+def band_keys(m: np.ndarray, n: int) -> np.ndarray:
+    """A key for each band of n minima, with the band's number in it."""
+    bands = HASHES // n
+    rows = m[:, : bands * n].reshape(len(m), bands, n)
+    x = np.zeros((len(m), bands), dtype=np.uint64) + _mixed(np.arange(1, bands + 1, dtype=np.uint64))
+    for j in range(n):
         x = _mixed(x * _W[5] + rows[:, :, j])
     return x.view(np.int64)
 
@@ -124,7 +132,7 @@ MAP_LONGS = 32
 SIG = [f"s{i}" for i in range(LONGS)]
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, t (hash of the text), n, c (digest of the set; null if it is empty), packed signature, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +142,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sets = [shingles(t.as_py(), k) for t in batch.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 m = minima([sets[i] for i in full])
-                keys, sig = band_keys(m), packed(m)
+                keys, sig = band_keys(m, band_rows(percent)), packed(m)
                 place = np.full(len(sets), -1)
                 place[full] = np.arange(len(full))
                 pick_ = lambda col: pa.array([None if p < 0 else int(col[p]) for p in place], pa.int64())
@@ -254,7 +262,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> D
 
 def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
-    rows = written(signatures(docs, k), "signatures")
+    rows = written(signatures(docs, k, percent), "signatures")
     about = F.struct("n", *SIG, "bands")
     classes = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("m"), F.count("*").alias("copies"), F.first(about).alias("about"))
     classes = written(classes.select("c", "m", "copies", "about.*"), "classes")
@@ -278,7 +286,7 @@ def _with_heads(classes: DataFrame, percent: int) -> DataFrame:
     heads = written(heads.select(F.col("key").alias("head_key"), "heads"), "heads")
     met = buckets.join(heads, F.col("key") == F.col("head_key")).select("y", F.explode("heads").alias("x"))
     met = met.where(F.col("x.c") != F.col("y.c")).where(_candidate(percent, LIKELY))
-    # the likeliest heads of a member; at most BANDS * HEADS of them meet here
+    # the likeliest heads of a member; at most HEADS of each band meet here
     met = met.groupBy(F.col("y.c").alias("b")).agg(F.sort_array(F.collect_set(F.struct(equal_minima("x", "y").alias("equal"), F.col("x.c").alias("a"))), asc=False).alias("met"))
     met = met.select("b", F.explode(F.slice("met", 1, TRIED)).alias("p")).select(F.col("p.a").alias("a"), "b")
     return met.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"]).select("a", "b")
@@ -296,7 +304,7 @@ def _across(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, perc
     mixed = buckets.groupBy("key").agg(F.min("y.comp").alias("low"), F.max("y.comp").alias("high")).where("low < high").select(F.col("key").alias("mixed_key"))
     left = written(buckets.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"), "across")
     first = F.lit(None).cast("long")
-    for i in reversed(range(BANDS)):
+    for i in reversed(range(HASHES // band_rows(percent))):
         first = F.when(F.get("x.bands", F.lit(i)) == F.get("y.bands", F.lit(i)), F.get("x.bands", F.lit(i))).otherwise(first)
     met = (F.col("xk") == F.col("key")) & _candidate(percent, SLACK) & (first == F.col("key"))
     as_x = lambda df: df.select(F.col("key").alias("xk"), F.col("y").alias("x"))

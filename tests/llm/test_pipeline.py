@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from parallaxis.llm import language, mixing, toxicity
+from parallaxis.llm import language, mixing, neardup, toxicity
 from parallaxis.llm.queries import tokenizer_path
 from tests.llm.helpers import documents
 from tests.llm.test_text import brute_components, corpus
@@ -57,5 +57,29 @@ def test_stages_keep_the_columns_and_bear_clashes(spark, tmp_path):
         assert all(float(v) == 7 for v in out.select(*other).first())
 
 
+def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for i in range(0, 90, 3):
+        base = [word() for _ in range(200)]
+        at, edited = rng.randrange(20, 180), list(base)
+        for j in (30, 80, 130, 180)[: 1 + i % 4]:
+            edited[j] = word()
+        inserted = base[:at] + [word() for _ in range(30 + i % 19)] + base[at:]  # from 0.77 to 0.85 similar
+        rows += [(i, " ".join(base)), (i + 1, " ".join(inserted)), (i + 2, " ".join(edited))]
+    want = {d for d, _, _, kept in brute_components(rows, 5, 80) if kept}
+    assert want != {d for d, _, _, kept in brute_components(rows) if kept}
+    got = corpus_pipeline.without_near_duplicates(spark, documents(spark, [(d, t, "en", "s") for d, t in rows]), "")
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert [neardup.band_rows(p) for p in (80, 85)] == [3, 4]
+    for percent in range(20, 100):
+        n = neardup.band_rows(percent)
+        assert (1 - (percent / 100) ** n) ** (neardup.HASHES // n) <= neardup.MISSED
+
+
 def test_empty_tables_pass(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(spark, tmp_path, [], [])).count() == 0

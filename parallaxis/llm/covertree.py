@@ -8,7 +8,7 @@ that is below the worst kth score of the queries in its group. Equal bounds are
 smaller ids. The best k of each pair of blocks are merged by query.
 
 Equal vectors become one node's points and don't deepen the tree. Vectors that are null or hold null or
-non-finite components take no part; neither does a vector whose length is not that of most queries' (a product with them is not
+non-finite components take no part; rows that repeat count as often as they are there, as candidates and as queries; neither does a vector whose length is not that of most queries' (a product with them is not
 defined). Rows are dealt by their place, so equal ids or vectors don't meet in one block. With less than
 k candidates all are returned; without queries or candidates the result is empty. Other columns are
 ignored.
@@ -170,7 +170,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, query_block: int = QU
 
     found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(meet, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def scaled_integers(table: DataFrame) -> DataFrame:

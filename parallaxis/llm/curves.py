@@ -10,6 +10,7 @@ along a curve than others do, so the windows are a fixed share of the rows (WIND
 a query); the README has the measured recall. Blocks have at most about BLOCK_ROWS rows, and the queries that look
 into a block are dealt into pieces of about QUERY_PIECE, so the work of a task is bounded.
 
+Rows that repeat count once, and of several vectors of an id the best for a query counts.
 Vectors that are null, all zero, or hold null or non-finite components take no part. Rows with equal vectors are kept
 apart along the curve by their ids, so a common vector fills many blocks instead of one. With fewer
 than k candidates all that are found are returned. Other columns are ignored.
@@ -108,7 +109,8 @@ def _first_k(i: np.ndarray, score: np.ndarray, ids: np.ndarray, j: np.ndarray, k
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES, window: float = WINDOW, seed: int = SEED) -> DataFrame:
     """rows, queries: id, v (queries are rows too). Returns query_id, rank, vec_id, score. window: the share of
     all rows that a query looks at on either side along each curve."""
-    every = keyed(rows.select("id", "v"), curves, seed)
+    rows = written(rows.select("id", "v").distinct(), "rows")
+    every = keyed(rows, curves, seed)
     wanted = written(queries.select(F.col("id").alias("wanted")).distinct(), "wanted")
     asked, n = wanted.count(), rows.count()
     # a range partition is a block; the ids keep equal keys apart
@@ -128,11 +130,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVE
         for n in sorted(set(qs.v.map(len)) & set(xs.v.map(len))):
             a, b = qs[qs.v.map(len) == n], xs[xs.v.map(len) == n]
             x, x_ids, x_curve = np.stack(b.v.to_numpy()).astype(np.float64), b.id.to_numpy(), b.curve.to_numpy()
+            by = np.lexsort((x_curve, x_ids))
+            ends = np.flatnonzero((np.diff(x_ids[by]) != 0) | (np.diff(x_curve[by]) != 0)) + 1
+            again = [same for same in np.split(by, ends) if len(same) > 1] if len(ends) + 1 < len(by) else []
             for at in range(0, len(a), 256):
                 part = a.iloc[at : at + 256]
                 own, v = part.id.to_numpy(), np.stack(part.v.to_numpy()).astype(np.float64)
                 score = v @ x.T
                 score[(own[:, None] == x_ids[None, :]) | (part.curve.to_numpy()[:, None] != x_curve[None, :])] = -np.inf
+                for same in again:  # an id counts once, by the best of its vectors
+                    best = score[:, same].argmax(axis=1)
+                    score[:, same] = np.where(np.arange(len(same)) == best[:, None], score[:, same], -np.inf)
                 # everything down to the kth score, so that ties are settled by id when all windows are merged
                 last = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
                 i, j = np.nonzero((score >= last[:, None]) & np.isfinite(score))

@@ -35,6 +35,21 @@ def test_top_k(spark, n, repeated):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_counts_repeated_rows_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    rows = vectors(200)
+    rows += [rows[7]] * 6 + [rows[50]] * 2 + [(8, rows[9][1], 0)]  # data, a query, and another vector of an id
+    embeddings = spark.createDataFrame(rows, SCHEMA)
+    embeddings.write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = covertree.scaled_integers(embeddings)
+    got = covertree.top_k(x.where("id % 50 = 0"), x, k=5).select("query_id", "rank", "vec_id", F.col("score").cast("long")).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(covertree.ORACLE).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 20
+
+
 def test_dual_tree_prunes_and_covers():
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((30, 6)) * 20
@@ -77,6 +92,20 @@ def test_neighbours(spark, n, repeated):
     assert hits / (n / 20 * 20) >= 0.9
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = vectors(120, 5)
+    near = (-np.array([r[1] for r in rows]) @ np.array(rows[0][1])).argsort()
+    near = [int(i) for i in near if i][:3]
+    more = [rows[near[0]]] * 30 + [(near[1], [x * (1 + n / 100) for x in rows[near[1]][1]], 0) for n in range(1, 25)] + [rows[0]] * 3
+    x = curves.vectors(spark.createDataFrame(rows + more, SCHEMA))
+    got = sorted((r.rank, r.vec_id, r.score) for r in curves.search(x, x.where("id = 0"), k=20, window=1.0).collect())
+    q, best = np.array(rows[0][1], np.float32).astype(float), {}
+    for i, v, _ in rows + more:
+        best[i] = max(best.get(i, -np.inf), float(np.array(v, np.float32).astype(float) @ q))
+    want = sorted((i for i in best if i), key=lambda i: (-best[i], i))[:20]
+    assert [r[1] for r in got] == want and np.allclose([r[2] for r in got], [best[i] for i in want])
+
+
 def test_few_or_no_vectors(spark):
     few = curves.vectors(spark.createDataFrame(vectors(3), SCHEMA))
     assert curves.search(few, few.where("id = 0"), k=20).count() == 2

@@ -38,7 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.round_trip(docs, tokenizer_path()))
+    """doc_id, ids, decoded, and their digests."""
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path()), "ids", "decoded")
 
 
 STAGES = [

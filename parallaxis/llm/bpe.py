@@ -585,10 +585,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return encode(docs, tokenizer, make_lexicon(docs, tokenizer), decoded=True)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(encoded: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, the kept columns, n_tokens, ids_sha256, decoded_sha256."""
     return encoded.select(
         "doc_id",
+        *kept,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -81,5 +81,14 @@ def test_bands_miss_few_pairs_at_the_threshold():
         assert (1 - (percent / 100) ** n) ** (neardup.HASHES // n) <= neardup.MISSED
 
 
+def test_last_stage_keeps_the_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Ein Satz, then another.", "de", "s"), (2, "", "en", "s"), (3, "word " * 3000, "en", "s")]
+    library = Tokenizer.from_file(tokenizer_path())
+    got = {r.doc_id: r for r in corpus_pipeline.encoded(spark, documents(spark, rows), "").collect()}
+    assert {d: (r.ids, r.decoded, r.n_tokens) for d, r in got.items()} == {d: (ids := library.encode(t, add_special_tokens=False).ids, t, len(ids)) for d, t, _, _ in rows}
+
+
 def test_empty_tables_pass(spark, tmp_path):
     assert corpus_pipeline.run(spark, written(spark, tmp_path, [], [])).count() == 0

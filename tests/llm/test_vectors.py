@@ -1,5 +1,7 @@
 """Exact top-k by cover trees, and neighbours along Hilbert curves."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,17 +54,68 @@ def test_top_k_counts_repeated_rows_as_its_sql_does(spark, tmp_path):
 
 def test_dual_tree_prunes_and_covers():
     rng = np.random.default_rng(1)
-    centres = rng.standard_normal((30, 6)) * 20
-    x = (centres[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 6)) * 0.1).astype(float)
-    tree = covertree.CoverTree(x)
+    centres = rng.standard_normal((30, 6)) * 20_000
+    x = np.rint(centres[rng.integers(0, 30, 30_000)] + rng.standard_normal((30_000, 6)) * 100)
+    tree = covertree.CoverTree(x, 48)
     for node, (a, b) in enumerate(tree.run):
-        assert np.sqrt(((tree.points[a:b] - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-9
+        far, angle, length = covertree.away(tree.points[a:b], tree.nodes.centre[node])
+        assert far.max() <= tree.nodes.radius[node] and angle.max() <= tree.nodes.angle[node]
+        assert tree.nodes.shortest[node] <= length.min() and length.max() <= tree.nodes.longest[node]
         kids = tree.children[node]
         assert not kids or sorted(tree.run[k] for k in kids)[0][0] == a and sum(tree.run[k][1] - tree.run[k][0] for k in kids) == b - a
-    best = covertree.dual_tree(x[:40], np.arange(40), x, np.arange(3000), 5)
-    s = x[:40] @ x.T
-    s[np.arange(40), np.arange(40)] = -np.inf
-    assert np.allclose(best.score, -np.sort(-s, axis=1)[:, :5])
+    best, scored = covertree.dual_tree(x[:400], np.arange(400), x, np.arange(30_000), 5)
+    s = x[:400] @ x.T
+    s[np.arange(400), np.arange(400)] = -np.inf
+    assert (best.score == -np.sort(-s, axis=1)[:, :5]).all() and scored < 0.4 * s.size
+    floor = (best.score[:, -1]).copy()
+    again, fewer = covertree.dual_tree(x[:400], np.arange(400), x, np.arange(30_000), 5, floor)
+    assert (again.score == best.score).all() and (again.id == best.id).all() and fewer <= scored
+    limit = covertree.bounds(tree.nodes, tree.nodes)
+    for m, n in rng.integers(0, len(tree.run), (300, 2)):
+        assert (tree.points[slice(*tree.run[m])] @ tree.points[slice(*tree.run[n])].T).max() <= limit[m, n]
+
+
+def brute_top(rows, k=5):
+    """rows: (id, vector). In whole numbers of Python."""
+    v = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out, end = set(), 2**63 - 1
+    for q, a in v:
+        if q % 50 == 0:
+            scores = [(-max(-end + 1, min(end, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in v if i != q and len(a) == len(b)]
+            out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("data_block", [90, 1 << 16])
+def test_top_k_of_odd_rows(spark, data_block):
+    """Rows without an id, empty vectors, other lengths, and numbers whose products need more than a double or a long."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((230, 8)))]
+    rows += [(None, rows[3][1]), (None, None), (300, []), (301, []), (350, [1.0, 2.0]), (351, [3.0]), (352, [0.5, 1.0])]
+    rows += [(400 + i, (v * 2.0**29).tolist()) for i, v in enumerate(rng.standard_normal((9, 8)))]
+    rows += [(450, [1e30] * 8), (451, [-1e30, 1e30] * 4), (452, [1e300] * 8), (500, [2.0**46 + 1] * 8), (501, [3.0**29, 1.0] * 4), (502, [3.0**29, 1.0] * 4)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    x = covertree.scaled_integers(df)
+    got = covertree.top_k(x.where("id % 50 = 0"), x, k=5, query_block=3, data_block=data_block).collect()
+    assert {tuple(r) for r in got} == brute_top(rows) and len(got) == len(brute_top(rows))
+
+
+@pytest.mark.parametrize("times", [1, 2000])
+def test_top_k_of_clusters_and_a_common_vector(spark, times):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 5)) * 30
+    rows = [(i, (centres[i % 12] + rng.standard_normal(5)).tolist()) for i in range(4000)]
+    rows += [rows[50]] * times + [(5000 + i, rows[7][1]) for i in range(times)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    x = covertree.scaled_integers(df)
+    got = covertree.top_k(x.where("id % 50 = 0"), x, k=5, data_block=700).collect()
+    ids, v = np.array([r[0] for r in rows]), np.floor(np.array([r[1] for r in rows]) * 256)
+    for q in {r.query_id for r in got} | set(range(0, 4000, 50)):
+        s = v[ids == q][0] @ v.T
+        times_asked = int((ids == q).sum())
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
+        want = [(ids[j], s[j]) for j in order for _ in range(times_asked)][:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
 def test_hilbert_steps_are_neighbours():

@@ -83,15 +83,19 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where there is none, as in tests."""
+    """The folder in spark.checkpoint.dir. Only where there is none and all tasks run in this process, as in tests, a
+    temporary one is set; on a cluster that would be a folder of one machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return str(set_before.get()).rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parallaxis-"))
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    context = spark.sparkContext
+    set_before = context._jsc.sc().getCheckpointDir()
+    if not set_before.isDefined():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="parallaxis-"))
+        set_before = context._jsc.sc().getCheckpointDir()
+    return str(set_before.get()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -104,4 +108,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made; for those that nothing reads any more, also not a result that isn't computed yet."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("c").alias("up"), F.col("label").alias("top"))
         jumped = best.join(up, best["label"] == up["up"]).select("c", "was", F.least("label", "top").alias("label"))
         jumped = written(jumped, "labels")
-        labels = jumped.select("c", "label")
+        discard(labels)
         if not jumped.where("label < was").limit(1).count():
+            discard(both)
+            labels = jumped.select("c", "label")
+            labels.written_to = jumped.written_to
             return labels
+        labels = jumped.select("c", "label")
+        labels.written_to = jumped.written_to

@@ -2,10 +2,11 @@
 
 1. Every document's set of word shingles is hashed (64 bits); the minima under HASHES functions give band keys of
    a few minima each (band_rows), and BITS low bits of every minimum are packed into four longs. Sets aren't kept.
-2. Documents with equal sets are one class (aggregated before the shuffle), so copies never meet as pairs.
-3. In each band bucket every class is compared with HEADS heads of the bucket; the packed bits give the
-   share of equal minima by counting bits, corrected for chance collisions. The TRIED likeliest pairs of a class are confirmed on full
-   sets, which are made again from the texts of just these classes.
+2. Documents with equal sets are one class with a number (aggregated before the shuffle), so copies never meet as pairs.
+   Buckets are rows of a band key and a class number; those with one class only go before anything else is known of them.
+3. In each band bucket every class is paired with the first and the last class of the bucket; pairs that differ get
+   their signatures, whose packed bits give the share of equal minima by counting bits, corrected for chance collisions. The TRIED
+   likeliest pairs of a class are confirmed on full sets, which are made again from the texts of just these classes.
 4. Where a bucket still holds different components, all pairs across them are decided too, within a join: those whose
    estimate is further below the threshold than SLACK standard errors are out, the others are compared by full sets.
    Only links come out. Pairs within a component can't change it and are left alone. So all pairs that share a
@@ -13,6 +14,9 @@
 
 A pair at the threshold shares no band with a probability of at most MISSED, and less above it: at 0.85, 16 bands of 4
 minima miss (1 - 0.85^4)^16 = 7e-6; at 0.8, 21 bands of 3 miss (1 - 0.8^3)^21 = 3e-7, where 16 of 4 would miss 2e-4.
+The estimate's test (SLACK) loses another 3e-6 of the pairs at the threshold. Both are the method's own and no exact way is
+beside it; the README says so. Sets are of 64-bit hashes of shingles, so "full" is up to their collisions, and classes are
+told apart by 128 bits; their documents are found again by doc_id and a 64-bit hash of the text.
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case. A document with fewer words than a
 shingle has one shingle, the sequence; null and empty texts have none and are linked with nothing. Repeated rows
 share a class. A null doc_id is never a component's id, unless the component has no other. An empty
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, pick, resident, text_batches, written
+from .common import Carried, discard, pick, resident, text_batches, written
 from .graph import components
 
 HASHES, BITS = 64, 4
@@ -37,7 +41,7 @@ HASHES, BITS = 64, 4
 MISSED = 1e-5
 #: Standard errors below the threshold down to which a pair is decided on full sets, and is likely enough to be tried first.
 SLACK, LIKELY = 5.0, 1.5
-HEADS, TRIED = 3, 2
+TRIED = 2
 #: Classes whose sets are asked for by a broadcast of 24 bytes each; beyond it the texts are shuffled instead.
 BROADCAST_CLASSES = 500_000
 #: Hubs are dealt to so many partitions when their pairs are confirmed.
@@ -166,16 +170,17 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """c, set and bitmap of documents."""
+def full_sets(rows: DataFrame, k: int) -> DataFrame:
+    """k, set and bitmap out of text, k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                sets = [s for t in whole.slice(at, 512).column(0) if len(s := shingles(t.as_py(), k))]
-                yield pa.RecordBatch.from_pydict({"c": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), "map": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))})
+                batch = whole.slice(at, 512)
+                sets = [shingles(t.as_py(), k) for t in batch.column(0)]
+                yield pa.RecordBatch.from_pydict({"k": batch.column(1), "set": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), "map": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))})
 
-    return text_batches(docs.select("text")).mapInArrow(run, "c binary, set array<long>, map array<long>")
+    return text_batches(rows.select("text", "k")).mapInArrow(run, "k long, set array<long>, map array<long>")
 
 
 def equal_minima(a: str, b: str) -> Column:
@@ -216,25 +221,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The pairs get the set of b, which is in few pairs; a may be a hub, so its pairs are salted and its set is
     sent once for each salt that is in use.
     """
-    sets = sets.select("c", "set")
-    one = pairs.join(sets.withColumnRenamed("set", "set_b"), pairs["b"] == sets["c"]).drop("c")
+    sets = sets.select("k", "set")
+    one = pairs.join(sets.withColumnRenamed("set", "set_b"), pairs["b"] == sets["k"]).drop("k")
     one = one.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)))
     asked = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).alias("salt")).distinct()
-    hubs = asked.join(sets.withColumnRenamed("set", "set_a"), asked["a"] == sets["c"]).select(F.col("a").alias("hub"), F.col("salt").alias("hub_salt"), "set_a")
+    hubs = asked.join(sets.withColumnRenamed("set", "set_a"), asked["a"] == sets["k"]).select(F.col("a").alias("hub"), F.col("salt").alias("hub_salt"), "set_a")
     both = one.join(hubs, (one["a"] == hubs["hub"]) & (one["salt"] == hubs["hub_salt"]))
     inter = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - inter
     return both.select("a", "b", (inter.cast("long") * 100 >= union.cast("long") * percent).alias("linked"))
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Full sets of the wanted classes, from the text of one document each."""
-    ids = classes.join(wanted, classes["c"] == wanted["w"], "left_semi").select(F.col("m").alias("wanted_id")).distinct()
-    ids = written(ids, "wanted")
-    if ids.count() <= BROADCAST_CLASSES:
-        ids = F.broadcast(ids)
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-    return written(full_sets(rows, k).groupBy("c").agg(F.first("set").alias("set"), F.first("map").alias("map")), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """Full sets of the wanted classes, from the text of one document each; repeated: whether rows repeat."""
+    ids = written(classes.join(wanted, classes["k"] == wanted["w"], "left_semi").select("k", "r", "rt"), "wanted")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_CLASSES else ids
+    rows = docs.join(small, docs["doc_id"].eqNullSafe(ids["r"]) & (F.xxhash64(docs["text"]) == ids["rt"])).select("text", "k")
+    sets = full_sets(rows, k)
+    if repeated:
+        sets = sets.groupBy("k").agg(F.first("set").alias("set"), F.first("map").alias("map"))
+    sets = written(sets, "sets")
+    discard(ids)
+    return sets
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -263,56 +271,72 @@ def without_near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> D
 def _marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     rows = written(signatures(docs, k, percent), "signatures")
-    about = F.struct("n", *SIG, "bands")
-    classes = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("m"), F.count("*").alias("copies"), F.first(about).alias("about"))
-    classes = written(classes.select("c", "m", "copies", "about.*"), "classes")
-    pairs = written(_with_heads(classes, percent), "pairs")
+    repeated = bool(rows.groupBy("doc_id", "t").count().where("count > 1").limit(1).count())
+    about, one = F.struct("n", *SIG, "bands"), F.max(F.struct("doc_id", "t"))
+    classes = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("m"), one.alias("one"), F.count("*").alias("copies"), F.first(about).alias("about"))
+    # numbers are given once, as the table is written
+    number = F.monotonically_increasing_id().alias("k")
+    classes = written(classes.select(number, "c", "m", F.col("one.doc_id").alias("r"), F.col("one.t").alias("rt"), "copies", "about.*"), "classes")
+    buckets = _buckets(classes)
+    pairs = written(_with_heads(buckets, classes, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    linked = written(confirm(pairs, _sets_of(docs, classes, wanted, k), percent).where("linked").select("a", "b"), "linked")
+    sets = _sets_of(docs, classes, wanted, k, repeated)
+    linked = written(confirm(pairs, sets, percent).where("linked").select("a", "b"), "linked")
+    discard(pairs, sets)
     labels = components(linked)
-    across = written(_across(docs, classes, labels, k, percent), "linked")
+    across = _across(docs, classes, buckets, labels, k, percent, repeated)
     if across.limit(1).count():
         labels = components(linked.unionByName(across))
-    return _resolved(rows, classes, labels)
-
-
-def _with_heads(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of each bucket's HEADS heads with its other members that are likely similar: a few for each
-    member and bucket, whatever the bucket's size."""
-    member = F.struct("c", "n", *SIG).alias("y")
-    buckets = classes.select(F.explode("bands").alias("key"), member)
-    chosen = [F.min_by("y", F.xxhash64(F.lit(i), "y.c")) for i in range(HEADS)]
-    heads = buckets.groupBy("key").agg(F.array(*chosen).alias("heads"), F.count("*").alias("size")).where("size > 1")
-    heads = written(heads.select(F.col("key").alias("head_key"), "heads"), "heads")
-    met = buckets.join(heads, F.col("key") == F.col("head_key")).select("y", F.explode("heads").alias("x"))
-    met = met.where(F.col("x.c") != F.col("y.c")).where(_candidate(percent, LIKELY))
-    # the likeliest heads of a member; at most HEADS of each band meet here
-    met = met.groupBy(F.col("y.c").alias("b")).agg(F.sort_array(F.collect_set(F.struct(equal_minima("x", "y").alias("equal"), F.col("x.c").alias("a"))), asc=False).alias("met"))
+    out = _resolved(rows, classes, labels)
+    discard(buckets, linked, across, classes, labels)
+    return out
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, k, and the first and last class of the bucket (low, high), for buckets with more than one class."""
+    every = classes.select(F.explode("bands").alias("key"), "k")
+    ends = every.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
+    return written(every.join(ends.withColumnRenamed("key", "end_key"), F.col("key") == F.col("end_key")).select("key", "k", "low", "high"), "buckets")
+
+
+def _with_heads(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of each bucket's ends with its other members that are likely similar: a few for each
+    member, whatever a bucket's size. What repeats over the bands goes before signatures are looked up."""
+    met = buckets.select("k", F.explode(F.array("low", "high")).alias("head")).where("head <> k").distinct()
+    about = lambda name: classes.select(F.col("k").alias(f"{name}_k"), F.struct("n", *SIG).alias(name))
+    met = met.join(about("x"), F.col("head") == F.col("x_k")).join(about("y"), F.col("k") == F.col("y_k")).where(_candidate(percent, LIKELY))
+    # at most two heads of each band meet here
+    met = met.groupBy(F.col("k").alias("b")).agg(F.sort_array(F.collect_set(F.struct(equal_minima("x", "y").alias("equal"), F.col("head").alias("a"))), asc=False).alias("met"))
     met = met.select("b", F.explode(F.slice("met", 1, TRIED)).alias("p")).select(F.col("p.a").alias("a"), "b")
     return met.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"]).select("a", "b")
 
 
-def _across(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(docs: DataFrame, classes: DataFrame, buckets: DataFrame, labels: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
     """Links a, b between classes of different components that share a bucket.
 
-    A pair is decided in the first bucket that it shares. Rows of a bucket without such a partner are left out by a
-    semi-join. The others get a bitmap of their shingles, whose differing bits bound the sets' difference from below, and
-    their shingles cut to 31 bits, with how many of these collide. What the join lets through is confirmed on full
-    sets; so hardly anything but links comes out of it, whatever a bucket's size."""
-    known = classes.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").withColumn("comp", F.coalesce("label", "c"))
-    buckets = known.select(F.explode("bands").alias("key"), F.struct("c", "n", *SIG, "comp", "bands").alias("y"))
-    mixed = buckets.groupBy("key").agg(F.min("y.comp").alias("low"), F.max("y.comp").alias("high")).where("low < high").select(F.col("key").alias("mixed_key"))
-    left = written(buckets.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"), "across")
+    A pair is decided in the first bucket that it shares. Buckets within one component go first, as numbers only; then rows
+    of a bucket without a likely partner are left out by a semi-join. The others get a bitmap of their shingles, whose
+    differing bits bound the sets' difference from below, and their shingles cut to 31 bits, with how many of these
+    collide. What the join lets through is confirmed on full sets; so hardly anything but links comes out of it, whatever a
+    bucket's size."""
+    known = buckets.select("key", "k").join(labels.withColumnRenamed("c", "lc"), F.col("k") == F.col("lc"), "left").select("key", "k", F.coalesce("label", "k").alias("comp"))
+    known = written(known, "known")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select(F.col("key").alias("mixed_key"))
+    left = known.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi")
+    about = classes.select(F.col("k").alias("ck"), "n", *SIG, "bands")
+    left = left.join(about, F.col("k") == F.col("ck")).select("key", F.struct("k", "n", *SIG, "comp", "bands").alias("y"))
+    mixed_rows = written(left, "across")
     first = F.lit(None).cast("long")
     for i in reversed(range(HASHES // band_rows(percent))):
         first = F.when(F.get("x.bands", F.lit(i)) == F.get("y.bands", F.lit(i)), F.get("x.bands", F.lit(i))).otherwise(first)
     met = (F.col("xk") == F.col("key")) & _candidate(percent, SLACK) & (first == F.col("key"))
     as_x = lambda df: df.select(F.col("key").alias("xk"), F.col("y").alias("x"))
-    left = written(left.join(as_x(left), met & (F.col("x.comp") != F.col("y.comp")), "left_semi"), "across")
-    sets = _sets_of(docs, classes, left.select(F.col("y.c").alias("w")).distinct(), k)
+    left = written(mixed_rows.join(as_x(mixed_rows), met & (F.col("x.comp") != F.col("y.comp")), "left_semi"), "across")
+    discard(known, mixed_rows)
+    sets = _sets_of(docs, classes, left.select(F.col("y.k").alias("w")).distinct(), k, repeated)
     bits = F.transform("set", lambda s: s.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    cut = sets.select(F.col("c").alias("sc"), "map", bits.alias("cut")).withColumn("lost", F.size("cut") - F.size(F.array_distinct("cut")))
-    full = left.join(cut, F.col("y.c") == F.col("sc")).select("key", F.struct("y.*", "map", "cut", "lost").alias("y"))
+    cut = sets.select(F.col("k").alias("sk"), "map", bits.alias("cut")).withColumn("lost", F.size("cut") - F.size(F.array_distinct("cut")))
+    full = left.join(cut, F.col("y.k") == F.col("sk")).select("key", F.struct("y.*", "map", "cut", "lost").alias("y"))
     full = written(full, "across")
     apart = F.lit(0)
     for i in range(MAP_LONGS):
@@ -322,18 +346,21 @@ def _across(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, perc
     may_be = (F.col("x.comp") < F.col("y.comp")) & met & (apart.cast("long") * (100 + percent) <= total * (100 - percent))
     inter = F.size(F.array_intersect("x.cut", "y.cut")) + F.least("x.lost", "y.lost")
     near = full.join(as_x(full), may_be & (inter.cast("long") * (100 + percent) >= total * percent))
-    near = written(near.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), "pairs")
-    return confirm(near, sets, percent).where("linked").select("a", "b")
+    near = written(near.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")), "pairs")
+    linked = written(confirm(near, sets, percent).where("linked").select("a", "b"), "linked")
+    discard(left, sets, full, near)
+    return linked
 
 
 def _resolved(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Component ids of all rows. Only classes with copies or links are joined; the others are their own component."""
-    known = classes.select("c", "m", "copies").join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left")
+    known = classes.select("k", "c", "m", "copies").join(labels.withColumnRenamed("c", "lc"), F.col("k") == F.col("lc"), "left")
     linked = known.where("label IS NOT NULL")
     least = written(linked.groupBy("label").agg(F.min("m").alias("component_id")), "least")
     linked = linked.join(least.withColumnRenamed("label", "ll"), F.col("label") == F.col("ll")).select("c", "component_id")
     named = linked.unionByName(known.where("label IS NULL AND copies > 1").select("c", F.col("m").alias("component_id")))
     named = written(named.withColumnRenamed("c", "nc"), "named")
+    discard(least)
     out = rows.select("doc_id", "t", "n", "c").join(named, F.col("c") == F.col("nc"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -27,18 +27,23 @@ TEXT_ROWS = 1_024
 _resident: dict[tuple, Any] = {}
 
 
+def give_back() -> None:
+    """Gives memory that Python no longer needs back to the system."""
+    gc.collect()
+    with contextlib.suppress(ImportError, OSError, AttributeError):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def resident(key: tuple, make: Callable[[], Any]) -> Any:
     """An object that a Python worker keeps between tasks. It keeps that of one operator at a time: what a worker that Spark
     uses again still held for an earlier one is given back to the system first."""
     if key not in _resident:
         if _resident:
             _resident.clear()
-            gc.collect()
-            with contextlib.suppress(ImportError, OSError, AttributeError):
-                import pyarrow
-
-                pyarrow.default_memory_pool().release_unused()
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         _resident[key] = make()
     return _resident[key]
 

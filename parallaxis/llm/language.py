@@ -1,15 +1,17 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 A text becomes runs of lower-cased letters with one space between them; its character n-grams of orders 1 to
-3 are hashed into FEATURES counters. The value of a feature is (1 + ln tf) * idf, and each text's vector has
+3 are hashed into FEATURES counters (fewer beyond 512 languages, so that the weights keep their size). The value of a feature is (1 + ln tf) * idf, and each text's vector has
 length 1. The inverse document frequencies come from every document that may be learned from. The weights
-are fitted with FTRL-proximal and elastic-net penalties (the L1 part makes them sparse) on at most
-SAMPLE_PER_LANGUAGE labelled documents of each language, chosen by a hash of doc_id; a fifth of these
-is kept from the fit and sets the temperature that calibrates the scores. Every whole text is scored.
-
-Null texts and texts without a letter are `und` with score 0. With nothing to learn from, all are `und`.
-Documents without a language or doc_id are not learned from. Repeated rows each get their row, an
-empty table gives an empty result, other columns are ignored.
+are fitted with FTRL-proximal and elastic-net penalties (the L1 part makes them sparse) on at most about
+SAMPLE_PER_LANGUAGE labelled documents of each language and SAMPLE_ROWS in all, chosen by a hash of doc_id, one of each
+language at least; every value of lang is learned. A fifth of them is kept from the fit and sets the temperature that
+calibrates the scores. Every whole text is scored, whatever its length.
+
+Letters are the code points of Unicode's letter categories, in all planes. Null texts and texts without a letter are `und`
+with score 0. With nothing to learn from, all are `und`. Documents without a language or doc_id are not learned from.
+Equal scores go to the language first by code point. Repeated rows each get their row, an empty table gives an empty
+result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, pick, resident, text_batches
+from .common import Carried, discard, give_back, pick, resident, text_batches, written
 
 FEATURES = 1 << 15
 ORDERS = 3
-SAMPLE_PER_LANGUAGE = 600
-MOST_LANGUAGES = 500
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
+#: Numbers in the table of weights; with more languages than it has room for, features share rows of it.
+WEIGHTS = FEATURES * 512
+#: Languages whose counts are broadcast when documents are chosen; beyond it they are shuffled.
+BROADCAST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -52,7 +57,9 @@ def grams(text: str | None) -> np.ndarray:
     cp = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32)
     a = table[np.minimum(cp, 0x1FFFF)]
     if cp.size and int(cp.max()) > 0x1FFFF:
-        a[cp > 0x1FFFF] = cp[cp > 0x1FFFF]
+        far = cp > 0x1FFFF
+        every, back = np.unique(cp[far], return_inverse=True)
+        a[far] = np.array([c if chr(c).isalpha() else 0 for c in every.tolist()], dtype=np.uint32)[back]
     if not a.any():
         return np.empty(0, dtype=np.intp)
     a = np.concatenate([[0], a, [0]]).astype(np.uint32)
@@ -68,6 +75,20 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(found).astype(np.intp)
 
 
+def feature_bits(languages: int) -> int:
+    """Bits of a feature's number, so that the weights of so many languages fit."""
+    return min(FEATURES.bit_length() - 1, max(4, (WEIGHTS // max(1, languages)).bit_length() - 1))
+
+
+def folded(at: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their counts, by the first bits of the features' numbers."""
+    if (shift := FEATURES.bit_length() - 1 - bits) == 0:
+        return at, n
+    sums = np.bincount(at >> shift, weights=n, minlength=1)
+    at = np.flatnonzero(sums)
+    return at, sums[at]
+
+
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(features, how often each is there)."""
     g = grams(text)
@@ -86,11 +107,12 @@ def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    weights: np.ndarray  # FEATURES + 1 (bias), languages
+    weights: np.ndarray  # features + 1 (bias), languages
     idf: np.ndarray
     temperature: float
 
     def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at, n = folded(at, n, (len(self.weights) - 1).bit_length() - 1)
         return vector(at, n, self.idf) @ self.weights[at] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -108,11 +130,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_ftrl(
-    rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, epochs: int = 4,
+    rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, features: int = FEATURES, epochs: int = 4,
     alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 0.002, seed: int = 11,
 ) -> np.ndarray:
     """Weights by follow-the-regularised-leader, one example at a time. rows: features, values, class."""
-    z = np.zeros((FEATURES + 1, languages), dtype=np.float32)
+    z = np.zeros((features + 1, languages), dtype=np.float32)
     s = np.zeros_like(z)
     rng = np.random.default_rng(seed)
 
@@ -123,7 +145,7 @@ def fit_ftrl(
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x, k = rows[i]
-            at, x = np.append(at, FEATURES), np.append(x, np.float32(1))
+            at, x = np.append(at, features), np.append(x, np.float32(1))
             zs, ss = z[at], s[at]
             w = weights(zs, ss)
             p = softmax(x @ w)
@@ -174,39 +196,45 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(n[-1]), n[:-1]
 
 
-def fit(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def fit(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> Model:
     """learn: doc_id, text, lang of the documents that may be learned from."""
     total, df = _document_frequencies(learn.select("text"))
-    idf = np.log((1.0 + total) / (1.0 + df)).astype(np.float32) + np.float32(1)
-    labelled = learn.where(F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = tuple(sorted(r["lang"] for r in sizes))
-    if not languages:
-        return Model((), np.zeros((FEATURES + 1, 0), np.float32), idf, 1.0)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], per_language / r["count"]).otherwise(share)
     place = (F.xxhash64(F.lit(5).cast("long"), "doc_id") / 2.0**64) + 0.5
-    sample = labelled.where(place < share)
+    labelled = learn.where(F.col("lang").isNotNull()).withColumn("place", place)
+    sizes = written(labelled.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("size"), F.min("place").alias("least")), "languages")
+    languages = tuple(sorted(r["of"] for r in sizes.select("of").collect()))
+    bits = feature_bits(len(languages))
+    df = np.bincount(np.arange(FEATURES) >> (FEATURES.bit_length() - 1 - bits), weights=df)
+    idf = np.log((1.0 + total) / (1.0 + np.minimum(df, total))).astype(np.float32) + np.float32(1)
+    if not languages:
+        return Model((), np.zeros((len(idf) + 1, 0), np.float32), idf, 1.0)
+    per_language = max(1, min(per_language, most // len(languages)))
+    small = F.broadcast(sizes) if len(languages) <= BROADCAST_LANGUAGES else sizes
+    sample = labelled.join(small, F.col("lang") == F.col("of")).where((F.col("place") < per_language / F.col("size")) | (F.col("place") == F.col("least")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [counted(t.as_py()) for t in batch.column(1)]
+            out = [folded(*counted(t.as_py()), bits) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "lang": batch.column(2),
                 "at": pa.array([a.astype(np.int32) for a, _ in out], pa.list_(pa.int32())), "n": pa.array([n.astype(np.int32) for _, n in out], pa.list_(pa.int32())),
             })
 
     got = sample.select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, at array<int>, n array<int>").limit(2 * per_language * len(languages)).toArrow()
-    rows = []
-    for i in np.argsort(got["doc_id"].to_numpy(), kind="stable"):
-        at = np.array(got["at"][int(i)].values, dtype=np.intp)
+    number, seen, kept, fitted = {x: i for i, x in enumerate(languages)}, np.zeros(len(languages), dtype=int), [], []
+    for i in np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist():
+        at = np.array(got["at"][i].values, dtype=np.int32)
         if at.size:
-            rows.append((at, vector(at, np.array(got["n"][int(i)].values), idf), languages.index(got["lang"][int(i)].as_py())))
-    kept, fitted = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
-    weights = fit_ftrl(fitted, len(languages))
+            k = number[got["lang"][i].as_py()]
+            seen[k] += 1
+            (fitted if seen[k] % 5 else kept).append((at, vector(at, np.array(got["n"][i].values), idf), k))
+    del got
+    weights = fit_ftrl(fitted, len(languages), len(idf))
     logits = np.array([x @ weights[at] + weights[-1] for at, x, _ in kept], dtype=np.float64).reshape(-1, len(languages))
-    return Model(languages, weights, idf, fit_temperature(logits, np.array([k for _, _, k in kept], dtype=int)))
+    out = Model(languages, weights, idf, fit_temperature(logits, np.array([k for _, _, k in kept], dtype=int)))
+    discard(sizes)
+    give_back()
+    return out
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

@@ -7,13 +7,16 @@ window's logit. The largest logit, the mean of the windows' chances and the numb
 document's score through a logistic regression.
 
 Only documents carry labels, so training takes those windows of toxic documents as toxic whose words' counts
-speak for it, then those that the network finds so itself (at least one a document). It learns from at most about SAMPLE documents of each label (clean, toxic) and
-SAMPLE_WINDOWS windows of each; a quarter of these documents is kept for the logistic regression, which sees
-their whole texts. The model is a few MB whatever the input. Scoring reads nothing but the text.
+speak for it, then those that the network finds so itself (at least one a document); all windows of the whole text of
+each document are looked at. It learns from at most about SAMPLE documents of each label (clean, toxic), fewer if they are
+long: their texts have at most SAMPLE_CHARS characters together, and documents are taken in the order of a hash of their
+doc_id as long as they fit. A quarter of them is kept for the logistic regression. The model is a few MB whatever the
+input. Scoring reads nothing but the text, and whole texts of any length, in runs of words.
 
 Null and empty texts score 0, as do texts without words. Without labels of both kinds every score is 0. Labels or
-documents without a doc_id aren't learned from. Repeated rows each get their row, an empty table gives
-an empty result, other columns are ignored.
+documents without a doc_id aren't learned from. Of documents that share a doc_id the smallest text is learned from, and a
+doc_id is toxic if any of its labels is. Repeated rows each get their row, an empty table gives an empty result, other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, pick, resident, text_batches, written
+from .common import Carried, discard, give_back, pick, resident, text_batches, written
 from .language import remainder
 
 WINDOW, STRIDE = 32, 16
@@ -35,7 +38,8 @@ WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 17
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 ORDERS = (3, 5, 7)
 SAMPLE = (3_000, 1_500)
-SAMPLE_WINDOWS = 24
+#: For clean and for toxic documents.
+SAMPLE_CHARS = (16_000_000, 8_000_000)
 #: Words whose projected inputs a worker keeps; words and windows that are worked on at once.
 MEMO_WORDS, FLUSH_WORDS, RUN_WINDOWS = 150_000, 60_000, 2_048
 THRESHOLD = 0.7
@@ -93,15 +97,15 @@ def init(seed: int = 3) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def inputs(p: dict, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-    """The input vector of each distinct word, and what the gradient needs."""
-    word_row, gram_row, owner = hashed(words)
-    count = np.maximum(np.bincount(owner, minlength=len(words)), 1).astype(np.float32)
-    chars = np.empty((len(words), CHAR_DIM), dtype=np.float32)
+def inputs(p: dict, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The input vectors of words with these rows, as hashed() gives them, and how many n-grams each has."""
+    word_row, gram_row, owner = rows
+    count = np.maximum(np.bincount(owner, minlength=len(word_row)), 1).astype(np.float32)
+    chars = np.empty((len(word_row), CHAR_DIM), dtype=np.float32)
     grams = p["char"][gram_row]
     for j in range(CHAR_DIM):
-        chars[:, j] = np.bincount(owner, weights=grams[:, j], minlength=len(words)) / count
-    return np.concatenate([p["word"][word_row], chars], axis=1), (word_row, gram_row, owner, count)
+        chars[:, j] = np.bincount(owner, weights=grams[:, j], minlength=len(word_row)) / count
+    return np.concatenate([p["word"][word_row], chars], axis=1), count
 
 
 def gru(x: np.ndarray, mask: np.ndarray | None, uzr: np.ndarray, uh: np.ndarray, order: range, keep: list | None) -> np.ndarray:
@@ -136,9 +140,9 @@ def pooled(p: dict, states: np.ndarray, mask: np.ndarray | None) -> tuple[np.nda
     return context @ p["out"] + p["bias"][0], a, context
 
 
-def loss_and_gradient(p: dict, words: list[bytes], at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-    """Cross-entropy of windows at (time, batch; rows of words) and its gradient, by back-propagation through time."""
-    x, (word_row, gram_row, owner, count) = inputs(p, words)
+def loss_and_gradient(p: dict, rows: tuple, at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    """Cross-entropy of windows at (time, batch; places among the words that rows are of) and its gradient, by back-propagation through time."""
+    (word_row, gram_row, owner), (x, count) = rows, inputs(p, rows)
     n_time, n_batch = at.shape
     g = {}
     kept: dict[str, list] = {"f": [], "b": []}
@@ -179,10 +183,10 @@ def loss_and_gradient(p: dict, words: list[bytes], at: np.ndarray, mask: np.ndar
             g_zr += h.T @ d_zr
             back += d_zr @ uzr.T
             d_x[t] = np.concatenate([d_zr, d_c], axis=1)
-        rows = np.zeros((len(words), 3 * HIDDEN), dtype=np.float32)
-        rows[used] = np.add.reduceat(d_x.reshape(-1, 3 * HIDDEN)[by], first)
-        g |= {f"uzr{side}": g_zr, f"uh{side}": g_h, f"b{side}": rows.sum(axis=0), f"wx{side}": x.T @ rows}
-        d_in += rows @ p[f"wx{side}"].T
+        d_word = np.zeros((len(x), 3 * HIDDEN), dtype=np.float32)
+        d_word[used] = np.add.reduceat(d_x.reshape(-1, 3 * HIDDEN)[by], first)
+        g |= {f"uzr{side}": g_zr, f"uh{side}": g_h, f"b{side}": d_word.sum(axis=0), f"wx{side}": x.T @ d_word}
+        d_in += d_word @ p[f"wx{side}"].T
     g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
     np.add.at(g["word"], word_row, d_in[:, :WORD_DIM])
     np.add.at(g["char"], gram_row, (d_in[:, WORD_DIM:] / count[:, None])[owner])
@@ -207,89 +211,134 @@ class Adam:
                 x *= 1 - decay
 
 
-@dataclass
-class Bag:
-    """The sampled windows of one document."""
-
-    toxic: int
-    windows: list[list[bytes]]
-
-
-def start_from_counts(p: dict, bags: list[Bag], errors: float = 2.0) -> None:
-    """Sets the first component of the embeddings to the documents' log-odds, drawn towards zero by so many
-    standard errors, so training starts from what the counts make certain and from nothing else."""
-    n = [sum(1 - b.toxic for b in bags), sum(b.toxic for b in bags)]
+def window_starts(words: int) -> np.ndarray:
+    """Where the windows of so many words start; together they cover all."""
+    starts = np.arange(0, max(words - WINDOW, 0) + 1, STRIDE)
+    return starts if starts[-1] + WINDOW >= words else np.append(starts, words - WINDOW)
+
+
+class Corpus:
+    """Documents to learn from: all their words as numbers, one document after the other, and all their windows."""
+
+    def __init__(self, documents: Iterator[tuple[int, list[bytes]]]):
+        number: dict[bytes, int] = {}
+        toxic, flat = [], []
+        for y, words in documents:
+            if words:
+                toxic.append(y)
+                flat.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)))
+        self.toxic, self.length = np.array(toxic, dtype=np.int64), np.array([len(f) for f in flat], dtype=np.int64)
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.first = np.cumsum(self.length) - self.length
+        starts = [window_starts(n) for n in self.length]
+        self.document = np.repeat(np.arange(len(flat)), [len(x) for x in starts])
+        self.start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        self._hash(list(number))
+
+    def _hash(self, words: list[bytes]) -> None:
+        word_row, gram_row, count = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), 20_000):
+            w, g, owner = hashed(part := words[at : at + 20_000])
+            word_row.append(w.astype(np.int32))
+            gram_row.append(g[np.argsort(owner, kind="stable")].astype(np.int32))
+            count.append(np.bincount(owner, minlength=len(part)))
+        self.word_row, self.gram_row, self.grams = map(np.concatenate, (word_row, gram_row, count))
+        self.gram_first = np.cumsum(self.grams) - self.grams
+
+    def rows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As hashed(), for words by number."""
+        n = self.grams[words]
+        places = np.repeat(self.gram_first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.word_row[words], self.gram_row[places], np.repeat(np.arange(len(words)), n)
+
+    def words(self, document: int) -> np.ndarray:
+        return self.flat[self.first[document] : self.first[document] + self.length[document]]
+
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows by number: distinct words, their places (time, batch) among these, and where there is a word."""
+        document, place = self.document[which], self.start[which][None, :] + np.arange(WINDOW)[:, None]
+        mask = place < self.length[document]
+        found = self.flat[self.first[document] + np.where(mask, place, 0)]
+        words, at = np.unique(found, return_inverse=True)
+        return words, at.reshape(found.shape), mask
+
+
+def start_from_counts(p: dict, corpus: Corpus, errors: float = 2.0) -> None:
+    """Sets the first component of the embeddings to a log-odds: how many toxic documents have a row, against how many
+    would have by their lengths if its words were dealt evenly, less the same of clean ones. It is drawn towards
+    zero by so many standard errors, so training starts from what the counts make certain and from nothing else."""
     seen = {"word": np.zeros((2, WORD_ROWS)), "char": np.zeros((2, CHAR_ROWS))}
-    for bag in bags:
-        words = sorted({w for ws in bag.windows for w in ws})
-        if words:
-            word_row, gram_row, _ = hashed(words)
-            seen["word"][bag.toxic, np.unique(word_row)] += 1
-            seen["char"][bag.toxic, np.unique(gram_row)] += 1
+    for document, toxic in enumerate(corpus.toxic):
+        word_row, gram_row, _ = corpus.rows(np.unique(corpus.words(document)))
+        seen["word"][toxic, np.unique(word_row)] += 1
+        seen["char"][toxic, np.unique(gram_row)] += 1
+    times = np.bincount(corpus.flat, minlength=len(corpus.grams)).astype(float)
+    all_times = {
+        "word": np.bincount(corpus.word_row, weights=times, minlength=WORD_ROWS),
+        "char": np.bincount(corpus.gram_row, weights=np.repeat(times, corpus.grams), minlength=CHAR_ROWS),
+    }
+    grid = np.linspace(-18, 0, 73)
+    have = [np.array([-np.expm1(-np.exp(r) * corpus.length[corpus.toxic == y]).sum() for r in grid]) for y in (0, 1)]
     for kind, c in seen.items():
-        odds = np.log((c[1] + 0.5) / (n[1] + 1.0)) - np.log((c[0] + 0.5) / (n[0] + 1.0))
+        rate = np.log(np.maximum(all_times[kind], 0.5) / max(1, len(corpus.flat)))
+        due = [np.interp(rate, grid, h) for h in have]
+        odds = np.log((c[1] + 0.5) / (due[1] + 0.5)) - np.log((c[0] + 0.5) / (due[0] + 0.5))
         error = np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
         p[kind][:, 0] = np.clip(np.sign(odds) * np.maximum(0, np.abs(odds) - errors * error), -4, 4)
 
 
-def train(bags: list[Bag], epochs: int = 7, batch: int = 256, per_epoch: int = 6_000, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters fitted to the windows of the bags."""
+def train(corpus: Corpus, epochs: int = 7, batch: int = 256, per_epoch: int = 6_000, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters fitted to the windows of the corpus."""
     rng, p = np.random.default_rng(seed), init()
-    start_from_counts(p, bags)
+    start_from_counts(p, corpus)
     opt = Adam(p, 0.004)
-    negative = [(i, j) for i, b in enumerate(bags) if not b.toxic for j in range(len(b.windows))]
-    positive = [(i, j) for i, b in enumerate(bags) if b.toxic for j in range(len(b.windows))]
-    if not negative or not positive:
+    toxic = corpus.toxic[corpus.document] == 1
+    negative, positive = np.flatnonzero(~toxic), np.flatnonzero(toxic)
+    if not len(negative) or not len(positive):
         return p
-    positive = _evident(p, bags)
+    positive = _evident(p, corpus, positive)
     for epoch in range(epochs):
         if epoch in (3, 5):
-            positive = _convincing(p, bags)
+            positive = _convincing(p, corpus, np.flatnonzero(toxic))
         half = min(per_epoch, max(len(negative), len(positive), 8 * batch))
-        chosen = [(negative[i], 0) for i in rng.integers(0, len(negative), half)] + [(positive[i], 1) for i in rng.integers(0, len(positive), half)]
-        for at in range(0, len(chosen), batch) if rng.shuffle(chosen) is None else ():
-            part = chosen[at : at + batch]
-            words, index, mask = _indexed([bags[i].windows[j] for (i, j), _ in part])
+        chosen = np.concatenate([rng.choice(negative, half), rng.choice(positive, half)])
+        y = np.repeat(np.array([0, 1], dtype=np.float32), half)
+        order = rng.permutation(2 * half)
+        for at in range(0, 2 * half, batch):
+            part = order[at : at + batch]
+            words, index, mask = corpus.windows(chosen[part])
             # a word is now and then not seen, so that no single one is relied on
-            opt.step(loss_and_gradient(p, words, index, mask & (rng.random(mask.shape) > 0.1) | (mask.cumsum(axis=0) == 1), np.array([y for _, y in part], dtype=np.float32))[1])
+            seen = mask & (rng.random(mask.shape) > 0.1) | (mask.cumsum(axis=0) == 1) & mask
+            opt.step(loss_and_gradient(p, corpus.rows(words), index, seen, y[part])[1])
         opt.rate *= 0.8
     return p
 
 
-def _indexed(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, their places (time, batch), and where there is a word."""
-    words = sorted({w for ws in windows for w in ws})
-    place = {w: i for i, w in enumerate(words)}
-    at = np.zeros((WINDOW, len(windows)), dtype=np.int64)
-    mask = np.zeros((WINDOW, len(windows)), dtype=bool)
-    for b, ws in enumerate(windows):
-        at[: len(ws), b] = [place[w] for w in ws]
-        mask[: len(ws), b] = True
-    return words, at, mask
-
-
-def _evident(p: dict, bags: list[Bag], least: float = 1.0) -> list[tuple[int, int]]:
-    """Windows of toxic documents with a word whose counts speak for it, or the ones nearest to that of their document."""
-    out = []
-    for i, bag in enumerate(bags):
-        if not bag.toxic:
-            continue
-        words = sorted({w for ws in bag.windows for w in ws})
-        x = inputs(p, words)[0]
-        known = dict(zip(words, x[:, 0] + x[:, WORD_DIM], strict=True))
-        best = np.array([max((known[w] for w in ws), default=-9.0) for ws in bag.windows])
-        out += [(i, int(j)) for j in np.flatnonzero((best >= least) | (best == best.max()))]
-    return out
-
-
-def _convincing(p: dict, bags: list[Bag]) -> list[tuple[int, int]]:
-    """Windows of toxic documents with a chance of half or more, or the best of their document."""
-    scorer, out = Scorer(p), []
-    for i, bag in enumerate(bags):
-        if bag.toxic:
-            logit = scorer.windows(bag.windows)
-            out += [(i, int(j)) for j in np.flatnonzero((logit >= 0) | (logit == logit.max()))]
-    return out
+def _best_or(corpus: Corpus, which: np.ndarray, value: np.ndarray, least: float) -> np.ndarray:
+    """Of these windows those with at least this value, and the best of each document."""
+    top = np.full(len(corpus.toxic), -np.inf)
+    np.maximum.at(top, corpus.document[which], value)
+    return which[(value >= least) | (value == top[corpus.document[which]])]
+
+
+def _evident(p: dict, corpus: Corpus, which: np.ndarray, least: float = 1.0) -> np.ndarray:
+    """Windows with a word whose counts speak for it, or the ones nearest to that of their document."""
+    best = []
+    for at in range(0, len(which), RUN_WINDOWS):
+        words, index, mask = corpus.windows(which[at : at + RUN_WINDOWS])
+        x = inputs(p, corpus.rows(words))[0]
+        best.append(np.where(mask, (x[:, 0] + x[:, WORD_DIM])[index], -9.0).max(axis=0))
+    return _best_or(corpus, which, np.concatenate(best), least)
+
+
+def _convincing(p: dict, corpus: Corpus, which: np.ndarray) -> np.ndarray:
+    """Windows with a chance of half or more, or the best of their document."""
+    scorer, logit = Scorer(p), []
+    for at in range(0, len(which), RUN_WINDOWS):
+        words, index, mask = corpus.windows(which[at : at + RUN_WINDOWS])
+        scorer.table = scorer.projected(corpus.rows(words))
+        logit.append(scorer.run(index, mask))
+    return _best_or(corpus, which, np.concatenate(logit), 0.0)
 
 
 class Scorer:
@@ -305,6 +354,9 @@ class Scorer:
         self.memo: dict[bytes, int] = {b"": 0}
         self.table = np.zeros((4096, 6 * HIDDEN), dtype=np.float32)
 
+    def projected(self, rows: tuple) -> np.ndarray:
+        return inputs(self.p, rows)[0] @ self.weights + self.biases
+
     def places(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table for words; rows of an earlier call may be gone."""
         new = set(words).difference(self.memo)
@@ -318,7 +370,7 @@ class Scorer:
                 self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), dtype=np.float32)])
             for at in range(0, len(fresh), 20_000):
                 part = fresh[at : at + 20_000]
-                self.table[first + at : first + at + len(part)] = inputs(self.p, part)[0] @ self.weights + self.biases
+                self.table[first + at : first + at + len(part)] = self.projected(hashed(part))
             self.memo.update(zip(fresh, range(first, need), strict=True))
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
 
@@ -369,11 +421,8 @@ class Scorer:
             words = words_of(text)
             if not words:
                 continue
-            if len(words) < WINDOW:
-                words += [b""] * (WINDOW - len(words))
-            starts = np.arange(0, len(words) - WINDOW + 1, STRIDE)
-            if starts[-1] != len(words) - WINDOW:
-                starts = np.append(starts, len(words) - WINDOW)
+            starts = window_starts(len(words))
+            words += [b""] * (WINDOW - len(words))
             step = FLUSH_WORDS // STRIDE
             for a in range(0, len(starts), step):
                 part = starts[a : a + step]
@@ -421,27 +470,19 @@ def fit_final(found: np.ndarray, y: np.ndarray, steps: int = 50, l2: float = 0.0
     return mean, scale, w[:-1], float(w[-1])
 
 
-def _sampled_windows(rows: DataFrame) -> list[tuple[int, Bag]]:
-    """Up to SAMPLE_WINDOWS evenly spread windows of each row of doc_id, text, toxic; the sample is bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                starts = np.arange(0, max(len(words) - WINDOW, 0) + 1, STRIDE)
-                if len(starts) > SAMPLE_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int)]
-                out.append([b" ".join(words[s : s + WINDOW]) for s in starts] if words else [])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(2), "windows": pa.array(out, pa.list_(pa.binary()))})
-
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, windows array<binary>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["windows"]))
-    return [(r["doc_id"], Bag(int(r["toxic"] == 1), [bytes(w).split() for w in r["windows"]])) for r in got]
+def _fitting(sizes: list[tuple[int, int, int]], most: tuple[int, int]) -> list[int]:
+    """The ids of (id, toxic, chars) that are taken, in order, as long as those of their label fit."""
+    left, taken = list(most), []
+    for i, toxic, chars in sizes:
+        if chars <= left[toxic]:
+            left[toxic] -= chars
+            taken.append(i)
+    return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: tuple[int, int] = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: tuple[int, int] = SAMPLE, chars: tuple[int, int] = SAMPLE_CHARS) -> Model:
     """Learns from labelled documents outside the held-out fold."""
+    spark = docs.sparkSession
     truth = pick(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id"), folds) != held_out)
     truth = truth.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in truth.groupBy("toxic").count().collect()}
@@ -451,19 +492,27 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     share = F.when(F.col("toxic") == 1, min(1.0, sample[1] / sizes[1])).otherwise(min(1.0, sample[0] / sizes[0]))
     # at most about two samples of ids are broadcast
     chosen = written(truth.where(place < share).limit(2 * sum(sample)).select(F.col("doc_id").alias("id"), "toxic"), "chosen")
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
-    rows = written(rows, "sample")
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("place", place), "sample")
+    found = rows.select("doc_id", "toxic", F.char_length("text").alias("chars"), "place").where("chars > 0").orderBy("place", "doc_id").collect()
+    taken = spark.createDataFrame([(i,) for i in _fitting([(r["doc_id"], r["toxic"], r["chars"]) for r in found], chars)], "id long")
+    rows = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("id"), "left_semi")
     part = F.pmod(F.xxhash64(F.lit(10).cast("long"), "doc_id"), F.lit(4))
-    bags = [b for _, b in _sampled_windows(rows.where(part != 0)) if b.windows]
-    if len({b.toxic for b in bags}) < 2:
+    got = rows.where(part != 0).select("doc_id", "toxic", "text").toArrow()  # at most the sample's characters
+    by = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    corpus = Corpus((got["toxic"][i].as_py(), words_of(got["text"][i].as_py())) for i in by.tolist())
+    del got
+    if len(set(corpus.toxic.tolist())) < 2:
         return Model(None)
-    model = Model(train(bags))
-    found = window_scores(rows.where(part == 0).select("doc_id", "text"), model).join(chosen, F.col("doc_id") == F.col("id")).orderBy("doc_id").collect()
-    found = [r for r in found if r["windows"]]
-    if len({r["toxic"] for r in found}) < 2:  # too few to keep any from training
-        found = window_scores(rows.select("doc_id", "text"), model).join(chosen, F.col("doc_id") == F.col("id")).where("windows > 0").orderBy("doc_id").collect()
-    stats = np.array([[r["largest"], r["mean"], r["windows"], 0] for r in found], dtype=float)
-    model.final = fit_final(stats, np.array([r["toxic"] for r in found], dtype=float))
+    model = Model(train(corpus))
+    del corpus
+    give_back()
+    scored = lambda some: [(r["largest"], r["mean"], r["windows"], r["toxic"]) for r in window_scores(some.select("doc_id", "text"), model).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where("windows > 0").orderBy("doc_id").collect()]
+    stats = scored(rows.where(part == 0))
+    if len({y for *_, y in stats}) < 2:  # too few to keep any from training
+        stats = scored(rows)
+    model.final = fit_final(np.array(stats, dtype=float), np.array([y for *_, y in stats], dtype=float))
+    discard(chosen)
     return model
 
 

@@ -86,6 +86,59 @@ def test_language(spark):
     assert by[903].lang_pred == "en" and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_language(model, text):
+    """Prediction from the definition: letters, n-grams one by one, TF-IDF, unit length, softmax at the temperature."""
+    m32 = (1 << 32) - 1
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    if not low.strip():
+        return "und", 0.0
+    points = [0, *[0 if c == " " else ord(c) for c in " ".join(low.split())], 0]
+    tf = {}
+    for i in range(len(points)):
+        h = 0
+        for k, mult in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            if i + k < len(points):
+                h = ((h ^ points[i + k]) * mult) & m32
+                h ^= h >> 15
+                f = ((h * 0x2C1B3C6D) & m32) >> 17
+                tf[f] = tf.get(f, 0) + 1
+    x = {f: (1 + np.log(n)) * float(model.idf[f]) for f, n in tf.items()}
+    length = sum(v * v for v in x.values()) ** 0.5
+    z = sum((v / length) * model.weights[f].astype(float) for f, v in x.items()) + model.weights[-1]
+    p = np.exp((z - z.max()) / model.temperature)
+    return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_predictions_are_those_of_plain_arithmetic(spark):
+    rows = [r[:4] for r in corpus(80)] + [(900, "İstanbul ΣΑΣ ǅ 中文 \U00020000\U00020001!", "zh", "s"), (901, " a  B\tc ", "en", "s"), (902, None, "en", "s")]
+    df = documents(spark, rows)
+    model = language.fit(language.learnable(df))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df.select("doc_id", "text"), model).collect()}
+    for i, text, *_ in rows:
+        want = plain_language(model, text)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-4)
+
+
+def test_what_is_no_letter_in_any_plane():
+    for text in ("123 \U000F0000", "1 \U000E0101", "\U0001F600", "\U000E0041", "\ufe0f \ue000"):
+        assert not language.grams(text).size, text
+    assert language.grams("\U00020000").size and language.grams("1\U0001D400").size
+
+
+def test_every_language_is_learned(spark):
+    """More values than any cap that there was, and a table of weights with room for fewer."""
+    rng, rows = random.Random(5), []
+    for i in range(1200):
+        mark = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+        rows += [(6 * i + j, f"{mark} {mark}" * 3, f"l{i}", "s") for j in range(6)]
+    df = documents(spark, rows)
+    model = language.fit(language.learnable(df))
+    assert len(model.languages) == 1200 and model.weights.size <= language.WEIGHTS + 1200 < language.FEATURES * 1200
+    got = {r.doc_id: r.lang_pred for r in language.predict(df.where("doc_id % 6 = 0").select("doc_id", "text"), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, _ in rows if i in got]) > 0.5
+    assert len(set(got.values())) > 600
+
+
 def test_language_of_nothing(spark):
     assert language.identify(documents(spark, [])).count() == 0
     assert [r.lang_pred for r in language.identify(documents(spark, [(1, "abc", None, "s")])).collect()] == ["und"]
@@ -101,18 +154,19 @@ def test_temperature_and_ftrl():
 
 def test_gradient_of_the_network():
     p = {k: v.astype(np.float64) for k, v in toxicity.init().items()}
-    words, at, mask = toxicity._indexed([[b"the", b"zork", b"of"], [b"a"], [b"la", b"the", b"die", b"und"]])
-    y = np.array([1, 0, 1.0])
-    _, g = toxicity.loss_and_gradient(p, words, at, mask, y)
+    corpus = toxicity.Corpus(iter([(1, [b"the", b"zork", b"of"]), (0, [b"a"]), (1, [b"la", b"the", b"die", b"und"])]))
+    words, at, mask = corpus.windows(np.arange(3))
+    rows, y = corpus.rows(words), np.array([1, 0, 1.0])
+    _, g = toxicity.loss_and_gradient(p, rows, at, mask, y)
     rng = np.random.default_rng(0)
     for k in p:
         places = np.argwhere(np.abs(g[k]) > 1e-6)
         for ix in map(tuple, places[rng.permutation(len(places))[:3]]):
             kept, e = p[k][ix], 1e-3
             p[k][ix] = kept + e
-            up = toxicity.loss_and_gradient(p, words, at, mask, y)[0]
+            up = toxicity.loss_and_gradient(p, rows, at, mask, y)[0]
             p[k][ix] = kept - e
-            down = toxicity.loss_and_gradient(p, words, at, mask, y)[0]
+            down = toxicity.loss_and_gradient(p, rows, at, mask, y)[0]
             p[k][ix] = kept
             assert (up - down) / 2 / e == pytest.approx(g[k][ix], rel=0.02, abs=1e-5)
 
@@ -130,6 +184,74 @@ def test_all_windows_are_scored():
     assert many[10, 0] == pytest.approx(alone[0, 0], abs=1e-5)
 
 
+def plain_window(p, words):
+    """The logit of one window, word by word in double precision, from the definition of the network."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, h = {k: v.astype(np.float64) for k, v in p.items()}, toxicity.HIDDEN
+    x = []
+    for w in words:
+        word_row, gram_row, _ = toxicity.hashed([w])
+        x.append(np.concatenate([p["word"][word_row[0]], p["char"][gram_row].mean(axis=0) if len(gram_row) else np.zeros(toxicity.CHAR_DIM)]))
+    states = {}
+    for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        state, own = np.zeros(h), {}
+        for t in order:
+            a = x[t] @ p[f"wx{side}"] + p[f"b{side}"]
+            zr = sig(a[: 2 * h] + state @ p[f"uzr{side}"])
+            c = np.tanh(a[2 * h :] + (zr[h:] * state) @ p[f"uh{side}"])
+            state = own[t] = state + zr[:h] * (c - state)
+        states[side] = own
+    s = np.array([np.concatenate([states["f"][t], states["b"][t]]) for t in range(len(x))])
+    weight = np.exp(s @ p["att"] - (s @ p["att"]).max())
+    return (weight / weight.sum()) @ s @ p["out"] + p["bias"][0]
+
+
+def test_scores_are_those_of_plain_recurrence(spark):
+    """Every document's score against one window after the other, without batches, memo or hashing of many words at once."""
+    rows = corpus(60, toxic=True)
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int")
+    df = documents(spark, [r[:4] for r in rows] + [(70, "one", "en", "s"), (71, "w " * 77, "en", "s")])
+    model = toxicity.fit(df, labels)
+    got = {r.doc_id: r for r in toxicity.window_scores(df, model).collect()}
+    mean, scale, weight, constant = model.final
+    for i, text, *_ in [*rows[::5], (70, "one"), (71, "w " * 77)]:
+        words = toxicity.words_of(text)
+        starts = sorted({*range(0, max(len(words) - toxicity.WINDOW, 0) + 1, toxicity.STRIDE), max(len(words) - toxicity.WINDOW, 0)})
+        logit = np.array([plain_window(model.parameters, words[s : s + toxicity.WINDOW]) for s in starts])
+        x = np.array([np.clip(logit.max(), -12, 12), (1 / (1 + np.exp(-logit))).mean(), np.log1p(len(logit))])
+        want = 1 / (1 + np.exp(-((x - mean) / scale @ weight + constant)))
+        assert got[i].windows == len(starts) and got[i].score == pytest.approx(want, abs=2e-4)
+
+
+def test_windows_of_whole_texts_are_learned_from():
+    words = [f"w{i}".encode() for i in range(5000)]
+    c = toxicity.Corpus(iter([(1, words), (0, words[:40]), (0, [])]))
+    seen = {int(w) for k in range(len(c.start)) for w in c.windows(np.array([k]))[0]}
+    assert seen == set(range(5000)) and c.toxic.tolist() == [1, 0]
+    for a, b in zip(c.rows(np.array([7, 3])), toxicity.hashed([b"w7", b"w3"]), strict=True):
+        assert sorted(a.tolist()) == sorted(b.tolist())
+
+
+def test_a_toxic_passage_deep_in_a_long_text_is_learned(spark):
+    """The only toxic words lie beyond any prefix; ids that repeat are learned from by their smallest text, in any order of rows."""
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(1500 if i % 2 else 40)]
+        if toxic := i % 4 == 1:
+            words[1203:1203] = [rng.choice(["zorkface", "zorkhead"]) for _ in range(4)]
+        rows.append((i, " ".join(words), "en", "s", int(toxic)))
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int")
+    docs = [r[:4] for r in rows] + [(3, "zzz other text", "en", "s")]
+    one, other = (toxicity.fit(documents(spark, d), labels) for d in (docs, docs[::-1]))
+    assert all((one.parameters[k] == other.parameters[k]).all() for k in one.parameters)
+    got = {r.doc_id: r.score for r in toxicity.window_scores(documents(spark, [r[:4] for r in rows]), one).collect()}
+    assert np.mean([got[r[0]] >= 0.7 for r in rows if r[4]]) > 0.9 and np.mean([got[r[0]] >= 0.7 for r in rows if not r[4]]) < 0.1
+
+
+def test_sample_of_texts_is_bounded():
+    assert toxicity._fitting([(1, 0, 5), (2, 0, 50), (3, 1, 7), (4, 0, 5), (5, 0, 1)], (10, 7)) == [1, 3, 4]
+
+
 def test_toxicity(spark):
     rows = corpus(400, toxic=True)
     labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows] + [(None, 1, 1), (5000, 1, None)], "doc_id long, quality int, toxic int")

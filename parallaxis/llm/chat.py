@@ -8,7 +8,9 @@ opens a mark of the template, and reading back is exact.
 
 One conversation becomes one string, so it must fit a row, as the format asks; nothing else is gathered
 by key. Null roles and texts count as empty, null conversations are one conversation, null turns stand
-first, and rows that tie on the turn are ordered by role, then text. An empty table gives an empty result.
+first, and rows that tie on the turn are ordered by role, then by their text as it is before it is escaped, with
+placeholders where attachments stand, each by code point. Rows that repeat are turns of their own; long texts stay
+whole. An empty table gives an empty result.
 Other columns are ignored. No Python runs on executors.
 """
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pick
+
 OPEN, BREAK, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 TYPES = ("text", "image", "audio", "document")
 #: Tokens that a placeholder stands for where its part doesn't say.
@@ -66,13 +70,20 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
 
 
+def in_order(a: Column, b: Column) -> Column:
+    """How two turns compare. Texts are unescaped only where turn and role are equal."""
+    less = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    turn = F.when(a["turn"].isNull() | b["turn"].isNull(), b["turn"].isNull().cast("int") - a["turn"].isNull().cast("int")).otherwise(less(a["turn"], b["turn"]))
+    return F.when(turn != 0, turn).when(a["role"] != b["role"], less(a["role"], b["role"])).otherwise(less(unescape(a["body"]), unescape(b["body"])))
+
+
 def format_chats(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """messages: conv_id, turn, role, parts (array<{PART}>). A row per conversation: conv_id, n_turns,
     formatted, loss_spans (start, chars; code points from 0 within formatted, over the texts of trained
     roles), attachments (ordinal, type, ref, tokens) and attachment_tokens."""
     body = F.array_join(F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit), "")
     role = F.coalesce("role", F.lit(""))
-    turns = messages.select("conv_id", "turn", role.alias("role"), body.alias("body"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
+    turns = pick(messages, "conv_id", "turn", "role", "parts").select("conv_id", "turn", role.alias("role"), body.alias("body"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(BREAK))
     turn = F.struct(
         "turn", "role", "body",
@@ -82,7 +93,7 @@ def format_chats(messages: DataFrame, trained: tuple[str, ...] = ("assistant",))
         F.col("role").isin(*trained).alias("learn"),
         F.filter("parts", lambda p: p["type"].isin(*EXPANDS)).alias("files"),
     )
-    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn), in_order).alias("t"))
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,chars:bigint>>").alias("spans"))
 
     def step(acc: Column, t: Column) -> Column:

@@ -11,7 +11,7 @@ a query); the README has the measured recall. Blocks have at most about BLOCK_RO
 into a block are dealt into pieces of about QUERY_PIECE, so the work of a task is bounded.
 
 Rows that repeat count once, and of several vectors of an id the best for a query counts.
-Vectors that are null, all zero, or hold null or non-finite components take no part. Rows with equal vectors are kept
+Vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows without an id. Rows with equal vectors are kept
 apart along the curve by their ids, so a common vector fills many blocks instead of one. With fewer
 than k candidates all that are found are returned. Other columns are ignored.
 """
@@ -109,9 +109,9 @@ def _first_k(i: np.ndarray, score: np.ndarray, ids: np.ndarray, j: np.ndarray, k
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES, window: float = WINDOW, seed: int = SEED) -> DataFrame:
     """rows, queries: id, v (queries are rows too). Returns query_id, rank, vec_id, score. window: the share of
     all rows that a query looks at on either side along each curve."""
-    rows = written(rows.select("id", "v").distinct(), "rows")
+    rows = written(rows.select("id", "v").where("id IS NOT NULL").distinct(), "rows")
     every = keyed(rows, curves, seed)
-    wanted = written(queries.select(F.col("id").alias("wanted")).distinct(), "wanted")
+    wanted = written(queries.select(F.col("id").alias("wanted")).where("wanted IS NOT NULL").distinct(), "wanted")
     asked, n = wanted.count(), rows.count()
     # a range partition is a block; the ids keep equal keys apart
     parts = curves * max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
@@ -158,5 +158,5 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVE
 
 def vectors(table: DataFrame) -> DataFrame:
     """id, v of usable rows that aren't all zero."""
-    rows = pick(table, "vec_id", "embedding").where(usable(F.col("embedding")) & F.exists("embedding", lambda v: v != 0))
+    rows = pick(table, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda v: v != 0))
     return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))

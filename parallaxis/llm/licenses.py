@@ -1,14 +1,15 @@
 """License scans with a positional rare-token index.
 
-Each template is a short word sequence with a mandatory key phrase. Over all documents the document
-frequency of every template word is counted; the rarest words of a template's key phrase (those of the
-highest IDF) are its postings, each with its place in the template. A file is looked up by these words
-only: where the places of all of a template's postings agree on one start, the key phrase is verified
-there word by word, and the rest of the template is compared for the score.
+Each template is a word sequence, a phrase or a licence's notice, with a mandatory key phrase. Over all documents the
+document frequency of every key word is counted; the rarest words of a template's key phrase (those of the
+highest IDF) are its postings. The index is a map from a word to the postings that it has: template and place. Every word
+of a file is asked for once, whatever the number of templates; each posting gives the start that its template would have
+there, and where all postings of a template agree on a start, the key phrase is verified word by word and the whole
+template is compared for the score.
 
 A start can only hold a key phrase if all its words stand there, so lookup by any of its words finds every
 place; the IDF decides which words are looked up, never which places are found. No Python runs on
-executors, nothing is shuffled but one counter for each template word.
+executors, nothing is shuffled but one counter for each key word. Whole texts of any length are scanned.
 
 Null or empty texts have no words and no labels. Repeated rows each get their row. An empty table gives an
 empty result. Other columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,22 +56,28 @@ BASE = (
     template("apache", "apache license", "apache license", base=True),
     template("gpl", "general public license", "general public license", base=True),
 )
-#: Well-known license wordings beside them.
+#: Well-known license wordings beside them: lines that name a licence, and the notices and opening clauses of licences. Fixed values.
 MORE = (
     template("apache", "licensed under the apache license version 2 0", "the apache license version 2 0"),
     template("mit", "released under the mit license", "under the mit license"),
     template("gpl", "licensed under the gnu general public license version 3", "gnu general public license version"),
-    template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     template("cc", "licensed under a creative commons attribution license", "creative commons attribution"),
-    template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    template("lgpl", "gnu lesser general public license", "lesser general public license"),
-    template("agpl", "gnu affero general public license", "affero general public license"),
-    template("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute"),
-    template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+    template("cc0", "creative commons cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
+    template("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    template("epl", "made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "permission is hereby granted free of charge"),
+    template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
+    template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "under the terms of the gnu general public license"),
+    template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
+    template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute"),
+    template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
+    template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "will the authors be held liable for any damages arising"),
+)
 TEMPLATES = BASE + MORE
 
 
@@ -96,23 +104,18 @@ def postings(templates: tuple[Template, ...], n: int, df: dict[str, int], most:
     return out
 
 
-def _starts(words: Column, place: int, word: str) -> Column:
-    """Where a template would start if the word at its place stood where the file has that word."""
-    found = F.transform(words, lambda w, i: F.when(w == F.lit(word), i - F.lit(place)))
-    return F.array_compact(found)
-
+#: A start is a long: the template's number above, and below it the place in the file's words, to which ZERO is added.
+PLACE_BITS, ZERO = 32, 1 << 16
 
-def _verified(words: Column, starts: Column, t: Template) -> Column:
-    at, n, key = t.key_at, t.key_len, F.array(*map(F.lit, t.key))
-    return F.filter(starts, lambda s: (s + at >= 0) & (F.slice(words, F.greatest(s + at, F.lit(0)) + 1, n) == key))
 
-
-def _agreement(words: Column, starts: Column, t: Template) -> Column:
-    """The largest share of the template's words that stand at their places, over the starts."""
-    same = lambda s: sum(
-        (F.when(F.get(words, s + i) == F.lit(w), 1).otherwise(0) for i, w in enumerate(t.words)), F.lit(0)
-    )
-    return F.coalesce(F.array_max(F.transform(starts, same)), F.lit(0)) / F.lit(float(len(t.words)))
+def index_of(templates_postings: list[list[tuple[int, str]]], level: int) -> Column:
+    """A map from word to the starts, for a word at place 0, of the templates that have it as their posting of this level (or their last)."""
+    by: dict[str, list[int]] = {}
+    for t, posts in enumerate(templates_postings):
+        place, word = posts[min(level, len(posts) - 1)]
+        by.setdefault(word, []).append((t << PLACE_BITS) + ZERO - place)
+    entries = [x for w, starts in sorted(by.items()) for x in (F.lit(w), F.array(*[F.lit(s).cast("long") for s in starts]))]
+    return F.create_map(*entries)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, lookups: int = 2) -> DataFrame:
@@ -122,70 +125,71 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     words = pick(docs, "doc_id", "text").select("doc_id", words_of(F.col("text")).alias("w"))
     vocabulary = sorted({w for t in templates for w in t.key})
     n, df = document_frequencies(words, vocabulary)
-    index = postings(templates, n, df, lookups)
-    rare = sorted({p[0][1] for p in index})
-    w = F.col("w")
-    found = []
-    for t, posts in zip(templates, index, strict=True):
-        starts = _starts(w, *posts[0])
-        for p in posts[1:]:
-            starts = F.array_intersect(starts, _starts(w, *p))
-        found.append(_verified(w, starts, t))
-    none = F.array().cast("array<int>")
-    # files without any of the looked-up words take no part in what follows
-    looked = words.withColumn("hit", F.arrays_overlap("w", F.array(*map(F.lit, rare)))).withColumn(
-        "found", F.when(F.col("hit"), F.array(*found)).otherwise(F.array_repeat(none, len(templates)))
-    )
-    at = lambda i: F.get(F.col("found"), F.lit(i))
-    base = [i for i, t in enumerate(templates) if t.base]
-    places = F.flatten(F.array(*map(at, base)))
-    labels = lambda which: F.array_join(
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(at(i)) > 0, F.lit(templates[i].label)) for i in which])))), ","
-    )
-    score = F.greatest(*[_agreement(w, at(i), t) for i, t in enumerate(templates)])
-    matches = F.filter(F.array(*[F.struct(F.lit(t.label).alias("label"), at(i).alias("starts")) for i, t in enumerate(templates)]), lambda m: F.size(m["starts"]) > 0)
-    return looked.select(
+    posts = postings(templates, n, df, lookups)
+    w, none = F.col("w"), F.array().cast("array<long>")
+    rare = sorted({word for p in posts for _, word in p})
+    table = lambda values: F.array(*values)
+    key_at, key_len = table([F.lit(t.key_at) for t in templates]), table([F.lit(t.key_len) for t in templates])
+    keys, wholes = (table([F.array(*map(F.lit, ws)) for ws in each]) for each in ([t.key for t in templates], [t.words for t in templates]))
+    label, is_base = table([F.lit(t.label) for t in templates]), table([F.lit(t.base) for t in templates])
+    number = lambda s: F.shiftright(s, PLACE_BITS).cast("int")
+    start = lambda s: (s.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) - ZERO).cast("int")
+
+    looked_up = words.withColumn("hits", F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(*rare), i))))
+
+    def starts(index: Column) -> Column:
+        return F.flatten(F.transform("hits", lambda i: F.transform(F.coalesce(F.try_element_at(index, F.get(w, i)), none), lambda s: s + i)))
+
+    agreed = reduce(F.array_intersect, [starts(index_of(posts, level)) for level in range(lookups)])
+    agreed = F.when(F.size("hits") > 0, agreed).otherwise(none)
+
+    def verified(s: Column) -> Column:
+        t, at = number(s), start(s) + F.get(key_at, number(s))
+        return (at >= 0) & (F.slice(w, F.greatest(at, F.lit(0)) + 1, F.get(key_len, t)) == F.get(keys, t))
+
+    def agreement(s: Column) -> Column:
+        whole = F.get(wholes, number(s))
+        same = F.transform(whole, lambda x, j: F.when(F.get(w, start(s) + j) == x, 1).otherwise(0))
+        return F.aggregate(same, F.lit(0), lambda a, x: a + x) / F.size(whole).cast("double")
+
+    found = looked_up.withColumn("agreed", agreed).withColumn("found", F.filter("agreed", verified))
+    base = F.filter("found", lambda s: F.get(is_base, number(s)))
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda s: F.get(label, number(s))))), ",")
+    own = lambda t: F.transform(F.filter("found", lambda s: number(s) == t), start)
+    return found.withColumn("base", base).select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.when(F.col("hit"), F.size(places)).otherwise(0).cast("long").alias("n_base"),
-        F.when(F.col("hit"), F.array_min(places)).cast("long").alias("first_word"),
-        F.when(F.col("hit"), F.array_max(places)).cast("long").alias("last_word"),
-        F.when(F.col("hit"), labels(base)).otherwise("").alias("base_labels"),
-        F.when(F.col("hit"), labels(range(len(templates)))).otherwise("").alias("labels"),
-        F.when(F.col("hit"), score).otherwise(0.0).alias("score"),
-        F.when(F.col("hit"), matches).otherwise(F.array().cast(looked.select(matches.alias("m")).schema["m"].dataType)).alias("matches"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", start)).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", start)).cast("long").alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("found").alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", agreement)), F.lit(0.0)).alias("score"),
+        F.transform(F.array_sort(F.array_distinct(F.transform("found", number))), lambda t: F.struct(F.get(label, t).alias("label"), own(t).alias("starts"))).alias("matches"),
     )
 
 
 def oracle(templates: tuple[Template, ...] = TEMPLATES) -> str:
-    """DuckDB SQL for the digest columns of the query."""
+    """DuckDB SQL for the digest columns of the query: every place of a key's first word is compared with the whole key."""
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    starts = ",\n".join(
-        f"list_filter(range(len(w) - {t.key_len} + 1), lambda i: w[i + 1 : i + {t.key_len}] = {quoted(t.key)}) AS s{k}"
-        for k, t in enumerate(templates)
-    )
-    share = lambda k, t: (
-        f"coalesce(list_max(list_transform(s{k}, lambda i: "
-        + " + ".join(f"CASE WHEN i - {t.key_at} + {j} >= 0 AND w[i - {t.key_at} + {j} + 1] = '{x}' THEN 1 ELSE 0 END" for j, x in enumerate(t.words))
-        + f")), 0) / {float(len(t.words))}::DOUBLE"
-    )
-    label = lambda ks: (
-        "array_to_string(list_sort(list_distinct(list_filter(["
-        + ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{templates[k].label}' END" for k in ks)
-        + "], lambda x: x IS NOT NULL))), ',')"
-    )
-    base = [k for k, t in enumerate(templates) if t.base]
-    all_base = " || ".join(f"s{k}" for k in base)
+    rows = ",\n".join(f"('{t.label}', {str(t.base).lower()}, {t.key_at}, {quoted(t.key)}, {quoted(t.words)})" for t in templates)
     return f"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH t(label, base, key_at, phrase, whole) AS (VALUES {rows}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents
-), f AS (
-  SELECT doc_id, w, {starts} FROM d
+), u AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d
+), p AS (
+  SELECT u.r, u.i, t.* FROM u JOIN t ON u.x = t.phrase[1]
+), m AS (
+  SELECT p.*, list_sum(list_transform(range(len(whole)), lambda j: CASE WHEN i - key_at + j >= 0 AND w[i - key_at + j + 1] = whole[j + 1] THEN 1 ELSE 0 END)) / len(whole)::DOUBLE AS share
+  FROM p JOIN d USING (r) WHERE w[i + 1 : i + len(phrase)] = phrase
+), g AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM m GROUP BY r
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, len({all_base})::BIGINT AS n_base,
-       list_min({all_base})::BIGINT AS first_word, list_max({all_base})::BIGINT AS last_word,
-       {label(base)} AS base_labels, {label(range(len(templates)))} AS labels,
-       greatest({", ".join(share(k, t) for k, t in enumerate(templates))}) AS score
-FROM f"""
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)"""

@@ -21,8 +21,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     messages = rows.unionByName(extra).withColumn("parts", chat.text_part(F.col("text")))
     out = chat.format_chats(messages)
     back = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
@@ -73,8 +72,7 @@ def op5_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = covertree.scaled_integers(table(spark, sf_dir, "embeddings"))
-    found = covertree.top_k(rows.where(F.col("id") % 50 == 0), rows, k=5)
-    return found.withColumn("score", F.col("score").cast("long"))
+    return covertree.top_k(rows.where(F.col("id") % 50 == 0), rows, k=5)
 
 
 def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

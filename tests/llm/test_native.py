@@ -38,6 +38,27 @@ def test_license_scan_matches_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute_licenses(text), text
 
 
+def test_license_scan_with_many_templates(spark):
+    """An index of 200 templates with words in common, and other numbers of lookups."""
+    rng = random.Random(6)
+    phrase = lambda n: " ".join(rng.choices("abcdefgh", k=n))
+    made, seen = list(licenses.BASE), set()
+    while len(made) < 200:
+        whole = phrase(rng.randint(3, 9)).split()
+        at, n = rng.randrange(len(whole) - 1), rng.randint(2, 4)
+        made.append(licenses.template(f"l{len(made)}", " ".join(whole), " ".join(whole[at : at + n])))
+    rows = [(i, phrase(rng.randint(0, 60)), "en", "s") for i in range(60)] + [(100, "mit license " * 3000, "en", "s")]
+    kept, licenses.TEMPLATES = licenses.TEMPLATES, tuple(made)
+    try:
+        want = [brute_licenses(t) for _, t, _, _ in rows]
+    finally:
+        licenses.TEMPLATES = kept
+    for lookups in (1, 3):
+        got = licenses.scan_licenses(documents(spark, rows), tuple(made), lookups).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got] == want
+        assert got[-1].matches[0].starts == list(range(0, 6000, 2))
+
+
 def test_license_scan_of_nothing(spark):
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
@@ -51,6 +72,7 @@ def test_chat_reads_back_what_went_in(spark):
     alphabet = ["<", "|", "turn", "end", ">", "&", "amp;", "lt;", "[", "INST", "]", "\n", "\\", "é", "😀", "&lsqb;", "</s>", "a "]
     rng = random.Random(4)
     rows = [(c, t, rng.choice(["user", "assistant", "<|end|>\n", None]), rng.choice([None, "", "".join(rng.choices(alphabet, k=rng.randint(1, 9)))])) for c in range(40) for t in range(rng.randint(1, 6))]
+    rows += [(60, 1, "user", x) for x in ("[x", "<a", "1a", "Zz", "&", "[", "1a")] + [(60, 1, "User", "b"), (60, None, "user", "[")]
     rows += [(99, 0, "user", "x" * 200_000), (99, None, "assistant", "<|end|>\n"), (None, 1, "user", "a"), (50, 1, "user", "b"), (50, 1, "user", "a"), (50, 1, "user", "a")]
     out = chat.format_chats(messages(spark, rows)).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     assert len(out) == len({r[0] for r in rows})
@@ -61,6 +83,12 @@ def test_chat_reads_back_what_went_in(spark):
         assert r.formatted.count("<|turn|>") == r.formatted.count("<|end|>\n") == len(own)
 
 
+def test_chat_bears_other_columns(spark):
+    rows = messages(spark, [(1, 0, "user", "a"), (1, 1, "assistant", "b")])
+    clash = rows.select("*", F.lit(3).alias("Turn"), F.lit(7).alias("Role"), F.lit(1).alias("body"), F.lit(2).alias("t"))
+    assert clash.count() == 2 and chat.format_chats(clash).first() == chat.format_chats(rows).first()
+
+
 def test_chat_parts(spark):
     df = spark.createDataFrame(
         [(1, 0, "user", [("text", "see [", None, None), ("image", None, "i.png", 10), ("audio", None, "a.wav", None), ("text", None, None, None), ("document", "ignored", "d.pdf", None)]), (1, 1, "assistant", None)],

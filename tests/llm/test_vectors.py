@@ -159,6 +159,16 @@ def test_neighbours_of_repeated_rows(spark):
     assert [r[1] for r in got] == want and np.allclose([r[2] for r in got], [best[i] for i in want])
 
 
+def test_neighbours_without_an_id(spark):
+    """Rows without an id, and vectors that are empty, take no part."""
+    rows = vectors(40, 6)
+    x = curves.vectors(spark.createDataFrame(rows + [(None, rows[0][1], 0), (None, None, 0), (60, [], 0), (80, [0.0], 0)], SCHEMA))
+    got = curves.search(x, x.where("id % 20 = 0"), k=20, window=1.0).collect()
+    assert {r.query_id for r in got} == {0, 20} and all(r.vec_id is not None and r.vec_id < 40 for r in got)
+    bare = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 0.0])], "id long, v array<double>")
+    assert [(r.query_id, r.vec_id) for r in curves.search(bare, bare).collect()] and {r.query_id for r in curves.search(bare, bare).collect()} == {1, 2}
+
+
 def test_few_or_no_vectors(spark):
     few = curves.vectors(spark.createDataFrame(vectors(3), SCHEMA))
     assert curves.search(few, few.where("id = 0"), k=20).count() == 2

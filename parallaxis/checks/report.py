@@ -65,7 +65,7 @@ def _streams(t: Tables) -> DataFrame:
         _all(~color | geometry.is_pose(F.col("tracking_state"), F.col("world_from_camera"))).alias("posed"),
     )
     packed = F.col("depth_width") * 4
-    strides = f.where(~color).join(F.broadcast(t.recordings.select("scan_id", "depth_width")), "scan_id")
+    strides = f.where(~color).join(t.recordings.select("scan_id", "depth_width"), "scan_id")
     strides = strides.groupBy("scan_id").agg(_all(F.when(got, F.coalesce(F.col("bytes_per_row") >= packed, F.lit(False))).otherwise(F.col("bytes_per_row").isNull())).alias("strides"))
     return delivered.join(strides, "scan_id", "left")
 
@@ -81,7 +81,7 @@ def _times(t: Tables, p: DataFrame) -> DataFrame:
 def _carried(t: Tables, p: DataFrame) -> DataFrame:
     """Whether the depth intrinsics are the same-instant colour frame's carried to the depth map; not if there is no pair."""
     r = t.recordings.select("scan_id", "camera", geometry.ratio(F.col("depth_width"), F.col("color_width")).alias("sx"), geometry.ratio(F.col("depth_height"), F.col("color_height")).alias("sy"))
-    rows = p.where("color_index IS NOT NULL").join(F.broadcast(r), "scan_id")
+    rows = p.where("color_index IS NOT NULL").join(r, "scan_id")
     k = [F.col(f"color_k.{n}") for n in K]
     match = F.lit(True)
     for n, rear, front in zip(K, geometry.grid_carried(k, F.col("sx"), F.col("sy")), geometry.plainly_scaled(k, F.col("sx"), F.col("sy")), strict=True):
@@ -96,7 +96,7 @@ def _calibrated(t: Tables) -> DataFrame:
     """For the tables of a front camera: a line per depth frame, with its index and time; and its intrinsics scaled from the line's."""
     c = t.calibrations.withColumn("cal", F.from_json("calibration_json", CALIBRATION))
     d = series.numbered(t.frames.where("stream = 'depth' AND frame_index IS NOT NULL").select("scan_id", F.col("frame_index").alias("di"), F.col("ts").alias("dts"), "intrinsics", "pos"), ["scan_id"], ["pos"], "line_no")
-    size = F.broadcast(t.recordings.where("camera = 'front' AND format_minor < 8").select("scan_id", "depth_width", "depth_height"))
+    size = t.recordings.where("camera = 'front' AND format_minor < 8").select("scan_id", "depth_width", "depth_height")
     rows = d.join(c.withColumn("line_no", F.col("line_no").cast("long")), ["scan_id", "line_no"], "full").join(size, "scan_id")
     at = lambda i, j: F.col("cal.intrinsic_matrix_row_major")[i][j].cast("float")
     sx, sy = geometry.ratio(F.col("depth_width"), F.col("cal.intrinsic_reference_width")), geometry.ratio(F.col("depth_height"), F.col("cal.intrinsic_reference_height"))
@@ -143,7 +143,7 @@ def spatial(t: Tables, p: DataFrame) -> DataFrame:
     good = p.where("color_index IS NOT NULL AND color_k IS NOT NULL AND depth_k IS NOT NULL").join(shares, ["scan_id", "depth_index"])
     chosen = series.subsample(good, ["scan_id"], ["depth_index"], alignment.MOST_PAIRS)
     blob = lambda s: getattr(t, s).select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct("width", "height", "pixel_format", "encoding", "data").alias(s))
-    rows = chosen.join(blob("color"), ["scan_id", "color_index"]).join(blob("depth"), ["scan_id", "depth_index"]).join(F.broadcast(t.recordings.select("scan_id", "camera")), "scan_id")
+    rows = chosen.join(blob("color"), ["scan_id", "color_index"]).join(blob("depth"), ["scan_id", "depth_index"]).join(t.recordings.select("scan_id", "camera"), "scan_id")
     return kernels.alignment_report(kernels.alignment_fits(rows))
 
 

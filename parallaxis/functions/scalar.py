@@ -18,12 +18,15 @@ def scan_id(start: Column, camera: Column, name: Column) -> Column:
 
 
 def entered(name: Column) -> Column:
-    """A name without the spaces around it; null if nothing is left."""
-    return F.nullif(F.trim(name), F.lit(""))
+    """A name without the white space and line ends around it; null if nothing is left."""
+    space = r"[\p{Z}\x09-\x0D\x85]+"
+    return F.nullif(F.regexp_replace(name, f"^{space}|{space}\\z", ""), F.lit(""))
 
 
 def display_name(name: Column, start: Column, camera: Column) -> Column:
-    return F.coalesce(entered(name), F.concat_ws(" ", camera, F.date_format(start, "yyyy-MM-dd HH:mm:ss")))
+    """The name that was given, or else the start, in the session's zone, and which camera it was."""
+    side = F.when(camera == "front", "Front").otherwise("Rear")
+    return F.coalesce(entered(name), F.concat_ws(" ", F.date_format(start, "yyyy-MM-dd HH:mm:ss"), side))
 
 
 def sha256(data: Column) -> Column:
@@ -78,15 +81,38 @@ def flag(value: Column) -> Column:
     return F.when(value, "1").when(~value, "0").otherwise("")
 
 
-def upload_label(state: Column) -> Column:
-    """What a list shows for a state of upload."""
-    named = {"none": "Not uploaded", "waiting": "Waiting", "uploading": "Uploading", "stored": "Stored", "failed": "Failed"}
-    out = F.lit("Unknown")
-    for k, v in named.items():
-        out = F.when(state == k, v).otherwise(out)
+#: What a list shows for a state of upload. {} is the step that an upload is in, or what it failed with.
+UPLOAD_LABELS = {
+    "not_uploaded": "not uploaded",
+    "in_progress": "{}",
+    "uploaded": "uploaded, checking the server stored it",
+    "failed": "upload failed: {}",
+    "kept_on_phone": "kept on this phone",
+}
+
+
+def upload_label(state: Column, detail: Column) -> Column:
+    """What a list shows for a state of upload; null for a state that isn't known."""
+    out = F.lit(None).cast("string")
+    for k, label in UPLOAD_LABELS.items():
+        out = F.when(state == k, F.replace(F.lit(label), F.lit("{}"), F.coalesce(detail, F.lit("")))).otherwise(out)
     return out
 
 
+def can_start(state: Column) -> Column:
+    """Whether an upload may begin: not while one is under way, and not of what stays on the phone."""
+    return F.coalesce(state.isin("not_uploaded", "uploaded", "failed"), F.lit(False))
+
+
+def orientation(degrees: Column, mirrored: Column) -> Column:
+    """How a picture is shown that is turned clockwise by so much and then, if mirrored, flipped left to right: a flip after a
+    quarter turn is that of the opposite quarter. Null for what is no multiple of 90."""
+    plain = F.array(*map(F.lit, ("up", "right", "down", "left")))
+    flipped = F.array(*map(F.lit, ("up_mirrored", "left_mirrored", "down_mirrored", "right_mirrored")))
+    quarter = (F.pmod(degrees, F.lit(360)) / 90).cast("int")
+    return F.when(F.pmod(degrees, F.lit(90)) == 0, F.get(F.when(mirrored, flipped).otherwise(plain), quarter))
+
+
 def upload_key(upload_id: Column, own_id: Column) -> Column:
     return F.coalesce(upload_id, own_id)
 

@@ -48,7 +48,7 @@ def decoded(blobs: DataFrame) -> DataFrame:
 
 def bgr(blobs: DataFrame, recordings: DataFrame) -> DataFrame:
     """Colour frames as 8-bit BGR (rows of pixels)."""
-    rows = blobs.where("stream = 'color'").join(F.broadcast(recordings.select("scan_id", "ycbcr_matrix")), "scan_id")
+    rows = blobs.where("stream = 'color'").join(recordings.select("scan_id", "ycbcr_matrix"), "scan_id")
 
     def one(r) -> tuple:
         return r.scan_id, r.frame_index, r.width, r.height, image.to_bgr(pixels(r), r.ycbcr_matrix).tobytes()
@@ -84,7 +84,7 @@ def depth_values(blobs: DataFrame, step: int = 1) -> DataFrame:
 
 
 def luma_edges(blobs: DataFrame, recordings: DataFrame) -> DataFrame:
-    size = F.broadcast(recordings.select("scan_id", "depth_width", "depth_height"))
+    size = recordings.select("scan_id", "depth_width", "depth_height")
 
     def one(r) -> tuple:
         luma = image.planes(pixels(r))[0]

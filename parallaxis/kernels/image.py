@@ -162,11 +162,6 @@ def letterboxed(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return out
 
 
-def orientation(degrees: int, mirrored: bool) -> str:
-    names = {0: "up", 90: "right", 180: "down", 270: "left"}
-    return names[degrees % 360] + ("_mirrored" if mirrored else "")
-
-
 def live_summary(depth: np.ndarray, step: int = 4) -> tuple[float, float]:
     """(valid share, upper median) of every step-th pixel of every step-th row; zeros without a valid one."""
     some = depth[::step, ::step]

@@ -62,8 +62,8 @@ def best_video(formats: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def target(state: Column) -> Column:
-    """Where a recording goes, out of its JSON: {"phone": ..} or the older {"destination": ..}; without either, the phone."""
-    other = F.get_json_object(state, "$.destination")
+    """Where a recording goes, out of its JSON: {"phone": ..} or {"upload": {"destination": ..}}; an upload without a destination stays on the phone."""
+    other = F.get_json_object(state, "$.upload.destination")
     return F.when(F.array_contains(F.json_object_keys(state), "phone"), F.lit("phone")).otherwise(F.coalesce(other, F.lit("phone")))
 
 

@@ -107,7 +107,13 @@ def thinned(df: DataFrame, keys: Names, ts: str, tie: str, least: float) -> Data
     def step(last: float, pdf: pd.DataFrame) -> tuple[float, pd.DataFrame]:
         t, kept, i = pdf[ts].to_numpy(dtype=float), [], 0
         while True:
-            i = i + int(np.searchsorted(t[i:], last + least)) if last > -np.inf else i
+            if last > -np.inf:
+                low, i = i, i + int(np.searchsorted(t[i:], last + least))
+                # a sum and a difference can round to either side of the limit; the difference decides
+                while i > low and t[i - 1] - last >= least:
+                    i -= 1
+                while i < len(t) and t[i] - last < least:
+                    i += 1
             if i >= len(t):
                 break
             kept.append(i)

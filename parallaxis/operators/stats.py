@@ -62,7 +62,8 @@ def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins
 
 
 def upper_median(value: str) -> Column:
-    """sorted[n div 2]. As a discrete percentile a little above one half it is aggregated in parts, without collecting the values."""
+    """sorted[n div 2]. As a discrete percentile a little above one half it is aggregated in parts; a group's distinct values and their
+    counts are in one buffer, so exact_quantiles is for groups of very many."""
     return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY {value})")
 
 
@@ -87,13 +88,22 @@ def all_of(condition: Column) -> Column:
     return F.coalesce(F.bool_and(condition), F.lit(True))
 
 
+#: Fixed values of the interval of a median; and how many values are drawn at once.
+RESAMPLES, SEED, INTERVAL, DRAWN_AT_ONCE = 1_000, 0, (2.5, 97.5), 1 << 22
+
+
+def interval_of_median(v: np.ndarray) -> tuple[float, float]:
+    """The bootstrap interval of the median of values. The draws are taken in runs, whose stream is that of drawing all at once."""
+    rng, medians, run = np.random.default_rng(SEED), [], max(1, DRAWN_AT_ONCE // len(v))
+    for at in range(0, RESAMPLES, run):
+        medians.append(np.median(v[rng.integers(0, len(v), (min(run, RESAMPLES - at), len(v)))], axis=1))
+    low, high = np.percentile(np.concatenate(medians), INTERVAL)
+    return float(low), float(high)
+
+
 def _median_interval(values: pd.Series) -> list[float]:
     v = values.dropna().to_numpy(dtype=float)
-    if not len(v):
-        return []
-    rng = np.random.default_rng(0)
-    medians = np.median(v[rng.integers(0, len(v), (1000, len(v)))], axis=1)
-    return [float(x) for x in np.percentile(medians, [2.5, 97.5])]
+    return list(interval_of_median(v)) if len(v) else []
 
 
 def median_interval(df: DataFrame, keys: Names, value: str) -> DataFrame:

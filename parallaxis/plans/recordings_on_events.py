@@ -278,11 +278,12 @@ WITH c AS (
 ), m AS (SELECT vec_id, max(score) AS best FROM c GROUP BY vec_id)
 SELECT c.vec_id, round(max(s), 9) AS scale FROM c JOIN m ON m.vec_id = c.vec_id AND score = best GROUP BY c.vec_id""")
 def grid_argmax(spark: SparkSession, d: str) -> DataFrame:
-    """The best of 41 scales for each row; at ties the larger scale."""
+    """The best of 41 scales for each row; at ties the larger scale. The grid stays in the row, so nothing is shuffled."""
     e = read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
-    grid = F.explode(F.array(*[F.lit(i * 0.0025 + 0.95) for i in range(41)]))
-    c = e.select("vec_id", "a", "b", grid.alias("s"))
-    return c.groupBy("vec_id").agg(F.round(stats.best(F.round(-F.abs(F.col("a") * F.col("s") - F.col("b")), 9), F.col("s")), 9).alias("scale"))
+    grid = F.array(*[F.lit(i * 0.0025 + 0.95) for i in range(41)])
+    scored = F.transform(grid, lambda s: F.struct(F.round(-F.abs(F.col("a") * s - F.col("b")), 9).alias("score"), s.alias("candidate")))
+    best = F.array_max(F.filter(scored, lambda x: x["score"].isNotNull() & ~F.isnan(x["score"])))["candidate"]
+    return e.select("vec_id", F.round(best, 9).alias("scale")).where("scale IS NOT NULL")
 
 
 @query("""
@@ -431,14 +432,34 @@ def tolerance_match(spark: SparkSession, d: str) -> DataFrame:
     return side("view").join(c, ["user_id", "n"]).select("event_id", (F.abs(F.col("us") - F.col("other")) < 3_600_000_000).alias("is_close"))
 
 
-@query("SELECT doc_id, i - 1 AS pos, string_split(text, ' ')[i] AS word, len(string_split(text, ' ')[i])::INT AS chars FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents WHERE n_chars < 400)")
+@query("SELECT doc_id, pos, word, len(word)::INT AS chars FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def positional_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every document, also long ones. The SQL beside it still leaves out those of 400 characters or more, and without n_chars."""
     t = read(spark, d, "documents").select("doc_id", F.split("text", " ").alias("word"))
     t = t.withColumn("chars", F.transform("word", F.char_length))
     return joins.zipped(t, ["word", "chars"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "word", "chars")
 
 
+@query("""
+SELECT event_id, coalesce(nullif(regexp_replace(n, '^[\\s]+|[\\s]+$', '', 'g'), ''), strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN user_id % 2 = 0 THEN ' Front' ELSE ' Rear' END) AS name
+FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN chr(9) || ' ' || chr(10) ELSE chr(9) || event_type || ' x' || chr(10) END AS n FROM events)""")
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names as they are shown, of rows with white space around a name or nothing else."""
+    e = read(spark, d, "events")
+    given = F.when(F.col("event_id") % 3 == 0, F.lit("\t \n")).otherwise(F.concat(F.lit("\t"), "event_type", F.lit(" x\n")))
+    camera = F.when(F.col("user_id") % 2 == 0, "front").otherwise("rear")
+    return e.select("event_id", scalar.display_name(given, F.col("ts"), camera).alias("name"))
+
+
+@query("""
+SELECT event_id, CASE WHEN q % 90 <> 0 THEN NULL WHEN user_id % 2 = 0 THEN (['up', 'right', 'down', 'left'])[1 + ((q % 360 + 360) % 360) // 90]
+  ELSE (['up_mirrored', 'left_mirrored', 'down_mirrored', 'right_mirrored'])[1 + ((q % 360 + 360) % 360) // 90] END AS orientation
+FROM (SELECT *, ((event_id % 17) * 45 - 360)::INT AS q FROM events)""")
+def orientations(spark: SparkSession, d: str) -> DataFrame:
+    """How pictures turned by multiples of 45 degrees are shown, mirrored or not."""
+    e = read(spark, d, "events").select("event_id", "user_id", ((F.col("event_id") % 17) * 45 - 360).cast("int").alias("q"))
+    return e.select("event_id", scalar.orientation(F.col("q"), F.col("user_id") % 2 != 0).alias("orientation"))
+
+
 @query()
 def median_intervals(spark: SparkSession, d: str) -> DataFrame:
     return stats.median_interval(events(spark, d), ["user_id"], "value")

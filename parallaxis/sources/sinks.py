@@ -118,7 +118,7 @@ def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> Dat
     system, top = recording_tar.open_fs(out)
     done = [r.scan_id for r in recordings.select("scan_id").collect() if system.get_file_info(f"{top}/{r.scan_id}/decoded.json").type.name != "NotFound"] if not force else []
     todo = recordings.where(~F.col("scan_id").isin(done)) if done else recordings
-    blobs = kernels.small_batches(recording_tar.load(spark, path, "blobs")).join(F.broadcast(todo.select("scan_id", "ycbcr_matrix")), "scan_id")
+    blobs = kernels.small_batches(recording_tar.load(spark, path, "blobs")).join(todo.select("scan_id", "ycbcr_matrix"), "scan_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = recording_tar.open_fs(out)
@@ -157,14 +157,16 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rendered(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a side-by-side view in time order: colour frame, dropped or not, with the depth of its instant and the rotation that
-    was last known. Encoding a video is left to a tool that does that."""
+    """Rows of a side-by-side view in time order: colour frame, dropped or not, with the depth of its instant (times need not be
+    equal, only captured together) and the rotation that was last known. Encoding a video is left to a tool that does that."""
     from pyspark.sql import Window
 
     f = recording_tar.load(spark, path, "frames")
     color, depth = f.where("stream = 'color'"), f.where("stream = 'depth' AND frame_index IS NOT NULL")
-    d = depth.select("scan_id", "ts", F.col("frame_index").alias("depth_index"))
-    rows = color.select("scan_id", "ts", F.col("frame_index").alias("color_index"), "dropped", "upright_rotation_deg", "pos").join(d, ["scan_id", "ts"], "left").where("dropped IS NULL OR depth_index IS NOT NULL")
+    d = depth.select("scan_id", F.col("ts").alias("depth_ts"), F.col("frame_index").alias("depth_index"))
+    met = joins.same_instant(d, color.select("scan_id", "ts", "pos"), ["scan_id"], "depth_ts", "ts", "pos")
+    met = met.groupBy("scan_id", "pos").agg(F.max_by("depth_index", F.struct("depth_ts", "depth_index")).alias("depth_index"))
+    rows = color.select("scan_id", "ts", F.col("frame_index").alias("color_index"), "dropped", "upright_rotation_deg", "pos").join(met, ["scan_id", "pos"], "left").where("dropped IS NULL OR depth_index IS NOT NULL")
     w = Window.partitionBy("scan_id").orderBy("pos")
     last = F.last("upright_rotation_deg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.first("upright_rotation_deg", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))

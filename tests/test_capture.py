@@ -24,9 +24,11 @@ def test_formats(spark):
 
 
 def test_configurations(spark):
-    df = spark.createDataFrame([('{"phone": {}}', {"b": "1", "a": "2"}, ["x", "y"]), ('{"destination": "a"}', {}, None), ("{}", None, None)], "t string, s map<string,string>, c array<string>")
+    df = spark.createDataFrame([('{"phone": {}}', {"b": "1", "a": "2"}, ["x", "y"]), ('{"upload": {"destination": "a"}}', {}, None), ("{}", None, None)], "t string, s map<string,string>, c array<string>")
     got = df.select(capture.target(F.col("t")), capture.address(F.col("s"), F.lit("a")), capture.server_names(F.col("s")), capture.all_configs(F.lit("phone"), F.col("c"), F.lit(None).cast("array<string>")), capture.without_position(F.col("c"), F.lit(0))).collect()
     assert got[0][0] == "phone" and got[0][1] == "2" and got[0][2] == ["a", "b"] and got[0][3] == ["phone", "x", "y"] and got[0][4] == ["y"]
+    odd = spark.createDataFrame([('{"upload": {}}',), ('{"destination": "a"}',), ('{"upload": {"destination": null}}',)], "t string")
+    assert [r[0] for r in odd.select(capture.target(F.col("t"))).collect()] == ["phone"] * 3
     assert got[1][0] == "a" and got[1][1] is None and got[2][0] == "phone"
 
 

@@ -128,6 +128,39 @@ def test_scalar_rules(spark):
     assert spark.range(1).select(scalar.four_cc(F.lit(0x34323066))).first()[0] == "420f"
 
 
+def test_names_states_and_orientations(spark):
+    names = spark.createDataFrame([("\tname\n", 1), ("\n", 2), (" \u2003a b\u0085", 3), (None, 4), ("a\n\n", 5)], "n string, i int")
+    assert [r[0] for r in names.orderBy("i").select(scalar.entered(F.col("n"))).collect()] == ["name", None, "a b", None, "a"]
+    start = F.to_timestamp(F.lit("2026-10-16 12:00:01"))
+    shown = [spark.range(1).select(scalar.display_name(F.lit(n).cast("string"), start, F.lit(c))).first()[0] for n, c in (("\t", "front"), (None, "rear"), ("x", "rear"))]
+    assert shown == ["2026-10-16 12:00:01 Front", "2026-10-16 12:00:01 Rear", "x"]
+    states = spark.createDataFrame([("not_uploaded", None), ("in_progress", "2 of 5"), ("uploaded", None), ("failed", "no route"), ("kept_on_phone", None), ("other", None)], "s string, d string")
+    got = [tuple(r) for r in states.select(scalar.upload_label(F.col("s"), F.col("d")), scalar.can_start(F.col("s"))).collect()]
+    assert got == [("not uploaded", True), ("2 of 5", False), ("uploaded, checking the server stored it", True), ("upload failed: no route", True), ("kept on this phone", False), (None, False)]
+    turns = spark.createDataFrame([(d, m) for d in (0, 90, 180, 270, -90, 450, 45) for m in (False, True)], "d int, m boolean")
+    got = [r[0] for r in turns.select(scalar.orientation(F.col("d"), F.col("m"))).collect()]
+    assert got == ["up", "up_mirrored", "right", "left_mirrored", "down", "down_mirrored", "left", "right_mirrored", "left", "right_mirrored", "right", "left_mirrored", None, None]
+
+
+def test_thinning_compares_differences(spark):
+    """Of times whose sum and difference round to different sides of the limit, the difference decides."""
+    rng, least = np.random.default_rng(9), 1 / 15
+    t = np.sort(np.round(1e5 + rng.integers(0, 400, 300) / 30 + rng.choice([0, 1e-11, -1e-11], 300), 12))
+    want, last = [], -np.inf
+    for x in t:
+        if x - last >= least:
+            want.append(float(x))
+            last = x
+    df = spark.createDataFrame([("a", float(x), i) for i, x in enumerate(t)], "k string, ts double, i int")
+    assert sorted(r.ts for r in series.thinned(df, ["k"], "ts", "i", least).collect()) == want
+
+
+def test_interval_of_a_median_in_runs():
+    v = np.random.default_rng(1).random(5000)
+    drawn = np.median(v[np.random.default_rng(0).integers(0, 5000, (1000, 5000))], axis=1)
+    assert stats.interval_of_median(v) == tuple(np.percentile(drawn, [2.5, 97.5]))
+
+
 def test_geometry(spark):
     m = [[1.0, 0.0, 0.0, 5.0], [0.0, 1.0, 0.0, 5.0], [0.0, 0.0, 1.0, 5.0]]
     flipped = [[-1.0, 0.0, 0.0, 5.0], *m[1:]]

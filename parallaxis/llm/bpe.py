@@ -40,7 +40,7 @@ LEXICON_WORDS = 40_000
 #: Longer words stay out of the lexicon.
 LEXICON_WORD_BYTES = 64
 #: A task's counts are passed on when it has seen so many words; a worker's memos have at most so many entries.
-COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 150_000, 100_000, 150_000
+COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 200_000, 150_000, 250_000
 OUT_BYTES = 2 << 20
 
 #: Fixed value: the pre-tokenizer's pattern for this vocabulary.
@@ -449,7 +449,7 @@ def _worker_encoder(file: str, name: str) -> Encoder:
     return resident(("bpe", name), lambda: Encoder(ByteBpe(file), Lexicon(SparkFiles.get(name))))
 
 
-def _runs(texts: pa.Array, most: int = 3 << 20) -> Iterator[slice]:
+def _runs(texts: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
     """Slices of texts with about so many bytes each, or one text."""
     size = np.nan_to_num(np.array(pc.binary_length(texts), dtype=float))
     first, n = 0, 0.0

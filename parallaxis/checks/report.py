@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from parallaxis.functions import geometry
 from parallaxis.kernels import alignment, frames as kernels
-from parallaxis.operators import joins, series
+from parallaxis.operators import joins, series, stats
 from parallaxis.sources import layout, recording_tar
 
 K = layout.K_CELLS
+#: A fixed value: the highest level of confidence.
+HIGH_CONFIDENCE = 2
 
 
 @dataclass
@@ -214,10 +216,44 @@ def checks(t: Tables) -> DataFrame:
     return out.select("scan_id", F.explode("rows").alias("r")).select("scan_id", "r.*").where("passed IS NOT NULL")
 
 
-def statistics(t: Tables) -> DataFrame:
-    """What the report prints besides the checks, one row per recording."""
-    from parallaxis.operators import stats
+def readings(t: Tables) -> DataFrame:
+    """scan_id; depth and high (where there is confidence, of its highest level): lowest, p1, median, p99, highest, count; stretch: p2 and
+    p98; confidence: the share of valid pixels at each level, also of levels that don't occur."""
+    n = kernels.reading_counts(t.depth, t.confidence)
+    kinds = F.array_compact(F.array(F.lit("depth"), F.when(F.col("level") == HIGH_CONFIDENCE, "high")))
+    each = n.withColumn("kind", F.explode(kinds)).groupBy("scan_id", "kind", "metres").agg(F.sum("n").alias("n"))
+    ends = each.groupBy("scan_id", "kind").agg(F.min("metres").alias("low"), F.max("metres").alias("far"), F.sum("n").alias("count"))
+    q = stats.exact_quantiles(each, ["scan_id", "kind"], "metres", 0.01, 0.02, 0.5, 0.98, 0.99, times="n")
+    at = lambda i: F.get("q", F.lit(i))
+    each = ends.join(q, ["scan_id", "kind"]).withColumn("r", F.struct("low", at(0).alias("p1"), at(2).alias("median"), at(4).alias("p99"), F.col("far").alias("high"), "count"))
+    of = lambda kind, c: F.any_value(F.when(F.col("kind") == kind, c), ignoreNulls=True)
+    ranges = each.groupBy("scan_id").agg(of("depth", F.col("r")).alias("depth"), of("high", F.col("r")).alias("high"), of("depth", F.array(at(1), at(3))).alias("stretch"))
+    level = lambda v: F.try_divide(F.sum(F.when(F.col("level") == v, F.col("n")).otherwise(0)), F.sum(F.when(F.col("level").isNotNull(), F.col("n"))))
+    shares = n.groupBy("scan_id").agg(F.when(F.count("level") > 0, F.array(*map(level, range(HIGH_CONFIDENCE + 1)))).alias("confidence"))
+    return ranges.join(shares, "scan_id")
+
+
+def _by_value(rows: DataFrame, value: str, name: str, share: bool = False) -> DataFrame:
+    """scan_id and a map from each value to its rows, or to its share of them, by value; the values are few kinds of text."""
+    n = rows.groupBy("scan_id", value).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(value).alias("key"), F.col("n").alias("value"))))
+    out = n.groupBy("scan_id").agg(entries.alias("e"), F.sum("n").alias("all"))
+    if share:
+        return out.select("scan_id", F.map_from_entries(F.transform("e", lambda x: F.struct(x["key"], x["value"] / F.col("all")))).alias(name))
+    return out.select("scan_id", F.map_from_entries("e").alias(name))
+
+
+def _paired(t: Tables) -> DataFrame:
+    """scan_id, pairs, pairs_with_color, depth_out_of_span: how depth frames meet colour rows, and how many lie beyond all of them."""
+    met = pairs(t).groupBy("scan_id").agg(F.count("*").alias("pairs"), F.count("color_index").alias("pairs_with_color"))
+    f, color = t.frames, F.col("stream") == "color"
+    span = f.groupBy("scan_id").agg(F.min(F.when(color, F.col("ts"))).alias("a"), F.max(F.when(color, F.col("ts"))).alias("b"))
+    beyond = f.where("stream = 'depth' AND frame_index IS NOT NULL").join(span, "scan_id").groupBy("scan_id").agg(F.count_if(~F.col("ts").between(F.col("a"), F.col("b"))).alias("depth_out_of_span"))
+    return met.join(beyond, "scan_id", "full")
+
 
+def statistics(t: Tables) -> DataFrame:
+    """What the report prints besides the checks, one row per recording. Numbers that a version or camera doesn't record are null."""
     f, got, color = t.frames, F.col("frame_index").isNotNull(), F.col("stream") == "color"
     of = lambda s, c: F.when(got & (F.col("stream") == s), c)
     g = F.sqrt(F.aggregate("gravity", F.lit(0.0), lambda a, x: a + x * x))
@@ -226,7 +262,13 @@ def statistics(t: Tables) -> DataFrame:
         F.count(of("color", F.col("ts"))).alias("color_frames"), rate("color").alias("color_fps"), F.count(of("depth", F.col("ts"))).alias("depth_frames"), rate("depth").alias("depth_fps"),
         F.count_if(~got & color).alias("color_dropped"), F.count_if(~got & ~color).alias("depth_dropped"), F.avg(of("color", g)).alias("gravity"), F.sort_array(F.collect_set(of("color", F.col("upright_rotation_deg")))).alias("rotations"),
         F.min(of("color", F.col("intrinsics.fx"))).alias("color_fx_min"), F.max(of("color", F.col("intrinsics.fx"))).alias("color_fx_max"), F.min(of("depth", F.col("intrinsics.fx"))).alias("depth_fx_min"), F.max(of("depth", F.col("intrinsics.fx"))).alias("depth_fx_max"),
-        F.median(of("color", F.col("exposure_s"))).alias("exposure_median"), F.median(of("color", F.col("received_ts") - F.col("ts"))).alias("latency_median"),
+        F.count(of("color", F.col("intrinsics.fx"))).alias("color_fx_frames"), F.count(of("depth", F.col("intrinsics.fx"))).alias("depth_fx_frames"), F.sort_array(F.collect_set(of("depth", F.col("bytes_per_row")))).alias("depth_bytes_per_row"),
+        *[g for name, c in (("exposure", F.col("exposure_s")), ("lens", F.col("lens_position")), ("latency", F.col("received_ts") - F.col("ts"))) for g in (F.min(of("color", c)).alias(f"{name}_min"), F.max(of("color", c)).alias(f"{name}_max"), F.median(of("color", c)).alias(f"{name}_median"))],
     )
     cover = kernels.depth_statistics(t.depth).groupBy("scan_id").agg(stats.quantiles(F.col("valid_share") * 100, 0, 0.05, 0.25, 0.5, 0.75, 0.95, 1).alias("coverage"), F.min("low").alias("nearest"), F.max("high").alias("farthest"))
-    return t.recordings.select("scan_id", "camera", "format_version", "frame_rate").join(per, "scan_id", "left").join(cover, "scan_id", "left")
+    lost = [_by_value(f.where(~got & (F.col("stream") == s)), "dropped", f"{s}_dropped_by_reason") for s in ("color", "depth")]
+    tracking = _by_value(f.where(got & color & F.col("tracking_state").isNotNull()), "tracking_state", "tracking", share=True)
+    out = t.recordings.select("scan_id", "camera", "format_version", "frame_rate")
+    for part in (per, *lost, tracking, _paired(t), cover, readings(t)):
+        out = out.join(part, "scan_id", "left")
+    return out

@@ -83,6 +83,29 @@ def depth_values(blobs: DataFrame, step: int = 1) -> DataFrame:
     return blobs.where("stream = 'depth'").mapInPandas(_each(one, schema), schema)
 
 
+def reading_counts(depth: DataFrame, confidence: DataFrame) -> DataFrame:
+    """scan_id, metres, level, n: how often each valid reading occurs at each level of confidence, counted by frame, so a value of a
+    recording may have several rows. level is null for maps without a confidence map."""
+    levels = confidence.select("scan_id", "frame_index", F.col("encoding").alias("level_encoding"), F.col("data").alias("level_data"))
+    rows = depth.select("scan_id", "frame_index", "width", "height", "pixel_format", "encoding", "data").join(levels, ["scan_id", "frame_index"], "left")
+
+    def one(r) -> tuple:
+        z = image.metres(pixels(r))
+        ok = image.is_valid(z)
+        level = np.full(z.shape, -1, dtype=np.int32)
+        if r.level_data is not None:
+            data = bytes(r.level_data)
+            level = (codec.decode_map(data, np.dtype("u1"), z.shape) if r.level_encoding else np.frombuffer(data, dtype=np.uint8).reshape(z.shape)).astype(np.int32)
+        parts = [(v, *np.unique(z[ok & (level == v)], return_counts=True)) for v in np.unique(level[ok])]
+        none = np.empty(0)
+        metres, n = (np.concatenate([p[i] for p in parts]) if parts else none for i in (1, 2))
+        return r.scan_id, metres.astype(np.float64), np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int32) if parts else none.astype(np.int32), n.astype(np.int64)
+
+    schema = "scan_id string,metres array<double>,level array<int>,n array<bigint>"
+    each = rows.mapInPandas(_each(one, schema), schema).select("scan_id", F.explode(F.arrays_zip("metres", "level", "n")).alias("x")).select("scan_id", "x.*")
+    return each.withColumn("level", F.nullif("level", F.lit(-1)))
+
+
 def luma_edges(blobs: DataFrame, recordings: DataFrame) -> DataFrame:
     size = recordings.select("scan_id", "depth_width", "depth_height")
 

@@ -6,6 +6,7 @@ handles many series; windows never span the whole table.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -62,6 +63,19 @@ def offsets(size: str, keys: Names, order: Sequence[str]) -> Column:
     return F.sum(size).over(w) - F.col(size)
 
 
+def offsets_in_blocks(df: DataFrame, size: str, keys: Names, order: Names, block: Column, name: str = "starts") -> DataFrame:
+    """offsets() as a column of a table, for series that are too long for one sort: block is a number that never falls along the
+    order, so each block is summed by itself and only the blocks' totals are put in a row. A row without a size has no offset."""
+    rows = df.withColumn("block_", block)
+    totals = rows.groupBy(*keys, "block_").agg(F.coalesce(F.sum(size), F.lit(0)).alias("in_"))
+    before = totals.select(*[F.col(k).alias(f"{k}_r_") for k in keys], F.col("block_").alias("at_"), (F.sum("in_").over(series(keys, "block_")) - F.col("in_")).alias("before_"))
+    same = F.col("block_").eqNullSafe(F.col("at_"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_r_"))
+    within = offsets(size, [*keys, "block_"], order)
+    return rows.join(before, same).withColumn(name, F.col("before_") + within).select(*df.columns, name)
+
+
 def subsample(df: DataFrame, keys: Names, order: Sequence[str], most: int) -> DataFrame:
     """At most so many rows of each series, evenly spread: the i-th of n from N rows is row i*(N-1) div max(n-1, 1)."""
     w = series(keys, *order)
@@ -143,6 +157,28 @@ def packed(df: DataFrame, keys: Names, order: Names, size: str, limit: int) -> D
     return scanned(df, keys, order, lambda: (0, 0), step, df.schema.add("segment", "long"))
 
 
+def queued(df: DataFrame, keys: Names, order: Names, size: str, written: str, limit: int) -> DataFrame:
+    """Adds accepted: whether a frame fits a queue of so many bytes. A row where `written` is true isn't a frame (accepted is null); it
+    frees what the oldest frame in the queue holds. A frame that would take the queue above the limit is dropped and holds nothing."""
+
+    def step(state: tuple[deque, int], pdf: pd.DataFrame) -> tuple[tuple[deque, int], pd.DataFrame]:
+        waiting, held = state
+        out: list[bool | None] = []
+        for n, is_written in zip(pdf[size].to_numpy(), pdf[written].to_numpy(), strict=True):
+            if is_written:
+                held -= waiting.popleft() if waiting else 0
+                out.append(None)
+                continue
+            fits = held + int(n) <= limit
+            if fits:
+                waiting.append(int(n))
+                held += int(n)
+            out.append(fits)
+        return (waiting, held), pdf.assign(accepted=pd.Series(out, index=pdf.index, dtype=object))
+
+    return scanned(df, keys, order, lambda: (deque(), 0), step, df.schema.add("accepted", "boolean"))
+
+
 def shifted_scores(df: DataFrame, keys: Names, index: str, a: str, b: str, most: int = 3) -> DataFrame:
     """keys, offset, score for offsets -most..most: the mean product of the change of a around each row with b's change that many rows
     away; rows whose neighbours are missing take no part."""

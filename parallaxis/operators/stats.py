@@ -35,13 +35,13 @@ def quantiles(value: Column, *shares: float) -> Column:
     return F.percentile(value, F.array(*map(F.lit, shares)))
 
 
-def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins: int = 1024) -> DataFrame:
-    """keys and q, an array of the quantiles as quantiles() gives them, for groups of any size.
+def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins: int = 1024, times: str | None = None) -> DataFrame:
+    """keys and q, an array of the quantiles as quantiles() gives them, for groups of any size. A row stands for as many equal ones as `times` says.
 
     quantiles() keeps a group's distinct values in one task. Here values are counted first, the counts of bins of equal width tell
     which bins hold the ranks that are asked for, and only the values of these are put in order, each bin by itself."""
     keys = list(keys)
-    v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("n_"))
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg((F.sum(times) if times else F.count("*")).alias("n_"))
     whole = v.groupBy(*keys).agg(F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.sum("n_").alias("all_"))
     place = F.when(F.col("high_") > F.col("low_"), F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * bins)).otherwise(0)
     binned = v.join(whole, keys).withColumn("bin_", F.least(place, F.lit(bins - 1)).cast("int"))

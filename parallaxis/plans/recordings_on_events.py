@@ -120,7 +120,9 @@ def run_entries(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "value", F.col("entry_no").cast("long").alias("entry_no"), F.size("ranges").cast("long").alias("n_runs"), F.get(F.get("ranges", F.lit(0)), F.lit(0)).alias("first_frame"))
 
 
-@query(f"SELECT user_id, true AS is_disjoint FROM ({RUNS}) GROUP BY user_id")
+@query(f"""
+SELECT user_id, bool_and(coalesce(first > reached, true)) AS is_disjoint
+FROM (SELECT *, max(last) OVER (PARTITION BY user_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ({RUNS})) GROUP BY user_id""")
 def runs_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return runs.disjoint(_runs(spark, d), ["user_id"])
 
@@ -162,6 +164,22 @@ def pack_segments(spark: SparkSession, d: str) -> DataFrame:
     return series.packed(read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], "n_chars", 50_000)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + event_id % 7 AS bytes, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+k AS (
+  SELECT user_id, event_id, n, CASE WHEN done THEN []::BIGINT[] ELSE [bytes::BIGINT] END AS q, CASE WHEN NOT done THEN true END AS accepted FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN e.done THEN k.q[2:] WHEN coalesce(list_sum(k.q), 0) + e.bytes > 12 THEN k.q ELSE list_append(k.q, e.bytes::BIGINT) END,
+         CASE WHEN NOT e.done THEN coalesce(list_sum(k.q), 0) + e.bytes <= 12 END
+  FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1
+)
+SELECT user_id, event_id, accepted FROM k""")
+def queue_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Events are frames of 1 to 7 bytes for a queue of 12, which a purchase frees of its oldest one."""
+    e = events(spark, d).select("user_id", "event_id", "us", (F.col("event_id") % 7 + 1).alias("bytes"), (F.col("event_type") == "purchase").alias("is_written"))
+    return series.queued(e, ["user_id"], ["us", "event_id"], "bytes", "is_written", 12).select("user_id", "event_id", "accepted")
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", scalar.sha256(F.col("text")).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
@@ -182,9 +200,9 @@ def order_with_dropped(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "event_id", F.coalesce("frame_index", F.lit(-1)).alias("frame_index"), scalar.cell(F.col("reason")).alias("reason"), "pos")
 
 
-@query("SELECT user_id, event_type AS reason, count(*) AS n FROM events WHERE event_type IN ('error', 'login') GROUP BY ROLLUP (user_id, event_type) HAVING user_id IS NOT NULL")
+@query("SELECT user_id, event_type AS reason, count(*) AS n FROM events GROUP BY ROLLUP (user_id, event_type) HAVING user_id IS NOT NULL")
 def drop_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("event_type IN ('error', 'login')").withColumnRenamed("event_type", "reason")
+    e = events(spark, d).withColumnRenamed("event_type", "reason")
     return stats.dropped_by_reason(e, ["user_id"], "reason")
 
 
@@ -227,10 +245,9 @@ def depth_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n % 4 = 0 GROUP BY user_id""")
+SELECT user_id, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median FROM events GROUP BY user_id""")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return _positions(spark, d).where("pos % 4 = 0").groupBy("user_id").agg(stats.upper_median("value").alias("upper_median"))
+    return events(spark, d).groupBy("user_id").agg(stats.upper_median("value").alias("upper_median"))
 
 
 @query("""
@@ -325,7 +342,9 @@ def member_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, doc_id, (sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars)::BIGINT AS starts FROM documents")
 def prefix_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("lang", "doc_id", series.offsets("n_chars", ["lang"], ["doc_id"]).alias("starts"))
+    """A language may hold a third of all rows, so its documents are summed in blocks of ids."""
+    rows = read(spark, d, "documents").select("lang", "doc_id", "n_chars")
+    return series.offsets_in_blocks(rows, "n_chars", ["lang"], ["doc_id"], F.floor(F.col("doc_id") / 65_536)).select("lang", "doc_id", "starts")
 
 
 @query("""
@@ -369,16 +388,21 @@ def mean_norm(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(stats.norm(at(0), at(1), at(2))), 9).alias("gravity"))
 
 
-@query("""
+SCORES = """
 WITH d AS (SELECT user_id, pos, lead(value) OVER w - lag(value) OVER w AS da FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
-s AS (SELECT a.user_id, o.k AS "offset", round(avg(a.da * b.da), 2) AS score FROM d a CROSS JOIN (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS k) o JOIN d b ON b.user_id = a.user_id AND b.pos = a.pos + o.k GROUP BY ALL)
-SELECT user_id, "offset", score FROM s""")
+s AS (SELECT a.user_id, o.k AS "offset", avg(a.da * b.da) AS score FROM d a CROSS JOIN (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS k) o JOIN d b ON b.user_id = a.user_id AND b.pos = a.pos + o.k GROUP BY ALL)
+"""
+
+
+@query(f'{SCORES} SELECT user_id, "offset", round(score, 2) AS score FROM s')
 def alignment_scores(spark: SparkSession, d: str) -> DataFrame:
     s = series.shifted_scores(_positions(spark, d), ["user_id"], "pos", "value", "value")
     return s.where("score IS NOT NULL").select("user_id", "offset", F.round("score", 2).alias("score"))
 
 
-@query("SELECT user_id, 0 AS best_offset FROM events GROUP BY user_id")
+@query(f'''{SCORES}
+SELECT e.user_id, b."offset" AS best_offset FROM (SELECT DISTINCT user_id FROM events) e
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, "offset") AS n FROM s) b ON b.user_id = e.user_id AND b.n = 1''')
 def alignment_best(spark: SparkSession, d: str) -> DataFrame:
     """A series aligns best with itself at offset 0."""
     return series.best_offset(series.shifted_scores(_positions(spark, d), ["user_id"], "pos", "value", "value"), ["user_id"])
@@ -413,10 +437,11 @@ def scalar_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY user_id""")
+SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration FROM events GROUP BY user_id""")
 def union_duration(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered frames and dropped ones are two streams of a recording."""
     e = events(spark, d).withColumn("ts", F.col("us") / 1e6)
-    parts = [e.where(F.col("event_type") == k) for k in ("view", "click", "error")]
+    parts = [e.where("event_type <> 'error'"), e.where("event_type IS NULL OR event_type = 'error'")]
     return stats.duration(*parts, keys=["user_id"]).select("user_id", F.round("duration", 6).alias("duration"))
 
 

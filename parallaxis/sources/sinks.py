@@ -11,6 +11,7 @@ import io
 import json
 import struct
 import tarfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -109,15 +110,57 @@ def assemble(parts: DataFrame) -> DataFrame:
     return per.repartition("root", "scan_id").mapInPandas(write, "archive string, size long")
 
 
+def _put(system, final: str, pieces) -> int:
+    """Writes a file under a name of this attempt's own and renames it; returns its size."""
+    temp, n = f"{final}.{uuid.uuid4().hex[:12]}.partial", 0
+    with system.open_output_stream(temp) as f:
+        for piece in pieces:
+            n += len(piece)
+            f.write(piece)
+    system.move(temp, final)
+    return n
+
+
+def _text_members(archive: str, system, folder: str) -> dict[str, int]:
+    """Copies every member that holds no frames into a folder, byte for byte; their names and sizes."""
+    source, at = recording_tar.open_fs(archive)
+    out = {}
+    with source.open_input_file(at) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+        for m in tar:
+            name = m.name.rpartition("/")[2]
+            if m.isfile() and not name.endswith(".bin"):
+                data = tar.extractfile(m)
+                out[name] = _put(system, f"{folder}/{name}", iter(lambda: data.read(recording_tar.CHUNK), b""))
+    return out
+
+
+def _summary(r, copied: list[str], total: int) -> dict:
+    """What decoded.json says of a recording. Its keys, and the patterns of file names, are fixed values."""
+    color = {"count": int(r.color_frames), "width": int(r.color_width), "height": int(r.color_height), "files": "color/<index:06d>.png", "format": "PNG, 8-bit RGB", "holds": f"colour frames by index, as the sensor lies, converted by {r.ycbcr_matrix}"}
+    size = {"width": int(r.depth_width), "height": int(r.depth_height)}
+    kind = np.dtype(kernels.TYPES[r.depth_pixel_format]).name
+    depth = {"count": int(r.depth_frames), **size, "files": "depth/<index:06d>.npy", "format": f"npy {kind}, metres", "holds": "depth maps by index, as they are stored; NaN and 0 are no reading"}
+    out = {"source": r.tar_path.rpartition("/")[2], "format_version": r.format_version, "camera": r.camera, "copied": copied, "color": color, "depth": depth}
+    if r.confidence_frames:
+        out["confidence"] = {"count": int(r.confidence_frames), **size, "files": "confidence/<index:06d>.npy", "format": "npy uint8", "holds": "a level for each pixel of the depth map with the same index: 0 low, 1 medium, 2 high"}
+    return out | {"bytes": total}
+
+
 def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> DataFrame:
-    """Decodes archives into <out>/<scan_id>/: color/000000.png, depth/000000.npy, confidence/..., and decoded.json last.
+    """Decodes archives into <out>/<scan_id>/: color/000000.png, depth/000000.npy, confidence/..., the text members as they are, and
+    decoded.json last, which says what the folder holds.
 
     Recordings with a decoded.json are left alone unless force says otherwise. Frames are tasks of their own; the summary is written when
     all of a recording's frames are, so its presence means that the folder is whole. Returns scan_id, frames, bytes."""
     recordings = recording_tar.load(spark, path, "recordings")
-    system, top = recording_tar.open_fs(out)
-    done = [r.scan_id for r in recordings.select("scan_id").collect() if system.get_file_info(f"{top}/{r.scan_id}/decoded.json").type.name != "NotFound"] if not force else []
-    todo = recordings.where(~F.col("scan_id").isin(done)) if done else recordings
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = recording_tar.open_fs(out)
+        for pdf in batches:
+            yield pdf[[system.get_file_info(f"{top}/{s}/decoded.json").type.name == "NotFound" for s in pdf.scan_id]]
+
+    about = recordings.select("scan_id", "tar_path", "format_version", "camera", "color_width", "color_height", "depth_width", "depth_height", "depth_pixel_format", "ycbcr_matrix")
+    todo = about if force else about.mapInPandas(left, about.schema)
     blobs = kernels.small_batches(recording_tar.load(spark, path, "blobs")).join(todo.select("scan_id", "ycbcr_matrix"), "scan_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,22 +173,25 @@ def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> Dat
                 folder = f"{top}/{r.scan_id}/{r.stream}"
                 system.create_dir(folder, recursive=True)
                 final = f"{folder}/{r.frame_index:06d}.{kind}"
-                with system.open_output_stream(f"{final}.partial") as f:
-                    f.write(data)
-                system.move(f"{final}.partial", final)
+                _put(system, final, [data])
                 rows.append((r.scan_id, r.stream, len(data)))
             yield pd.DataFrame(rows, columns=["scan_id", "stream", "bytes"])
 
-    written = blobs.mapInPandas(write, "scan_id string, stream string, bytes long").groupBy("scan_id").agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"))
+    of = lambda s: F.count_if(F.col("stream") == s).alias(f"{s}_frames")
+    written = blobs.mapInPandas(write, "scan_id string, stream string, bytes long").groupBy("scan_id").agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), *map(of, ("color", "depth", "confidence")))
+    written = todo.join(written, "scan_id", "left").fillna(0, ["frames", "bytes", "color_frames", "depth_frames", "confidence_frames"])
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = recording_tar.open_fs(out)
         for pdf in batches:
+            rows = []
             for r in pdf.itertuples(index=False):
-                with system.open_output_stream(f"{top}/{r.scan_id}/decoded.json.partial") as f:
-                    f.write(json.dumps({"scan_id": r.scan_id, "frames": int(r.frames), "bytes": int(r.bytes)}).encode())
-                system.move(f"{top}/{r.scan_id}/decoded.json.partial", f"{top}/{r.scan_id}/decoded.json")
-            yield pdf
+                system.create_dir(f"{top}/{r.scan_id}", recursive=True)
+                copied = _text_members(r.tar_path, system, f"{top}/{r.scan_id}")
+                total = int(r.bytes) + sum(copied.values())
+                _put(system, f"{top}/{r.scan_id}/decoded.json", [json.dumps(_summary(r, sorted(copied), total), indent=2).encode()])
+                rows.append((r.scan_id, int(r.frames), total))
+            yield pd.DataFrame(rows, columns=["scan_id", "frames", "bytes"])
 
     return written.mapInPandas(summarise, "scan_id string, frames long, bytes long")
 

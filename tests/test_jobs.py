@@ -19,7 +19,13 @@ def test_decode_is_whole_and_skipped_when_done(spark, tmp_path):
     out = str(tmp_path / "out")
     assert [(r.frames) for r in sinks.decode(spark, path, out).collect()] == [12]
     folder = tmp_path / "out" / "rgbd_20261016_120000_rear"
-    assert sorted(os.listdir(folder)) == ["color", "confidence", "decoded.json", "depth"]
+    texts = {n: b for n, b in R.files_split("5.2", "rear").items() if not n.endswith(".bin")}
+    assert sorted(os.listdir(folder)) == sorted(["color", "confidence", "decoded.json", "depth", *texts])
+    assert {n: (folder / n).read_bytes() for n in texts} == texts
+    about = json.loads((folder / "decoded.json").read_text())
+    assert about["copied"] == sorted(texts) and about["source"] == os.path.basename(path) and about["camera"] == "rear"
+    assert [about[s]["count"] for s in ("color", "depth", "confidence")] == [4, 4, 4] and about["depth"]["format"] == "npy float32, metres"
+    assert about["bytes"] == sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and p.name != "decoded.json")
     assert (folder / "color" / "000003.png").read_bytes().startswith(b"\x89PNG")
     assert sinks.decode(spark, path, out).collect() == []
     assert len(sinks.decode(spark, path, out, force=True).collect()) == 1

@@ -178,3 +178,35 @@ def test_exact_quantiles(spark, seed):
     got = {r.k: r.q for r in stats.exact_quantiles(df, ["k"], "v", 0.0, 0.05, 0.5, 0.95, 1.0, bins=16).collect()}
     for k, v in groups.items():
         assert got[k] == pytest.approx(list(np.percentile(v, [0, 5, 50, 95, 100])))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_queue_drops_what_does_not_fit(spark, seed):
+    rng = random.Random(seed)
+    rows = [("a" if i % 3 else "b", i, rng.randrange(1, 9), rng.random() < 0.3) for i in range(80)]
+    want, state = {}, {"a": [], "b": []}
+    for k, i, n, done in rows:
+        q = state[k]
+        if done:
+            want[i] = None
+            del q[:1]
+        else:
+            want[i] = sum(q) + n <= 15
+            q += [n] * want[i]
+    df = spark.createDataFrame(rows, "k string, i int, n int, done boolean")
+    assert {r.i: r.accepted for r in series.queued(df, ["k"], ["i"], "n", "done", 15).collect()} == want
+    assert series.queued(df.limit(0), ["k"], ["i"], "n", "done", 15).count() == 0
+
+
+def test_offsets_in_blocks_are_those_of_one_sort(spark):
+    rows = [("a" if i % 3 else None, i, None if i == 7 else i % 5) for i in range(50)] + [("b", 0, None)]
+    df = spark.createDataFrame(rows, "k string, i int, n long")
+    plain = df.select("k", "i", series.offsets("n", ["k"], ["i"]).alias("starts"))
+    got = series.offsets_in_blocks(df, "n", ["k"], ["i"], F.floor(F.col("i") / 8))
+    assert sorted(map(tuple, got.select("k", "i", "starts").collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_quantiles_of_counted_values(spark):
+    rows = [("a", float(v), n) for v, n in ((3, 2), (1, 5), (9, 1), (3, 4))]
+    got = stats.exact_quantiles(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", 0.1, 0.5, 0.9, times="n").first().q
+    assert got == pytest.approx(np.percentile(np.repeat([r[1] for r in rows], [r[2] for r in rows]), [10, 50, 90]))

@@ -1,5 +1,6 @@
 """The quality report on synthetic recordings: which checks apply, and that a fault fails its own check only."""
 
+import numpy as np
 import pytest
 
 from parallaxis.checks import report
@@ -52,3 +53,29 @@ def test_many_recordings_at_once(spark, tmp_path):
     rows = report.checks(report.tables(spark, str(tmp_path))).collect()
     assert len({r.scan_id for r in rows}) == 2
     assert report.statistics(report.tables(spark, str(tmp_path))).count() == 2
+
+
+def _range(z):
+    return [z.min(), *np.percentile(z.astype(float), [1, 50, 99]), z.max(), z.size]
+
+
+def _numbers(r):
+    return [r["low"], r["p1"], r["median"], r["p99"], r["high"], r["count"]]
+
+
+def test_statistics_of_a_rear_recording(spark, tmp_path):
+    s = report.statistics(report.tables(spark, R.write(tmp_path, R.files_split("5.2", "rear")))).first()
+    z, c = R.depth_maps(), R.confidence_maps()
+    ok = np.isfinite(z) & (z > 0)
+    assert _numbers(s.depth) == pytest.approx(_range(z[ok])) and _numbers(s.high) == pytest.approx(_range(z[ok & (c == 2)]))
+    assert s.stretch == pytest.approx(np.percentile(z[ok].astype(float), [2, 98])) and s.confidence == pytest.approx([(c[ok] == v).mean() for v in range(3)])
+    assert s.color_dropped_by_reason == {"writer_busy": 1} and s.depth_dropped_by_reason == {"no_scene_depth": 1} and s.tracking == {"normal": 1.0}
+    assert (s.pairs, s.pairs_with_color, s.depth_out_of_span) == (4, 3, 0)
+    assert (s.color_fx_frames, s.depth_fx_frames) == (4, 4) and s.exposure_min == s.exposure_max == s.exposure_median == 0.01 and s.lens_min is None
+
+
+def test_statistics_of_a_front_table(spark, tmp_path):
+    s = report.statistics(report.tables(spark, R.write(tmp_path, R.files_tables(7, "front")))).first()
+    assert s.high is None and s.confidence is None and s.tracking is None and s.depth["count"] == 4 * R.DW * R.DH - 2
+    assert s.lens_min == s.lens_max == 0.7 and s.latency_max == pytest.approx(0.05) and s.depth_bytes_per_row == [R.DW * 4]
+    assert s.depth_dropped_by_reason == {"late_data": 1}

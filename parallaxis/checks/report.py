@@ -36,7 +36,7 @@ class Tables:
 
 def tables(spark: SparkSession, path: str) -> Tables:
     load = lambda t, **o: recording_tar.load(spark, path, t, **o)
-    return Tables(load("recordings"), load("frames"), load("runs"), load("calibrations"), load("members", measure="true"), *[kernels.small_batches(load("blobs", stream=x)) for x in ("color", "depth", "confidence")])
+    return Tables(load("recordings"), load("frames"), load("runs"), load("calibrations"), load("members", measure="true"), *[load("blobs", stream=x) for x in ("color", "depth", "confidence")])
 
 
 def pairs(t: Tables) -> DataFrame:
@@ -127,7 +127,7 @@ def _members(t: Tables) -> DataFrame:
 
 
 def _pixels(t: Tables) -> DataFrame:
-    lossless = kernels.decoded(t.color.unionByName(t.depth).unionByName(t.confidence).where("raw_sha256 IS NOT NULL")).groupBy("scan_id").agg(_all(F.col("is_lossless")).alias("lossless"))
+    lossless = kernels.lossless(t.color.unionByName(t.depth).unionByName(t.confidence).where("raw_sha256 IS NOT NULL")).groupBy("scan_id").agg(_all(F.col("is_lossless")).alias("lossless"))
     levels = kernels.depth_statistics(t.confidence).groupBy("scan_id").agg(_all(F.col("level") <= 2).alias("levels"))
     return t.recordings.select("scan_id").join(lossless, "scan_id", "left").join(levels, "scan_id", "left")
 

@@ -1,4 +1,5 @@
-"""Kernels over tables of frames: Arrow-batched, one frame in, one row out, so memory is bounded by a batch."""
+"""Kernels over tables of frames: Arrow-batched, one frame in, one row out, so memory is bounded by a batch, which Spark ends at
+`spark.sql.execution.arrow.maxBytesPerBatch` (64 MB unless set)."""
 
 from __future__ import annotations
 
@@ -46,6 +47,17 @@ def decoded(blobs: DataFrame) -> DataFrame:
     return blobs.mapInPandas(_each(one, schema), schema)
 
 
+def lossless(blobs: DataFrame) -> DataFrame:
+    """As decoded(), without the bytes."""
+
+    def one(r) -> tuple:
+        raw = np.ascontiguousarray(pixels(r))
+        return r.scan_id, r.stream, r.frame_index, None if r.raw_sha256 is None else hashlib.sha256(raw).hexdigest() == r.raw_sha256
+
+    schema = "scan_id string,stream string,frame_index int,is_lossless boolean"
+    return blobs.mapInPandas(_each(one, schema), schema)
+
+
 def bgr(blobs: DataFrame, recordings: DataFrame) -> DataFrame:
     """Colour frames as 8-bit BGR (rows of pixels)."""
     rows = blobs.where("stream = 'color'").join(recordings.select("scan_id", "ycbcr_matrix"), "scan_id")
@@ -169,9 +181,3 @@ def alignment_report(fits: DataFrame) -> DataFrame:
 
     schema = "scan_id string, frames int, k_median double, k_iqr double, dx_median double, dy_median double, fattening_x_median double, fattening_y_median double, corr_median double, aligned boolean, dx_ci95 array<double>, dy_ci95 array<double>"
     return fits.groupBy("scan_id").applyInPandas(of, schema)
-
-
-def small_batches(df: DataFrame, rows: int = 16) -> DataFrame:
-    """Arrow batches of few rows: a frame may have tens of megabytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df

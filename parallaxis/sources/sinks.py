@@ -161,7 +161,7 @@ def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> Dat
 
     about = recordings.select("scan_id", "tar_path", "format_version", "camera", "color_width", "color_height", "depth_width", "depth_height", "depth_pixel_format", "ycbcr_matrix")
     todo = about if force else about.mapInPandas(left, about.schema)
-    blobs = kernels.small_batches(recording_tar.load(spark, path, "blobs")).join(todo.select("scan_id", "ycbcr_matrix"), "scan_id")
+    blobs = recording_tar.load(spark, path, "blobs").join(todo.select("scan_id", "ycbcr_matrix"), "scan_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = recording_tar.open_fs(out)

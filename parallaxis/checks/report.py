@@ -6,6 +6,7 @@ kernels once over the frames. A check that doesn't apply to a recording's versio
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from parallaxis.sources import layout, recording_tar
 K = layout.K_CELLS
 #: A fixed value: the highest level of confidence.
 HIGH_CONFIDENCE = 2
+Carry = Callable[[Sequence[Column], Column, Column], list[Column]]
 
 
 @dataclass
@@ -80,14 +82,16 @@ def _times(t: Tables, p: DataFrame) -> DataFrame:
     return t.recordings.select("scan_id").join(depth, "scan_id", "left").join(inside(p, "depth_ts"), "scan_id", "left").select("scan_id", (F.coalesce("n_in", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("timed"))
 
 
-def _carried(t: Tables, p: DataFrame) -> DataFrame:
-    """Whether the depth intrinsics are the same-instant colour frame's carried to the depth map; not if there is no pair."""
+def carried(t: Tables, p: DataFrame, carry: Carry | None = None) -> DataFrame:
+    """Whether the depth intrinsics are the same-instant colour frame's carried to the depth map; not if there is no pair. carry
+    takes fx, fy, cx, cy and the scales of both axes; without one it is that of the camera."""
     r = t.recordings.select("scan_id", "camera", geometry.ratio(F.col("depth_width"), F.col("color_width")).alias("sx"), geometry.ratio(F.col("depth_height"), F.col("color_height")).alias("sy"))
     rows = p.where("color_index IS NOT NULL").join(r, "scan_id")
     k = [F.col(f"color_k.{n}") for n in K]
     match = F.lit(True)
-    for n, rear, front in zip(K, geometry.grid_carried(k, F.col("sx"), F.col("sy")), geometry.plainly_scaled(k, F.col("sx"), F.col("sy")), strict=True):
-        match = match & geometry.close(F.col(f"depth_k.{n}"), F.when(F.col("camera") == "rear", rear).otherwise(front))
+    rear, front = (f(k, F.col("sx"), F.col("sy")) for f in ((carry, carry) if carry else (geometry.grid_carried, geometry.plainly_scaled)))
+    for n, r_, f_ in zip(K, rear, front, strict=True):
+        match = match & geometry.close(F.col(f"depth_k.{n}"), F.when(F.col("camera") == "rear", r_).otherwise(f_))
     return rows.groupBy("scan_id").agg(F.bool_and(match).alias("carried"))
 
 
@@ -139,10 +143,13 @@ def temporal(t: Tables, p: DataFrame) -> DataFrame:
     return series.best_offset(scores, ["scan_id"])
 
 
-def spatial(t: Tables, p: DataFrame) -> DataFrame:
-    """The alignment report of each recording that has pairs to compare."""
+def spatial(t: Tables, p: DataFrame, depth_k: Column | None = None) -> DataFrame:
+    """The alignment report of each recording that has pairs to compare. depth_k takes the place of the depth frames' intrinsics; it is
+    a column over scan_id, depth_index, color_k and depth_k."""
     shares = kernels.depth_statistics(t.depth).where(F.col("valid_share") >= alignment.LEAST_VALID).select("scan_id", F.col("frame_index").alias("depth_index"))
     good = p.where("color_index IS NOT NULL AND color_k IS NOT NULL AND depth_k IS NOT NULL").join(shares, ["scan_id", "depth_index"])
+    if depth_k is not None:
+        good = good.withColumn("depth_k", depth_k)
     chosen = series.subsample(good, ["scan_id"], ["depth_index"], alignment.MOST_PAIRS)
     blob = lambda s: getattr(t, s).select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct("width", "height", "pixel_format", "encoding", "data").alias(s))
     rows = chosen.join(blob("color"), ["scan_id", "color_index"]).join(blob("depth"), ["scan_id", "depth_index"]).join(t.recordings.select("scan_id", "camera"), "scan_id")
@@ -153,7 +160,7 @@ def facts(t: Tables) -> DataFrame:
     """One row per recording with everything that the checks are about."""
     p = pairs(t)
     out = t.recordings
-    for part in (_streams(t), _times(t, p), _carried(t, p), _calibrated(t), _attributed(t), _members(t), _pixels(t), temporal(t, p), spatial(t, p)):
+    for part in (_streams(t), _times(t, p), carried(t, p), _calibrated(t), _attributed(t), _members(t), _pixels(t), temporal(t, p), spatial(t, p)):
         out = out.join(part, "scan_id", "left")
     return out
 

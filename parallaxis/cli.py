@@ -1,4 +1,4 @@
-"""python -m parallaxis.cli inspect|decode|list PATH ...: the library's jobs from a shell. inspect exits with 1 if a check fails."""
+"""python -m parallaxis.cli inspect|decode|render|list PATH ...: the library's jobs from a shell. inspect exits with 1 if a check fails."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ def main(args: list[str] | None = None) -> int:
     decode.add_argument("path")
     decode.add_argument("out")
     decode.add_argument("--force", action="store_true")
+    render = sub.add_parser("render")
+    render.add_argument("path")
+    render.add_argument("out")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"parallaxis {a.job}").getOrCreate()
     if a.job == "inspect":
@@ -36,6 +39,9 @@ def main(args: list[str] | None = None) -> int:
     if a.job == "decode":
         for r in sinks.decode(spark, a.path, a.out, a.force).toLocalIterator():
             print(f"{r.scan_id}: {r.frames} frames, {r.bytes} bytes")
+    elif a.job == "render":
+        for r in sinks.render(spark, a.path, a.out).groupBy("scan_id").count().toLocalIterator():
+            print(f"{r.scan_id}: {r['count']} panels")
     else:
         for r in sinks.catalog(spark, a.path).select(F.to_json(F.struct("*")).alias("r")).toLocalIterator():
             print(r.r)

@@ -99,6 +99,28 @@ def upload_label(state: Column, detail: Column) -> Column:
     return out
 
 
+#: Names that recordings give to what a camera says.
+DROP_REASONS = {"lateData": "late", "outOfBuffers": "out_of_buffers", "discontinuity": "discontinuity"}
+TRACKING = {"normal": "normal", "notAvailable": "not_available"}
+LIMITED = {"initializing": "limited_initializing", "excessiveMotion": "limited_excessive_motion", "insufficientFeatures": "limited_insufficient_features", "relocalizing": "limited_relocalizing"}
+
+
+def _named(value: Column, names: dict[str, str]) -> Column:
+    return F.get(F.array(*map(F.lit, names.values())), F.array_position(F.array(*map(F.lit, names)), value).cast("int") - 1)
+
+
+def drop_reason(reason: Column) -> Column:
+    """Why a frame was dropped; what isn't known is `unknown`, null is null."""
+    return F.when(reason.isNotNull(), F.coalesce(_named(reason, DROP_REASONS), F.lit("unknown")))
+
+
+def tracking_state(state: Column, reason: Column) -> Column:
+    """normal, not_available or limited_<reason>; null for null, and an error for what isn't known."""
+    name = F.when(state == "limited", _named(reason, LIMITED)).otherwise(_named(state, TRACKING))
+    unknown = F.raise_error(F.concat(F.lit("unknown tracking state "), F.concat_ws(" ", state, reason))).cast("string")
+    return F.when(state.isNull(), F.lit(None).cast("string")).when(name.isNotNull(), name).otherwise(unknown)
+
+
 def can_start(state: Column) -> Column:
     """Whether an upload may begin: not while one is under way, and not of what stays on the phone."""
     return F.coalesce(state.isin("not_uploaded", "uploaded", "failed"), F.lit(False))

@@ -162,6 +162,56 @@ def letterboxed(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return out
 
 
+#: The published polynomials of the turbo colour map, lowest power first, of red, green and blue.
+TURBO = (
+    (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
+    (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604),
+    (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
+)
+#: Height of a legend, the rows of its ramp and of its ticks, what is left free on either side, and how many ticks there are.
+LEGEND_ROWS, LEGEND_RAMP, LEGEND_TICKS, LEGEND_MARGIN, TICKS = 32, slice(4, 20), slice(20, 27), 8, 5
+
+
+def turbo(share: np.ndarray) -> np.ndarray:
+    """8-bit BGR of shares from 0 to 1, in 256 steps."""
+    t = np.floor(np.clip(share, 0, 1) * 255) / 255
+    red, green, blue = (np.polynomial.polynomial.polyval(t, c) for c in TURBO)
+    return np.clip(np.rint(255 * np.stack([blue, green, red], axis=-1)), 0, 255).astype(np.uint8)
+
+
+def stretched(depth: np.ndarray, low: float, high: float) -> np.ndarray:
+    """8-bit BGR of depth between two ends, whatever lies beyond as the ends; invalid pixels are black."""
+    ok = is_valid(depth)
+    out = turbo((np.where(ok, depth, low).astype(np.float64) - low) / max(high - low, 1e-9))
+    out[~ok] = 0
+    return out
+
+
+def legend(width: int) -> np.ndarray:
+    """A ramp of colours with even ticks, the first and the last at its ends; what these stand for is for the caller to say."""
+    out = np.full((LEGEND_ROWS, width, 3), 255, dtype=np.uint8)
+    left, n = min(LEGEND_MARGIN, (width - 1) // 2), max(1, width - 2 * LEGEND_MARGIN)
+    out[LEGEND_RAMP, left : left + n] = turbo(np.linspace(0, 1, n))
+    out[LEGEND_TICKS, left + np.rint(np.linspace(0, n - 1, TICKS)).astype(int)] = 0
+    return out
+
+
+def fitted(image: np.ndarray, box: int) -> np.ndarray:
+    """As letterboxed() in a square; what is shrunk is averaged."""
+    h, w = image.shape[:2]
+    scale = box / max(h, w)
+    if scale < 1:
+        image = np.dstack([area_resized(image[:, :, i], max(1, round(w * scale)), max(1, round(h * scale))) for i in range(image.shape[2])])
+    return letterboxed(image, box, box)
+
+
+def panel(color: np.ndarray | None, depth: np.ndarray | None, degrees: int, low: float, high: float, box: int) -> np.ndarray:
+    """8-bit BGR: a colour frame (BGR) beside its depth map, both upright, over the legend; black where there is none."""
+    left = np.zeros((box, box, 3), dtype=np.uint8) if color is None else fitted(upright(color, degrees), box)
+    right = np.zeros_like(left) if depth is None else letterboxed(upright(stretched(depth, low, high), degrees), box, box)
+    return np.vstack([np.hstack([left, right]), legend(2 * box)])
+
+
 def live_summary(depth: np.ndarray, step: int = 4) -> tuple[float, float]:
     """(valid share, upper median) of every step-th pixel of every step-th row; zeros without a valid one."""
     some = depth[::step, ::step]

@@ -93,6 +93,17 @@ def gallery(listings: DataFrame, state: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("start_time_utc"), F.desc("scan_id"))
 
 
+def finished(wanted: DataFrame, memory: DataFrame, disk: DataFrame, underway: DataFrame) -> DataFrame:
+    """The finished recording under each key: the one in memory, or else on disk, but there not while it is under way.
+
+    wanted, underway: upload_key; memory, disk: upload_id, scan_id and the same other columns. Keys without one have no row."""
+    key = F.coalesce("upload_id", "scan_id").alias("upload_key")
+    of = lambda df, place: df.select(key, F.struct(F.lit(place).alias("place"), "scan_id").alias("order_"), F.struct(*memory.columns).alias("info_"))
+    rows = of(memory, 0).unionByName(of(disk, 1).join(underway.select("upload_key"), "upload_key", "left_anti"))
+    rows = rows.join(wanted.select("upload_key"), "upload_key", "left_semi")
+    return rows.groupBy("upload_key").agg(F.min_by("info_", "order_").alias("info_")).select("upload_key", "info_.*")
+
+
 def progress(parts: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of the bytes that are stored or sent so far. parts: keys, name, size, uploaded; sent: keys, name, bytes."""
     rows = parts.join(sent, [*keys, "name"], "left")

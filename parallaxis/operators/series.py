@@ -157,6 +157,14 @@ def packed(df: DataFrame, keys: Names, order: Names, size: str, limit: int) -> D
     return scanned(df, keys, order, lambda: (0, 0), step, df.schema.add("segment", "long"))
 
 
+def handed_over(rows: DataFrame, keys: Names, size: str, limit: int, ended: DataFrame) -> DataFrame:
+    """keys, segment, frames and size of the segments that may go: full ones, and the last one of a series that has ended.
+
+    rows: as packed() gives them; ended: keys. A segment that is still being filled has no row until its series ends."""
+    per = rows.groupBy(*keys, "segment").agg(F.count("*").alias("frames"), F.sum(size).alias("size"))
+    return per.join(ended.select(*keys).distinct().withColumn("ended_", F.lit(True)), list(keys), "left").where((F.col("size") >= limit) | F.col("ended_")).drop("ended_")
+
+
 def queued(df: DataFrame, keys: Names, order: Names, size: str, written: str, limit: int) -> DataFrame:
     """Adds accepted: whether a frame fits a queue of so many bytes. A row where `written` is true isn't a frame (accepted is null); it
     frees what the oldest frame in the queue holds. A frame that would take the queue above the limit is dropped and holds nothing."""

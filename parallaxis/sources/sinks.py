@@ -217,3 +217,44 @@ def rendered(spark: SparkSession, path: str) -> DataFrame:
     last = F.last("upright_rotation_deg", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.first("upright_rotation_deg", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     return rows.withColumn("rotation", F.coalesce(last, first)).drop("upright_rotation_deg")
+
+
+def panels(spark: SparkSession, path: str, box: int = 640) -> DataFrame:
+    """rendered() with a picture of each row: near and far (metres at the ends of the legend: the 2nd and 98th percentile of the
+    recording's readings), valid_share of the depth map, and panel, a PNG of both frames upright side by side over a legend."""
+    from parallaxis.checks import report
+
+    t, shown = report.tables(spark, path), rendered(spark, path)
+    columns = shown.columns
+    blob = lambda s: getattr(t, s).select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct("width", "height", "pixel_format", "encoding", "data").alias(f"{s}_"))
+    rows = shown.join(blob("color"), ["scan_id", "color_index"], "left").join(blob("depth"), ["scan_id", "depth_index"], "left")
+    rows = rows.join(t.recordings.select("scan_id", F.col("ycbcr_matrix").alias("matrix_")), "scan_id").join(report.readings(t).select("scan_id", F.col("stretch").alias("ends_")), "scan_id", "left")
+    more = {"near": "double", "far": "double", "valid_share": "double", "panel": "binary"}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema), *(f"{n} {k}" for n, k in more.items())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for r in pdf.itertuples(index=False):
+                color = None if r.color_ is None else image.to_bgr(kernels.pixels(pd.Series(r.color_)), r.matrix_)
+                depth = None if r.depth_ is None else kernels.pixels(pd.Series(r.depth_))
+                near, far = (None, None) if r.ends_ is None else map(float, r.ends_)
+                ends = (0.0, 1.0) if near is None else (near, far)
+                share = None if depth is None else float(image.is_valid(depth).mean())
+                made.append((near, far, share, png(image.panel(color, depth, 0 if pd.isna(r.rotation) else int(r.rotation), *ends, box))))
+            yield pdf[columns].assign(**{n: [m[i] for m in made] for i, n in enumerate(more)})
+
+    return rows.select(*columns, "color_", "depth_", "matrix_", "ends_").mapInPandas(run, schema)
+
+
+def render(spark: SparkSession, path: str, out: str, box: int = 640) -> DataFrame:
+    """Writes the panels of recordings as <out>/<scan_id>/<pos>.png, each renamed when it is whole. Returns scan_id, pos, bytes."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = recording_tar.open_fs(out)
+        for pdf in batches:
+            for s in set(pdf.scan_id):
+                system.create_dir(f"{top}/{s}", recursive=True)
+            yield pdf[["scan_id", "pos"]].assign(bytes=[_put(system, f"{top}/{r.scan_id}/{r.pos:06d}.png", [r.panel]) for r in pdf.itertuples(index=False)])
+
+    return panels(spark, path, box).select("scan_id", F.col("pos").cast("long").alias("pos"), "panel").mapInPandas(write, "scan_id string, pos long, bytes long")

@@ -24,6 +24,15 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def unparsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line_no (from 1) and text of the lines that aren't of the schema; blank lines are none. A log is that of one
+    recording and is read as one row, so that its lines have numbers."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    parsed = F.from_json("text", f"{schema}, corrupt_ string", {"columnNameOfCorruptRecord": "corrupt_"})
+    bad = text.where(F.trim("text") != "").withColumn("corrupt_", parsed["corrupt_"]).where("corrupt_ IS NOT NULL")
+    return bad.select("file", (F.col("at") + 1).alias("line_no"), "text")
+
+
 def unfinished(work: DataFrame, finished: DataFrame) -> DataFrame:
     return work.join(finished.select("scan_id").distinct(), "scan_id", "left_anti")
 

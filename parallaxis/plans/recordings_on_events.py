@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.functions import geometry, scalar
 from parallaxis.operators import joins, runs, series, stats
+from parallaxis.sources import uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,6 +165,21 @@ def pack_segments(spark: SparkSession, d: str) -> DataFrame:
     return series.packed(read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], ["doc_id"], "n_chars", 50_000)
 
 
+@query("""
+WITH RECURSIVE x AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
+k AS (
+  SELECT doc_id, lang, n_chars, n, n_chars AS held, 0::BIGINT AS segment FROM x WHERE n = 1
+  UNION ALL
+  SELECT x.doc_id, x.lang, x.n_chars, x.n, CASE WHEN k.held >= 50000 THEN x.n_chars ELSE k.held + x.n_chars END, CASE WHEN k.held >= 50000 THEN k.segment + 1 ELSE k.segment END
+  FROM k JOIN x ON x.lang = k.lang AND x.n = k.n + 1
+)
+SELECT lang, segment, count(*) AS frames, sum(n_chars)::BIGINT AS size FROM k GROUP BY lang, segment HAVING sum(n_chars) >= 50000 OR lang <> 'en'""")
+def segments_handed_over(spark: SparkSession, d: str) -> DataFrame:
+    """Languages are recordings; English is still being recorded, the others have ended."""
+    docs = read(spark, d, "documents").select("lang", "doc_id", "n_chars")
+    return series.handed_over(series.packed(docs, ["lang"], ["doc_id"], "n_chars", 50_000), ["lang"], "n_chars", 50_000, docs.where("lang <> 'en'").select("lang"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + event_id % 7 AS bytes, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 k AS (
@@ -429,6 +445,17 @@ def path_rules(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", scalar.is_data_root(F.col("url")).alias("is_root"), scalar.is_segment(F.col("url")).alias("is_segment"))
 
 
+@query(r"""
+WITH p AS (SELECT o_orderkey, '/upload/' || CASE WHEN o_orderkey % 7 = 0 THEN '.' ELSE 'k-' END || o_orderkey || '/' || ['manifest.json', 'color_frames.bin.000012', 'color_frames.bin', 'extrinsics.json', 'depth_frames_confidence.bin.12'][1 + o_orderkey % 5] AS path FROM orders),
+r AS (SELECT *, '^/upload/([A-Za-z0-9_][A-Za-z0-9_.-]*)/((?:scan_metadata|(?:color|depth)_frames_metadata|(?:color|depth)_intrinsics|extrinsics|manifest)\.json|(?:color_frames|depth_frames|depth_frames_confidence)\.bin\.[0-9]{6})$' AS pattern FROM p)
+SELECT o_orderkey, nullif(regexp_extract(path, pattern, 1), '') AS key, nullif(regexp_extract(path, pattern, 2), '') AS file FROM r""")
+def upload_routes(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select("o_orderkey")
+    files = F.array(*map(F.lit, ("manifest.json", "color_frames.bin.000012", "color_frames.bin", "extrinsics.json", "depth_frames_confidence.bin.12")))
+    path = F.concat(F.lit("/upload/"), F.when(F.col("o_orderkey") % 7 == 0, ".").otherwise("k-"), F.col("o_orderkey"), F.lit("/"), F.get(files, (F.col("o_orderkey") % 5).cast("int")))
+    return o.withColumn("r", uploads.upload_route(path)).select("o_orderkey", "r.key", "r.file")
+
+
 @query("SELECT o_orderkey, 'color_frames.bin.' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS segment, chr(48 + (o_orderkey % 10)::INT) || 'fde' AS four_cc, round(sign(x) * floor(abs(x * 1e5) + 0.5) / 1e5, 9) AS rounded FROM (SELECT o_orderkey, o_totalprice / 7 AS x FROM orders)")
 def scalar_rules(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")

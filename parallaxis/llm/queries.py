@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, curves, language, licenses, mixing, neardup, toxicity, warc
-from .common import pick, table
+from . import bpe, chat, covertree, curves, divergence, language, licenses, merkle, mixing, neardup, suffixes, toxicity, warc
+from .common import ascii_lower, pick, table
 
 
 def tokenizer_path() -> str:
@@ -111,6 +111,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pick(table(spark, sf_dir, "documents"), *merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    of = lambda text: merkle.leaf(*map(F.col, merkle.FIELDS[:-1]), text)
+    leaves = rows.select("doc_id", "source", of(F.col("text")).alias("leaf"), F.when(tampered, of(ascii_lower(F.col("text")))).alias("claimed"))
+    found = merkle.with_paths(leaves)
+    back = merkle.folded(F.coalesce("claimed", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), back.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -123,8 +146,20 @@ def queries() -> dict:
         "op9_minhash_near_dup": op9_minhash_near_dup,
         "op10_language_id": op10_language_id,
         "op6_mix_sources": op6_mix_sources,
+        "op11_suffix_decontaminate": op11_suffix_decontaminate,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op3_chat_format": ORACLE3, "op5_warc_normalise": warc.ORACLE, "op7_cover_tree_top_k": covertree.ORACLE, "op9_minhash_near_dup": ORACLE9}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op3_chat_format": ORACLE3,
+        "op5_warc_normalise": warc.ORACLE,
+        "op7_cover_tree_top_k": covertree.ORACLE,
+        "op9_minhash_near_dup": ORACLE9,
+        "op11_suffix_decontaminate": suffixes.ORACLE,
+        "op12_merkle_manifest": merkle.oracle(),
+        "op13_source_divergence": divergence.ORACLE,
+    }

@@ -1,6 +1,6 @@
 """How far the sources of a language differ in their words: a plain relational audit.
 
-Regexp matches are exploded and counted by (lang, source, term), with the documents that have them; groups are crossed with
+Terms, which are what stands between the matches of a regexp, are exploded and counted by (lang, source, term), with the documents that have them; groups are crossed with
 the terms that their language keeps, so that zeros are there too; a self-join on lang and term sets the sources of a language
 side by side; sums and ranks follow. All arithmetic is on whole numbers: a rate is p = 1 + floor(SCALE * (count + 2) / (N + 2V)),
 with N the group's occurrences of the V kept terms, and two rates differ by floor((p - q)^2 / (p + q)).
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, pick, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms. Splitting at it gives the matches of its complement, and takes a tenth of regexp_extract_all's time.
+BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
@@ -35,10 +36,10 @@ def _groups_of(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that have it)."""
-    words = _groups_of(docs).select("lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("words"))
+    words = _groups_of(docs).select("lang", "source", F.split(ascii_lower(F.col("text")), BREAK).alias("words"))
     # the words of a row, then its distinct ones
     twice = words.select("lang", "source", F.explode(F.array(F.struct(F.lit(1).alias("n"), "words"), F.struct(F.lit(0).alias("n"), F.array_distinct("words").alias("words")))).alias("x"))
-    rows = twice.select("lang", "source", F.col("x.n").alias("n"), F.explode("x.words").alias("term"))
+    rows = twice.select("lang", "source", F.col("x.n").alias("n"), F.explode("x.words").alias("term")).where("term <> ''")  # at the ends of a text there may be empty ones
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum(1 - F.col("n")).alias("docs"))
 
 

@@ -80,7 +80,7 @@ class Traversal:
     the next one of that level, which takes one leaf a step, so it is there when the existing one is left."""
 
     def __init__(self, leaves: Callable[[int], str], n: int, levels: int):
-        self.leaves, self.n, self.levels, self.at = leaves, n, levels, 0
+        self.leaves, self.n, self.levels = leaves, n, levels
         self.existing: list[list[str]] = []
         self.desired: list[Run] = []
         for level in range(1, levels + 1):
@@ -97,7 +97,6 @@ class Traversal:
         """(before, after) of each level, for one leaf after the other."""
         steps: list[tuple[str, str]] = [("", "")] * self.levels
         for i in range(self.n):
-            self.at = i
             for level in range(1, self.levels + 1):
                 size = FANOUT**level
                 if i and i % size == 0:
@@ -137,9 +136,9 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return out
 
 
-def _blocks(numbered_rows: DataFrame, group: str, marks: DataFrame | None = None) -> DataFrame:
+def _blocks(numbered_rows: DataFrame, group: str, block_levels: int, marks: DataFrame | None = None) -> DataFrame:
     """g, block, place, size, leaf, row_, and upper, own and root, in the order of the stream; a block's mark comes first."""
-    size = FANOUT**BLOCK_LEVELS
+    size = FANOUT**block_levels
     rows = numbered_rows.select(F.col(group).alias("g"), F.floor(F.col("place") / size).alias("block"), "place", "size", "leaf", F.struct(*numbered_rows.columns).alias("row_"))
     if marks is not None:
         rows = rows.unionByName(marks.withColumn("place", F.lit(-1).cast("long")), allowMissingColumns=True)
@@ -164,21 +163,22 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _traversal(leaves: list[str], size: int) -> Traversal:
-    return Traversal(leaves.__getitem__, len(leaves), min(BLOCK_LEVELS, levels_of(size)))
+def _traversal(rows: pa.RecordBatch, block_levels: int) -> Traversal:
+    leaves = rows.column("leaf").to_pylist()
+    return Traversal(leaves.__getitem__, len(leaves), min(block_levels, levels_of(rows.column("size")[0].as_py())))
 
 
-def _block_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_roots(batches: Iterator[pa.RecordBatch], block_levels: int) -> Iterator[pa.RecordBatch]:
     for rows in _each_block(batches):
-        found = _traversal(rows.column("leaf").to_pylist(), rows.column("size")[0].as_py())
+        found = _traversal(rows, block_levels)
         yield pa.RecordBatch.from_arrays([rows.column("g").slice(0, 1), rows.column("block").slice(0, 1), pa.array([found.root()])], names=["g", "idx", "node"])
 
 
-def _block_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_paths(batches: Iterator[pa.RecordBatch], block_levels: int) -> Iterator[pa.RecordBatch]:
     for rows in _each_block(batches):
         mark, rows = rows.slice(0, 1), rows.slice(1)
         upper, ends = [(s["before"], s["after"]) for s in mark.column("upper")[0].as_py()], [mark.column(c)[0].as_py() for c in ("own", "root")]
-        paths = _traversal(rows.column("leaf").to_pylist(), rows.column("size")[0].as_py()).paths()
+        paths = _traversal(rows, block_levels).paths()
         for at in range(0, rows.num_rows, OUT_ROWS):
             part = rows.slice(at, OUT_ROWS)
             steps = [next(paths) + upper for _ in range(part.num_rows)]
@@ -189,9 +189,9 @@ def _block_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("row_"), pa.ListArray.from_arrays(offsets, sides), *roots], names=["row_", "path", "own", "root"])
 
 
-def _levels_above(nodes: DataFrame, sizes: DataFrame) -> list[DataFrame]:
+def _levels_above(nodes: DataFrame, sizes: DataFrame, block_levels: int) -> list[DataFrame]:
     """Tables of g, idx, node, left (nodes of its group at that level), children; from the blocks' roots to where every group has one."""
-    span = FANOUT**BLOCK_LEVELS
+    span = FANOUT**block_levels
     nodes = nodes.join(sizes, nodes["g"].eqNullSafe(sizes["of"])).select(nodes["g"], "idx", "node", F.ceil(F.col("size") / span).alias("left"), F.lit(None).cast("array<string>").alias("children"))
     found = [written(nodes, "nodes")]
     for _ in range(levels_of(found[0].agg(F.max("left")).first()[0] or 0)):
@@ -223,14 +223,14 @@ def _down(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
     return out
 
 
-def authenticate(leaves: DataFrame, group: str, order: list[str], above: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def authenticate(leaves: DataFrame, group: str, order: list[str], block_levels: int, above: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of leaves (a written table with a column leaf, deleted here) with path, own (the root of their group) and root. `above` turns
     the groups' roots (group, leaf) into a table with path and root of these; their steps then follow, and the root is theirs."""
     places = numbered(leaves, group, order)
     discard(leaves)
     kind = leaves.schema[group].dataType.simpleString()
-    roots = _blocks(places, group).mapInArrow(_block_roots, f"g {kind}, idx long, node string")
-    levels = _levels_above(roots, places.where("place = 0").select(F.col(group).alias("of"), "size"))
+    roots = _blocks(places, group, block_levels).mapInArrow(lambda batches: _block_roots(batches, block_levels), f"g {kind}, idx long, node string")
+    levels = _levels_above(roots, places.where("place = 0").select(F.col(group).alias("of"), "size"), block_levels)
     tops = levels[0].where("left = 1").select(F.col("g").alias(group), F.col("node").alias("leaf"))
     for nodes in levels[1:]:
         tops = tops.unionByName(nodes.where("left = 1").select(F.col("g").alias(group), F.col("node").alias("leaf")))
@@ -242,16 +242,16 @@ def authenticate(leaves: DataFrame, group: str, order: list[str], above: Callabl
     marks = _down(levels, tops)
     discard(tops, *levels)
     schema = StructType([StructField("row_", places.schema), *StructType.fromDDL(f"path array<{STEP}>, own string, root string")])
-    return _blocks(places, group, marks).mapInArrow(_block_paths, schema).select(*[f"row_.{c}" for c in leaves.columns], "path", "own", "root")
+    return _blocks(places, group, block_levels, marks).mapInArrow(lambda batches: _block_paths(batches, block_levels), schema).select(*[f"row_.{c}" for c in leaves.columns], "path", "own", "root")
 
 
-def with_paths(leaves: DataFrame) -> DataFrame:
+def with_paths(leaves: DataFrame, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """doc_id, source, leaf and other columns of leaves, with path (to the root), subroot and root."""
 
     def subroots_in_order(subroots: DataFrame) -> DataFrame:
-        return authenticate(written(subroots.withColumn("whole", F.lit(0)), "subroots"), "whole", ["source"])
+        return authenticate(written(subroots.withColumn("whole", F.lit(0)), "subroots"), "whole", ["source"], block_levels)
 
-    return authenticate(written(leaves, "leaves"), "source", ["doc_id", "leaf"], subroots_in_order).withColumnRenamed("own", "subroot")
+    return authenticate(written(leaves, "leaves"), "source", ["doc_id", "leaf"], block_levels, subroots_in_order).withColumnRenamed("own", "subroot")
 
 
 def manifest(docs: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -441,6 +442,8 @@ class Model:
     parameters: dict[str, np.ndarray] | None
     #: Of the logistic regression: means, scales, weights and the constant.
     final: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None
+    #: What a worker keeps of this model is known by; no two fits share one.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, found: np.ndarray) -> np.ndarray:
         known = found[:, 2] > 0
@@ -493,7 +496,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     # at most about two samples of ids are broadcast
     chosen = written(truth.where(place < share).limit(2 * sum(sample)).select(F.col("doc_id").alias("id"), "toxic"), "chosen")
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("place", place), "sample")
+    rows = sample_rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("place", place), "sample")
     found = rows.select("doc_id", "toxic", F.char_length("text").alias("chars"), "place").where("chars > 0").orderBy("place", "doc_id").collect()
     taken = spark.createDataFrame([(i,) for i in _fitting([(r["doc_id"], r["toxic"], r["chars"]) for r in found], chars)], "id long")
     rows = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("id"), "left_semi")
@@ -503,6 +506,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     corpus = Corpus((got["toxic"][i].as_py(), words_of(got["text"][i].as_py())) for i in by.tolist())
     del got
     if len(set(corpus.toxic.tolist())) < 2:
+        discard(chosen, sample_rows)
         return Model(None)
     model = Model(train(corpus))
     del corpus
@@ -512,13 +516,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, s
     if len({y for *_, y in stats}) < 2:  # too few to keep any from training
         stats = scored(rows)
     model.final = fit_final(np.array(stats, dtype=float), np.array([y for *_, y in stats], dtype=float))
-    discard(chosen)
+    discard(chosen, sample_rows)
     return model
 
 
 def _worker_scorer(sent) -> tuple[Model, Scorer]:
     model = sent.value
-    return model, resident(("toxicity", id(model)), lambda: Scorer(model.parameters))
+    return model, resident(("toxicity", model.key), lambda: Scorer(model.parameters))
 
 
 def window_scores(docs: DataFrame, model: Model) -> DataFrame:

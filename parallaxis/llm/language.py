@@ -1,16 +1,17 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 A text becomes runs of lower-cased letters with one space between them; its character n-grams of orders 1 to
-3 are hashed into FEATURES counters (fewer beyond 512 languages, so that the weights keep their size). The value of a feature is (1 + ln tf) * idf, and each text's vector has
-length 1. The inverse document frequencies come from every document that may be learned from. The weights
-are fitted with FTRL-proximal and elastic-net penalties (the L1 part makes them sparse) on at most about
-SAMPLE_PER_LANGUAGE labelled documents of each language and SAMPLE_ROWS in all, chosen by a hash of doc_id, one of each
-language at least; every value of lang is learned. A fifth of them is kept from the fit and sets the temperature that
-calibrates the scores. Every whole text is scored, whatever its length.
+3 are hashed into FEATURES counters. The value of a feature is (1 + ln tf) * idf, and each text's vector has
+length 1. The inverse document frequencies come from every document with a language that may be learned from. The weights
+are fitted with FTRL-proximal and elastic-net penalties (the L1 part makes them sparse; of each feature only the languages
+with a weight are kept and sent) on at most about SAMPLE_PER_LANGUAGE labelled documents of each language and SAMPLE_ROWS in
+all, chosen by a hash of doc_id and text, one of each language at least. The MOST_LANGUAGES most frequent values of lang are
+learned; while it fits, the driver takes about 260 KB for each. A fifth of the sample is kept from the fit and sets the
+temperature that calibrates the scores. Every whole text is scored, whatever its length.
 
 Letters are the code points of Unicode's letter categories, in all planes. Null texts and texts without a letter are `und`
-with score 0. With nothing to learn from, all are `und`. Documents without a language or doc_id are not learned from.
-Equal scores go to the language first by code point. Repeated rows each get their row, an empty table gives an empty
+with score 0. With nothing to learn from, all are `und`. Documents without a language or doc_id are not learned from; equal rows
+are learned once, rows that share a doc_id are told apart by their texts. Equal scores go to the language first by code point. Repeated rows each get their row, an empty table gives an empty
 result, other columns are ignored.
 """
 
@@ -31,10 +32,8 @@ from .common import Carried, discard, give_back, pick, resident, text_batches, w
 FEATURES = 1 << 15
 ORDERS = 3
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
-#: Numbers in the table of weights; with more languages than it has room for, features share rows of it.
-WEIGHTS = FEATURES * 512
-#: Languages whose counts are broadcast when documents are chosen; beyond it they are shuffled.
-BROADCAST_LANGUAGES = 10_000
+#: Languages that are learned at most.
+MOST_LANGUAGES = 4_096
 UNDETERMINED = "und"
 
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -75,20 +74,6 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(found).astype(np.intp)
 
 
-def feature_bits(languages: int) -> int:
-    """Bits of a feature's number, so that the weights of so many languages fit."""
-    return min(FEATURES.bit_length() - 1, max(4, (WEIGHTS // max(1, languages)).bit_length() - 1))
-
-
-def folded(at: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their counts, by the first bits of the features' numbers."""
-    if (shift := FEATURES.bit_length() - 1 - bits) == 0:
-        return at, n
-    sums = np.bincount(at >> shift, weights=n, minlength=1)
-    at = np.flatnonzero(sums)
-    return at, sums[at]
-
-
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(features, how often each is there)."""
     g = grams(text)
@@ -104,22 +89,43 @@ def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32)
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Rows of a matrix, each as the columns that aren't zero and their values."""
+
+    ends: np.ndarray  # of each row, after a zero
+    column: np.ndarray
+    value: np.ndarray
+    columns: int
+
+    @staticmethod
+    def of(dense: np.ndarray) -> Sparse:
+        row, column = np.nonzero(dense)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(dense)))])
+        return Sparse(ends, column.astype(np.int32), dense[row, column].astype(np.float32), dense.shape[1])
+
+    def sums(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """x @ self[rows]"""
+        first, n = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.column[places], weights=np.repeat(x, n) * self.value[places], minlength=self.columns)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    weights: np.ndarray  # features + 1 (bias), languages
+    weights: Sparse  # features + 1 (bias), languages
     idf: np.ndarray
     temperature: float
 
     def logits(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        at, n = folded(at, n, (len(self.weights) - 1).bit_length() - 1)
-        return vector(at, n, self.idf) @ self.weights[at] + self.weights[-1]
+        return self.weights.sums(np.append(at, len(self.idf)), np.append(vector(at, n, self.idf), np.float32(1)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         at, n = counted(text)
         if not at.size or not self.languages:
             return UNDETERMINED, 0.0
-        p = softmax(self.logits(at, n).astype(np.float64) / self.temperature)
+        p = softmax(self.logits(at, n) / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
@@ -196,41 +202,40 @@ def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(n[-1]), n[:-1]
 
 
-def fit(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> Model:
+def fit(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
     """learn: doc_id, text, lang of the documents that may be learned from."""
-    total, df = _document_frequencies(learn.select("text"))
-    place = (F.xxhash64(F.lit(5).cast("long"), "doc_id") / 2.0**64) + 0.5
-    labelled = learn.where(F.col("lang").isNotNull()).withColumn("place", place)
-    sizes = written(labelled.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("size"), F.min("place").alias("least")), "languages")
-    languages = tuple(sorted(r["of"] for r in sizes.select("of").collect()))
-    bits = feature_bits(len(languages))
-    df = np.bincount(np.arange(FEATURES) >> (FEATURES.bit_length() - 1 - bits), weights=df)
+    labelled = learn.where(F.col("lang").isNotNull())
+    total, df = _document_frequencies(labelled.select("text"))
     idf = np.log((1.0 + total) / (1.0 + np.minimum(df, total))).astype(np.float32) + np.float32(1)
+    labelled = labelled.withColumn("place", F.xxhash64(F.lit(5).cast("long"), "doc_id", "text") / 2.0**64 + 0.5)
+    sizes = written(labelled.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("size"), F.min("place").alias("least")).orderBy(F.desc("size"), "of").limit(most_languages), "languages")
+    languages = tuple(sorted(r["of"] for r in sizes.select("of").collect()))
     if not languages:
-        return Model((), np.zeros((len(idf) + 1, 0), np.float32), idf, 1.0)
+        discard(sizes)
+        return Model((), Sparse.of(np.zeros((len(idf) + 1, 0), np.float32)), idf, 1.0)
     per_language = max(1, min(per_language, most // len(languages)))
-    small = F.broadcast(sizes) if len(languages) <= BROADCAST_LANGUAGES else sizes
-    sample = labelled.join(small, F.col("lang") == F.col("of")).where((F.col("place") < per_language / F.col("size")) | (F.col("place") == F.col("least")))
+    sample = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where((F.col("place") < per_language / F.col("size")) | (F.col("place") == F.col("least")))
+    sample = sample.select("doc_id", "text", "lang", "place").dropDuplicates(["doc_id", "lang", "place"])  # equal rows once, so the sample keeps its bound
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [folded(*counted(t.as_py()), bits) for t in batch.column(1)]
+            out = [counted(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "lang": batch.column(2),
+                "doc_id": batch.column(0), "lang": batch.column(2), "place": batch.column(3),
                 "at": pa.array([a.astype(np.int32) for a, _ in out], pa.list_(pa.int32())), "n": pa.array([n.astype(np.int32) for _, n in out], pa.list_(pa.int32())),
             })
 
-    got = sample.select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, at array<int>, n array<int>").limit(2 * per_language * len(languages)).toArrow()
+    got = sample.mapInArrow(features, "doc_id long, lang string, place double, at array<int>, n array<int>").toArrow()
     number, seen, kept, fitted = {x: i for i, x in enumerate(languages)}, np.zeros(len(languages), dtype=int), [], []
-    for i in np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist():
+    for i in np.lexsort((got["place"].to_numpy(), got["doc_id"].to_numpy())).tolist():
         at = np.array(got["at"][i].values, dtype=np.int32)
         if at.size:
             k = number[got["lang"][i].as_py()]
             seen[k] += 1
             (fitted if seen[k] % 5 else kept).append((at, vector(at, np.array(got["n"][i].values), idf), k))
     del got
-    weights = fit_ftrl(fitted, len(languages), len(idf))
-    logits = np.array([x @ weights[at] + weights[-1] for at, x, _ in kept], dtype=np.float64).reshape(-1, len(languages))
+    weights = Sparse.of(fit_ftrl(fitted, len(languages), len(idf)))
+    logits = np.array([weights.sums(np.append(at, len(idf)), np.append(x, np.float32(1))) for at, x, _ in kept], dtype=np.float64).reshape(-1, len(languages))
     out = Model(languages, weights, idf, fit_temperature(logits, np.array([k for _, _, k in kept], dtype=int)))
     discard(sizes)
     give_back()
@@ -239,7 +244,7 @@ def fit(learn: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = S
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score for every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages, both bounded
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights that aren't zero, of FEATURES x MOST_LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -251,7 +256,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def learnable(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    return pick(docs, "doc_id", "text", "lang").where(remainder(F.col("doc_id"), folds) != held_out)
+    return pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -104,7 +104,8 @@ def plain_language(model, text):
                 tf[f] = tf.get(f, 0) + 1
     x = {f: (1 + np.log(n)) * float(model.idf[f]) for f, n in tf.items()}
     length = sum(v * v for v in x.values()) ** 0.5
-    z = sum((v / length) * model.weights[f].astype(float) for f, v in x.items()) + model.weights[-1]
+    row = lambda f: model.weights.sums(np.array([f]), np.array([1.0]))
+    z = sum((v / length) * row(f) for f, v in x.items()) + row(language.FEATURES)
     p = np.exp((z - z.max()) / model.temperature)
     return model.languages[int(p.argmax())], float(p.max() / p.sum())
 
@@ -126,19 +127,42 @@ def test_what_is_no_letter_in_any_plane():
 
 
 def test_every_language_is_learned(spark):
-    """More values than any cap that there was, and a table of weights with room for fewer."""
+    """Many values, each with all the features; the weights hold what isn't zero."""
     rng, rows = random.Random(5), []
     for i in range(1200):
         mark = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
         rows += [(6 * i + j, f"{mark} {mark}" * 3, f"l{i}", "s") for j in range(6)]
     df = documents(spark, rows)
     model = language.fit(language.learnable(df))
-    assert len(model.languages) == 1200 and model.weights.size <= language.WEIGHTS + 1200 < language.FEATURES * 1200
+    assert len(model.languages) == 1200 and len(model.weights.value) < 0.2 * language.FEATURES * 1200
+    assert len(language.fit(language.learnable(df), most_languages=3).languages) == 3
     got = {r.doc_id: r.lang_pred for r in language.predict(df.where("doc_id % 6 = 0").select("doc_id", "text"), model).collect()}
     assert np.mean([got[i] == lang for i, _, lang, _ in rows if i in got]) > 0.5
     assert len(set(got.values())) > 600
 
 
+def test_language_learns_from_texts_with_a_language_alone(spark):
+    rows = [r[:4] for r in corpus(80)]
+    more = [(1000 + i, "qxq zzz " * 40, None, "s") for i in range(300)]
+    alone, beside = (language.fit(language.learnable(documents(spark, d))) for d in (rows, [*more, *rows]))
+    assert (alone.idf == beside.idf).all() and (alone.weights.value == beside.weights.value).all() and alone.temperature == beside.temperature
+
+
+def test_language_with_rows_that_share_an_id(spark):
+    """Most rows have the id that any sample by ids takes or leaves as one; equal rows count once, in any order."""
+    rows = [(7, r[1], r[2], "s") for r in corpus(200)] + [(3, "einschung lich", "de", "s")] * 500 + [(5, "eau oi ment", "fr", "s"), (6, "the whing", "en", "s")]
+    one, other = (language.fit(documents(spark, d).select("doc_id", "text", "lang"), per_language=60) for d in (rows, rows[::-1]))
+    assert one.languages == ("de", "en", "fr") and (one.weights.value == other.weights.value).all() and (one.weights.column == other.weights.column).all()
+    assert one.predict("the wh thetion")[0] == "en" and one.predict("schung ein")[0] == "de"
+
+
+def test_sparse_rows():
+    dense = np.random.default_rng(2).standard_normal((9, 5)) * (np.random.default_rng(3).random((9, 5)) < 0.4)
+    rows, x = np.array([3, 8, 3, 0]), np.array([1.0, -2.0, 0.5, 4.0])
+    assert np.allclose(language.Sparse.of(dense).sums(rows, x), x @ dense[rows], atol=1e-6)
+    assert language.Sparse.of(np.zeros((4, 0))).sums(rows[:0], x[:0]).size == 0
+
+
 def test_language_of_nothing(spark):
     assert language.identify(documents(spark, [])).count() == 0
     assert [r.lang_pred for r in language.identify(documents(spark, [(1, "abc", None, "s")])).collect()] == ["und"]
@@ -373,3 +397,17 @@ def test_normaliser_makes_members_of_a_monolithic_stream():
     for bad in (gzip.compress(b"".join(records))[:-9], gzip.compress(records[1][:-2]), gzip.compress(b"junk\r\n\r\n")):
         with pytest.raises(ValueError):
             warc.normalise(io.BytesIO(bad), io.BytesIO(), io.BytesIO())
+
+
+def test_toxicity_of_two_models_in_one_session(spark):
+    """Workers that Spark uses again don't score with what they kept of another model."""
+    texts = corpus(160, toxic=True)
+    docs = documents(spark, [r[:4] for r in texts])
+    labels = lambda of: spark.createDataFrame([(r[0], 1, of(r)) for r in texts], "doc_id long, quality int, toxic int")
+    one, two = toxicity.fit(docs, labels(lambda r: r[4])), toxicity.fit(docs, labels(lambda r: int(r[2] == "de")))
+    assert one.key != two.key
+    score = lambda m: {r.doc_id: r.score for r in toxicity.window_scores(docs.coalesce(1), m).collect()}
+    for model in (one, two, one, two):
+        want = model.score(toxicity.Scorer(model.parameters).documents([r[1] for r in texts]))
+        got = score(model)
+        assert all(got[r[0]] == pytest.approx(w, abs=1e-5) for r, w in zip(texts, want, strict=True))

@@ -18,7 +18,8 @@ leave nothing to prune, so every query meets every row in a product (the README
 
 Scores are integer inner products, exact also beyond 2**53; beyond the range of a long they are that range's end.
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Rows that repeat
-count as often as they are there, as candidates and as queries. Products are of vectors of equal length; empty
+count as often as they are there as candidates; an equal query is answered once, and an id that has several vectors gets an
+answer for each. Products are of vectors of equal length; empty
 vectors score 0 with each other. With less than k candidates all are returned; without queries or candidates the
 result is empty. Other columns are ignored.
 """
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import discard, pick, written
 
 QUERY_BLOCK, DATA_BLOCK = 8_192, 65_536
 #: Blocks of a small table, so that it is worked on by more than one core.
@@ -49,7 +50,7 @@ FAN, SHRINK = 16, 0.7
 #: Vectors with a component from here on are compared one by one in whole numbers, beside the trees.
 LARGE = 2.0**52
 NONE = -(2**63 - 1)
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 @dataclass
@@ -317,7 +318,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, query_block: int = QU
     """queries, data: id long, v array<double> of whole numbers. Returns query_id, rank, vec_id, score long; a row's own id is no candidate."""
     spark = data.sparkSession
     rows = written(data.select("id", "v").where("id IS NOT NULL"), "vectors")
-    asking = written(queries.select("id", "v").where("id IS NOT NULL"), "queries")
+    # an equal query is asked once; ask tells queries of one id apart
+    asking = written(queries.select("id", "v").where("id IS NOT NULL").distinct().withColumn("ask", F.monotonically_increasing_id()), "queries")
     n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     tops = tops_of(rows, n, longest)
     (counts, measures), asked = summary(rows, tops), summary(asking, tops)[0]
@@ -365,28 +367,30 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, query_block: int = QU
                     ask[:, : tops.n] = False
                 piece = pieces[0][top] + places(seen + at) % pieces[1][top]
                 wanted = [sorted({int(first[t]) + p for t in np.flatnonzero(row) for p in range(int(parts[t]))}) for row in ask]
-                yield pa.RecordBatch.from_pydict({"id": ids, "v": batch.column(1).take(pa.array(at)), "floor": floor, "piece": piece.astype(np.int32), "blocks": pa.array(wanted, pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"id": ids, "ask": batch.column(2).take(pa.array(at)), "v": batch.column(1).take(pa.array(at)), "floor": floor, "piece": piece.astype(np.int32), "blocks": pa.array(wanted, pa.list_(pa.int32()))})
             seen += batch.num_rows
 
-    asks = written(asking.mapInArrow(to_ask, "id long, v array<double>, floor long, piece int, blocks array<int>"), "asks").withColumn("block", F.explode("blocks")).drop("blocks")
+    asks = written(asking.mapInArrow(to_ask, "id long, ask long, v array<double>, floor long, piece int, blocks array<int>"), "asks")
+    discard(asking)
+    asks = asks.withColumn("block", F.explode("blocks")).drop("blocks")
     x = rows.mapInArrow(to_block, "id long, v array<double>, block int")
     x = x.withColumnRenamed("block", "own").join(asks.select(F.col("block").alias("wanted"), F.col("piece").alias("to")).distinct(), F.col("own") == F.col("wanted"))
 
     def meet(asks: pa.Table, xs: pa.Table) -> pa.Table:
         if not len(asks) or not len(xs):
             return FOUND.empty_table()
-        q_ids, x_ids, floors = asks["id"].to_numpy(), xs["id"].to_numpy(), asks["floor"].to_numpy()
+        numbers, q_ids, x_ids, floors = asks["ask"].to_numpy(), asks["id"].to_numpy(), xs["id"].to_numpy(), asks["floor"].to_numpy()
         candidates, out = {v.shape[1]: (at, v) for at, v in by_length(xs["v"].combine_chunks())}, []
         for at, q in by_length(asks["v"].combine_chunks()):
             if q.shape[1] in candidates:
                 there, v = candidates[q.shape[1]]
                 best = best_of(q, q_ids[at], v, x_ids[there], k, floors[at])
                 i, j = np.nonzero((best.score >= best.floor[:, None]) & (best.score > NONE))
-                out.append(pa.table({"query_id": best.own[i], "vec_id": best.id[i, j], "score": best.score[i, j]}, FOUND))
+                out.append(pa.table({"ask": numbers[at][i], "query_id": best.own[i], "vec_id": best.id[i, j], "score": best.score[i, j]}, FOUND))
         return pa.concat_tables(out) if out else FOUND.empty_table()
 
-    found = asks.groupBy("block", "piece").cogroup(x.select("own", "to", "id", "v").groupBy("own", "to")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asks.groupBy("block", "piece").cogroup(x.select("own", "to", "id", "v").groupBy("own", "to")).applyInArrow(meet, "ask long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -425,9 +429,9 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
-  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.v, x.v)::BIGINT AS score, q.v AS v
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id)::INT AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -17,6 +17,20 @@ def bucket(ts: Column, width: float) -> Column:
     return F.rint(ts / F.lit(width))
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: Names, how: str = "inner") -> DataFrame:
+    """A join on keys whose nulls are equal, as they are one group to groupBy. The other columns of both sides have names of their own.
+    Spark hashes or sorts such keys like any others."""
+    named = right.select(*[F.col(k).alias(f"{k}_r_") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_r_"))
+    both = left.join(named, cond, how)
+    if how == "full":  # a row of the right alone has its keys there; which side a null is of, its mark says
+        for k in keys:
+            both = both.withColumn(k, F.coalesce(k, f"{k}_r_"))
+    return both if how in ("left_semi", "left_anti") else both.drop(*[f"{k}_r_" for k in keys])
+
+
 def same_instant(left: DataFrame, right: DataFrame, keys: Names, left_ts: str, right_ts: str, right_pos: str, width: float = SAME_INSTANT_S) -> DataFrame:
     """Rows of left with the row of right at the same instant; of several in a bucket of right the last by right_pos.
 
@@ -24,7 +38,7 @@ def same_instant(left: DataFrame, right: DataFrame, keys: Names, left_ts: str, r
     before its shuffle, and both sides are then partitioned alike."""
     others = [c for c in right.columns if c not in keys]
     last = right.groupBy(*keys, bucket(F.col(right_ts), width).alias("bucket_")).agg(F.max_by(F.struct(*others), right_pos).alias("r_"))
-    return left.withColumn("bucket_", bucket(F.col(left_ts), width)).join(last, [*keys, "bucket_"]).select(*left.columns, *[F.col(f"r_.{c}").alias(c) for c in others])
+    return on_keys(left.withColumn("bucket_", bucket(F.col(left_ts), width)).where("bucket_ IS NOT NULL"), last, [*keys, "bucket_"]).select(*left.columns, *[F.col(f"r_.{c}").alias(c) for c in others])
 
 
 def latest_or_first(probe: DataFrame, build: DataFrame, keys: Names, probe_ts: str, build_ts: str, value: str) -> DataFrame:
@@ -51,23 +65,19 @@ def zipped(df: DataFrame, arrays: Names, name: str = "pos") -> DataFrame:
 
 def missing(expected: DataFrame, present: DataFrame, on: Names) -> DataFrame:
     """Expected rows without an equal one that is present; nulls are equal."""
-    p = present.select(*[F.col(c).alias(f"p_{c}") for c in on]).distinct()
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"p_{c}"))
-    return expected.join(p, cond, "left_anti")
+    return on_keys(expected, present.select(*on).distinct(), on, "left_anti")
 
 
 def complete(expected: DataFrame, present: DataFrame, keys: Names, on: Names) -> DataFrame:
-    """keys, expected, found, is_complete: whether all expected members are present with the same size, hash, ..."""
+    """keys, expected, found, is_complete: whether all expected members are present with the same size, hash, ...; nulls are equal."""
     p = present.select(*keys, *on).distinct().withColumn("there_", F.lit(1))
-    return expected.join(p, [*keys, *on], "left").groupBy(*keys).agg(F.count("*").alias("expected"), F.count("there_").alias("found")).withColumn("is_complete", F.col("expected") == F.col("found"))
+    return on_keys(expected.select(*keys, *on), p, [*keys, *on], "left").groupBy(*keys).agg(F.count("*").alias("expected"), F.count("there_").alias("found")).withColumn("is_complete", F.col("expected") == F.col("found"))
 
 
 def same_maps(a: DataFrame, b: DataFrame, keys: Names, values: Names) -> DataFrame:
-    """keys whose values differ, or that one side lacks."""
+    """keys whose values differ, or that one side lacks; null keys are equal."""
     r = b.select(*keys, *[F.col(c).alias(f"r_{c}") for c in values], F.lit(True).alias("right_"))
-    both = a.withColumn("left_", F.lit(True)).join(r, list(keys), "full")
+    both = on_keys(a.withColumn("left_", F.lit(True)), r, keys, "full")
     differs = F.col("left_").isNull() | F.col("right_").isNull()
     for c in values:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"r_{c}"))

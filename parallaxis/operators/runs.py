@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import on_keys
+
 Names = Sequence[str]
 
 
@@ -32,9 +34,10 @@ def expand(runs: DataFrame) -> DataFrame:
 
 
 def per_frame(frames: DataFrame, runs: DataFrame, keys: Names, index: str) -> DataFrame:
-    """Every frame with the value of the run that holds it, or null. An equi-join on expanded runs, not a join on a range."""
+    """Every frame with the value of the run that holds it, or null. An equi-join on expanded runs, not a join on a range; null keys are equal."""
     names = [*keys, index]
-    return frames.join(expand(runs).withColumnRenamed("pos", index), names, "left")
+    found = on_keys(frames, expand(runs).withColumnRenamed("pos", index), names, "left")
+    return found.select(*names, *[c for c in found.columns if c not in names])
 
 
 def disjoint(runs: DataFrame, keys: Names) -> DataFrame:

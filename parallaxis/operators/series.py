@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import on_keys
+
 Names = Sequence[str]
 
 
@@ -162,7 +164,7 @@ def handed_over(rows: DataFrame, keys: Names, size: str, limit: int, ended: Data
 
     rows: as packed() gives them; ended: keys. A segment that is still being filled has no row until its series ends."""
     per = rows.groupBy(*keys, "segment").agg(F.count("*").alias("frames"), F.sum(size).alias("size"))
-    return per.join(ended.select(*keys).distinct().withColumn("ended_", F.lit(True)), list(keys), "left").where((F.col("size") >= limit) | F.col("ended_")).drop("ended_")
+    return on_keys(per, ended.select(*keys).distinct().withColumn("ended_", F.lit(True)), keys, "left").where((F.col("size") >= limit) | F.col("ended_")).drop("ended_")
 
 
 def queued(df: DataFrame, keys: Names, order: Names, size: str, written: str, limit: int) -> DataFrame:

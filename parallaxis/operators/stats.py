@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import on_keys
+
 Names = Sequence[str]
 
 
@@ -35,36 +37,42 @@ def quantiles(value: Column, *shares: float) -> Column:
     return F.percentile(value, F.array(*map(F.lit, shares)))
 
 
-def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins: int = 1024, times: str | None = None) -> DataFrame:
-    """keys and q, an array of the quantiles as quantiles() gives them, for groups of any size. A row stands for as many equal ones as `times` says.
+def _at_ranks(df: DataFrame, keys: Names, value: str, ranks: Callable[[Column], list[Column]], bins: int, times: str | None) -> DataFrame:
+    """keys, n_ and a column r0, r1, ... for each rank that `ranks` makes of the number of values: the value at that place (from 0) of a group's
+    values in order, for groups of any size.
 
-    quantiles() keeps a group's distinct values in one task. Here values are counted first, the counts of bins of equal width tell
-    which bins hold the ranks that are asked for, and only the values of these are put in order, each bin by itself."""
+    Values are counted first, the counts of bins of equal width tell which bins hold the ranks that are asked for, and only the values of these
+    are put in order, each bin by itself."""
     keys = list(keys)
     v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg((F.sum(times) if times else F.count("*")).alias("n_"))
     whole = v.groupBy(*keys).agg(F.min("v_").alias("low_"), F.max("v_").alias("high_"), F.sum("n_").alias("all_"))
     place = F.when(F.col("high_") > F.col("low_"), F.floor((F.col("v_") - F.col("low_")) / (F.col("high_") - F.col("low_")) * bins)).otherwise(0)
-    binned = v.join(whole, keys).withColumn("bin_", F.least(place, F.lit(bins - 1)).cast("int"))
-    counts = binned.groupBy(*keys, "bin_").agg(F.sum("n_").alias("in_"))
+    binned = on_keys(v, whole, keys).withColumn("bin_", F.least(place, F.lit(bins - 1)).cast("int"))
+    counts = binned.groupBy(*keys, "bin_").agg(F.sum("n_").alias("in_"), F.max("all_").alias("all_"))
     upto = F.sum("in_").over(Window.partitionBy(*keys).orderBy("bin_"))
-    counts = counts.withColumn("before_", upto - F.col("in_"))
-    at = lambda s: F.lit(s) * (F.col("all_") - 1)
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("side"), f(at(s)).cast("long").alias("rank"), at(s).alias("at")) for i, s in enumerate(shares) for j, f in enumerate((F.floor, F.ceil))])
-    ranks = whole.select(*keys, F.explode(asked).alias("r_")).select(*keys, "r_.*")
-    held = counts.join(ranks, keys).where((F.col("rank") >= F.col("before_")) & (F.col("rank") < F.col("before_") + F.col("in_")))
-    wanted = held.select(*keys, "bin_", "before_").distinct()
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank")) for i, r in enumerate(ranks(F.col("all_")))])
+    # a bin keeps the ranks that fall into it
+    held = counts.withColumn("before_", upto - F.col("in_")).withColumn("asked_", F.filter(asked, lambda r: (r["rank"] >= F.col("before_")) & (r["rank"] < F.col("before_") + F.col("in_"))))
+    held = held.where(F.size("asked_") > 0).select(*keys, "bin_", "before_", "asked_")
     run = F.sum("n_").over(Window.partitionBy(*keys, "bin_").orderBy("v_"))
-    sorted_ = binned.join(wanted, [*keys, "bin_"]).withColumn("to_", F.col("before_") + run).withColumn("from_", F.col("to_") - F.col("n_")).select(*keys, "bin_", "v_", "from_", "to_")
-    hit = held.join(sorted_, [*keys, "bin_"]).where((F.col("rank") >= F.col("from_")) & (F.col("rank") < F.col("to_")))
-    both = hit.groupBy(*keys, "i", "at").agg(F.max(F.when(F.col("side") == 0, F.col("v_"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v_"))).alias("b"))
-    one = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    return both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("v")))), lambda x: x["v"]).alias("q"))
+    rows = on_keys(binned, held, [*keys, "bin_"]).withColumn("to_", F.col("before_") + run)
+    rows = rows.select(*keys, "v_", "all_", F.explode(F.filter("asked_", lambda r: (r["rank"] >= F.col("to_") - F.col("n_")) & (r["rank"] < F.col("to_")))).alias("r_"))
+    n = len(ranks(F.lit(1)))
+    return rows.groupBy(*keys).agg(F.max("all_").alias("n_"), *[F.max(F.when(F.col("r_.i") == i, F.col("v_"))).alias(f"r{i}") for i in range(n)])
+
+
+def exact_quantiles(df: DataFrame, keys: Names, value: str, *shares: float, bins: int = 1024, times: str | None = None) -> DataFrame:
+    """keys and q, an array of the quantiles as quantiles() gives them, for groups of any size; quantiles() keeps a group's distinct
+    values in one task. A row stands for as many equal ones as `times` says."""
+    at = lambda s, n: F.lit(s) * (n - 1)
+    found = _at_ranks(df, keys, value, lambda n: [f(at(s, n)) for s in shares for f in (F.floor, F.ceil)], bins, times)
+    between = lambda i, s: F.col(f"r{2 * i}") + (F.col(f"r{2 * i + 1}") - F.col(f"r{2 * i}")) * (at(s, F.col("n_")) - F.floor(at(s, F.col("n_"))))
+    return found.select(*keys, F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
 
 
-def upper_median(value: str) -> Column:
-    """sorted[n div 2]. As a discrete percentile a little above one half it is aggregated in parts; a group's distinct values and their
-    counts are in one buffer, so exact_quantiles is for groups of very many."""
-    return F.expr(f"percentile_disc(0.500000000001) WITHIN GROUP (ORDER BY {value})")
+def upper_medians(df: DataFrame, keys: Names, value: str, bins: int = 1024, times: str | None = None) -> DataFrame:
+    """keys and upper_median, sorted[n div 2], for groups of any size; a group without values has no row."""
+    return _at_ranks(df, keys, value, lambda n: [F.floor(n / 2)], bins, times).select(*keys, F.col("r0").alias("upper_median"))
 
 
 def share(condition: Column) -> Column:

@@ -257,13 +257,13 @@ def depth_range(spark: SparkSession, d: str) -> DataFrame:
     ok = read(spark, d, "lineitem").select("l_returnflag", "l_extendedprice").where(scalar.is_depth(x))
     q = stats.exact_quantiles(ok, ["l_returnflag"], "l_extendedprice", 0.01, 0.5, 0.99)
     ends = ok.groupBy("l_returnflag").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n"))
-    return ends.join(q, "l_returnflag").select("l_returnflag", "low", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p01", "median", "p99"))], "high", "n")
+    return joins.on_keys(ends, q, ["l_returnflag"]).select("l_returnflag", "low", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p01", "median", "p99"))], "high", "n")
 
 
 @query("""
 SELECT user_id, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median FROM events GROUP BY user_id""")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("user_id").agg(stats.upper_median("value").alias("upper_median"))
+    return stats.upper_medians(events(spark, d), ["user_id"], "value")
 
 
 @query("""

@@ -99,8 +99,8 @@ def test_positional_join_takes_every_document(spark, tmp_path):
 
 def test_upper_median_rate_and_best(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0)], "v double")
-    assert df.agg(stats.upper_median("v")).first()[0] == 3.0
-    assert df.limit(3).agg(stats.upper_median("v")).first()[0] == 2.0
+    assert stats.upper_medians(df, [], "v").first()[0] == 3.0
+    assert stats.upper_medians(df.limit(3), [], "v").first()[0] == 2.0
     assert df.limit(1).agg(stats.rate(F.col("v"))).first()[0] is None
     ties = spark.createDataFrame([(1.0, 0.1), (1.0, 0.2), (float("nan"), 9.0)], "s double, c double")
     assert ties.agg(stats.best(F.col("s"), F.col("c"))).first()[0] == 0.2
@@ -210,3 +210,59 @@ def test_quantiles_of_counted_values(spark):
     rows = [("a", float(v), n) for v, n in ((3, 2), (1, 5), (9, 1), (3, 4))]
     got = stats.exact_quantiles(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", 0.1, 0.5, 0.9, times="n").first().q
     assert got == pytest.approx(np.percentile(np.repeat([r[1] for r in rows], [r[2] for r in rows]), [10, 50, 90]))
+
+
+def _duck(sql, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toPandas())
+    return sorted(map(tuple, con.sql(sql).fetchall()), key=repr)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_null_keys_of_quantiles_and_medians(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None]), rng.choice([1, None]), float(rng.randrange(50))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, j int, v double")
+    groups = {(k, j): sorted(v for a, b, v in rows if (a, b) == (k, j)) for k, j, _ in rows}
+    got = {(r.k, r.j): r.q for r in stats.exact_quantiles(df, ["k", "j"], "v", 0.05, 0.5, bins=7).collect()}
+    assert got == {g: pytest.approx(np.quantile(v, [0.05, 0.5]).tolist()) for g, v in groups.items()} and len(got) == 4
+    assert {(r.k, r.j): r.upper_median for r in stats.upper_medians(df, ["k", "j"], "v", bins=5).collect()} == {g: v[len(v) // 2] for g, v in groups.items()}
+    assert stats.upper_medians(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_upper_medians_of_bins(spark):
+    """Ranks in any bin, values that repeat, rows that stand for several."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 400), np.full(900, 7.0), rng.normal(50, 0.01, 300)])
+    df = spark.createDataFrame([("a", float(v), int(t)) for v, t in zip(values, rng.integers(1, 4, len(values)), strict=True)], "k string, v double, t long")
+    every = np.sort(np.repeat(values, [r.t for r in df.select("t").collect()]))
+    for bins in (1, 16, 1024):
+        assert stats.upper_medians(df, ["k"], "v", bins, times="t").first().upper_median == every[len(every) // 2]
+        assert np.allclose(stats.exact_quantiles(df, ["k"], "v", 0.0, 0.1, 0.9, 1.0, bins=bins, times="t").first().q, np.quantile(every, [0, 0.1, 0.9, 1]))
+
+
+def test_null_keys_of_joins(spark):
+    a = spark.createDataFrame([("x", None, 1), (None, "m", 2), (None, None, 3), ("y", "m", None)], "k string, m string, v int")
+    b = spark.createDataFrame([("x", None, 1), (None, "m", 9), ("y", "m", None), ("z", None, 4)], "k string, m string, v int")
+    want = _duck("SELECT coalesce(a.k, b.k), coalesce(a.m, b.m), a.v, b.v FROM (SELECT *, 1 AS l FROM a) a FULL JOIN (SELECT *, 1 AS r FROM b) b ON a.k IS NOT DISTINCT FROM b.k AND a.m IS NOT DISTINCT FROM b.m WHERE l IS NULL OR r IS NULL OR a.v IS DISTINCT FROM b.v", a=a, b=b)
+    clean = lambda rows: sorted((tuple(None if x is None or x != x else x for x in r) for r in rows), key=repr)
+    assert clean(_rows(joins.same_maps(a, b, ["k", "m"], ["v"]))) == clean(want) and len(want) == 3
+    assert _rows(joins.complete(a, b, ["k"], ["m"])) == sorted([("x", 1, 1, True), (None, 2, 1, False), ("y", 1, 1, True)], key=repr)
+    assert _rows(joins.missing(a, b, ["k", "m"])) == [(None, None, 3)]
+    left, right = a.select("k", F.lit(1.0).alias("t")), b.where("m IS NOT NULL OR k = 'x'").select("k", F.lit(1.0).alias("u"), F.lit(0).alias("pos"))
+    assert _rows(joins.same_instant(left, right, ["k"], "t", "u", "pos").select("k", "u")) == sorted([("x", 1.0), (None, 1.0), (None, 1.0), ("y", 1.0)], key=repr)
+
+
+def test_null_keys_of_runs_and_segments(spark):
+    frames = spark.createDataFrame([(k, i) for k in ("a", None) for i in range(4)], "k string, i int")
+    found = spark.createDataFrame([("a", "x", 0, 1), (None, "y", 2, 3)], "k string, value string, first int, last int")
+    assert _rows(runs.per_frame(frames, found, ["k"], "i")) == sorted([("a", 0, "x"), ("a", 1, "x"), ("a", 2, None), ("a", 3, None), (None, 0, None), (None, 1, None), (None, 2, "y"), (None, 3, "y")], key=repr)
+    packed = spark.createDataFrame([(k, s, 5) for k in ("a", None, "b") for s in (0, 0, 1)], "k string, segment long, size long")
+    ended = spark.createDataFrame([(None,), ("b",), (None,)], "k string")
+    assert _rows(series.handed_over(packed, ["k"], "size", 10, ended)) == sorted([("a", 0, 2, 10), (None, 0, 2, 10), (None, 1, 1, 5), ("b", 0, 2, 10), ("b", 1, 1, 5)], key=repr)

@@ -6,7 +6,7 @@
 Tables: recordings, frames, runs, values, calibrations, members, blobs. Only `blobs` and the hashes of `members` read
 frame bytes; every other table reads the small members alone. Each archive is a partition, and blobs are cut
 into byte ranges of about `bytesPerPartition`. `mode` PERMISSIVE gives unreadable archives a row of `recordings` with the
-reason in `corrupt`; FAILFAST (the default) raises. Paths may be on any file system that pyarrow knows.
+reason in `corrupt`; FAILFAST (the default) raises. Paths may be on any file system that pyarrow knows. Written archives: archive_writer.
 """
 
 from __future__ import annotations
@@ -77,6 +77,11 @@ class RecordingTar(DataSource):
     def reader(self, schema: StructType) -> RecordingReader:
         return RecordingReader(schema, dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool):
+        from .archive_writer import ArchiveWriter
+
+        return ArchiveWriter(schema, dict(self.options), overwrite)
+
 
 class RecordingReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):

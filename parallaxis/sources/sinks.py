@@ -1,12 +1,11 @@
 """Writing recordings: archives out of uploaded parts, decoded datasets, and the catalog.
 
-Writers work by recording, one task each, put files under a name that is not yet valid, and rename them when they
-are whole; so a task that is lost or repeated leaves nothing that a reader would take for a result.
+Tasks put files under names that are not yet valid, and the driver renames them when all are whole; so a task that is lost, repeated or
+run twice leaves nothing that a reader would take for a result, and loses none.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
 import struct
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from parallaxis.kernels import image
 from parallaxis.operators import joins
 
 from . import recording_tar
+from .archive_writer import write_archives
 
 
 def png(bgr: np.ndarray) -> bytes:
@@ -42,27 +43,6 @@ def npy(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-class Parts:
-    """Files one after another as one stream; each is open only while it is read."""
-
-    def __init__(self, system, paths: list[str]):
-        self.system, self.paths, self.file = system, list(paths), None
-
-    def read(self, n: int = -1) -> bytes:
-        out = b""
-        while n < 0 or len(out) < n:
-            if self.file is None:
-                if not self.paths:
-                    break
-                self.file = self.system.open_input_stream(self.paths.pop(0))
-            piece = self.file.read(n - len(out) if n >= 0 else None)
-            if not piece:
-                self.file.close()
-                self.file = None
-            out += piece
-        return out
-
-
 def accepted(files: DataFrame) -> DataFrame:
     """Received files (key, name, data, expected_size, expected_sha256) whose bytes are what was announced."""
     ok = (F.octet_length("data") == F.col("expected_size")) & (F.sha2("data", 256) == F.col("expected_sha256"))
@@ -79,35 +59,19 @@ def ready(manifest: DataFrame, staged: DataFrame, stored: DataFrame) -> DataFram
 
 
 def assemble(parts: DataFrame) -> DataFrame:
-    """Writes <root>/<scan_id>.tar (GNU, members in order, segments joined) for every recording of ready(); returns archive, size.
-
-    A recording's parts are a list of paths; their bytes are copied in pieces."""
-    part = F.struct("position", "member", "name", "size", "path")
-    per = parts.groupBy("root", "scan_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    """Writes <root>/<scan_id>.tar (GNU, members in order, segments joined) for every recording of ready(), where there is none yet, and
+    returns archive, size for all of them. The bytes of parts are copied in pieces, and hashed if parts have a sha256."""
+    write_archives(parts.select("root", "scan_id", "position", "member", "size", "path", *(["sha256"] if "sha256" in parts.columns else [])))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            rows = []
             for r in pdf.itertuples(index=False):
                 system, root = recording_tar.open_fs(r.root)
-                final = f"{root}/{r.scan_id}.tar"
-                if system.get_file_info(final).type.name != "NotFound":
-                    continue
-                system.create_dir(root, recursive=True)
-                temp = f"{root}/.{r.scan_id}.{hashlib.sha256(str(r.parts).encode()).hexdigest()[:12]}.partial"
-                with system.open_output_stream(temp) as f, tarfile.open(fileobj=f, mode="w|", format=tarfile.GNU_FORMAT) as tar:
-                    members: dict[str, list] = {}
-                    for p in r.parts:
-                        members.setdefault(p["member"], []).append(p)
-                    for name, pieces in members.items():
-                        info = tarfile.TarInfo(f"{r.scan_id}/{name}")
-                        info.size = sum(int(p["size"]) for p in pieces)
-                        tar.addfile(info, Parts(system, [p["path"] for p in pieces]))
-                system.move(temp, final)
-                out.append((final, system.get_file_info(final).size))
-            yield pd.DataFrame(out, columns=["archive", "size"])
-
-    return per.repartition("root", "scan_id").mapInPandas(write, "archive string, size long")
+                rows.append((f"{root}/{r.scan_id}.tar", system.get_file_info(f"{root}/{r.scan_id}.tar").size))
+            yield pd.DataFrame(rows, columns=["archive", "size"])
+
+    return parts.select("root", "scan_id").distinct().mapInPandas(found, "archive string, size long")
 
 
 def _put(system, final: str, pieces) -> int:
@@ -148,11 +112,16 @@ def _summary(r, copied: list[str], total: int) -> dict:
 
 def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> DataFrame:
     """Decodes archives into <out>/<scan_id>/: color/000000.png, depth/000000.npy, confidence/..., the text members as they are, and
-    decoded.json last, which says what the folder holds.
+    decoded.json, which says what the folder holds. Returns scan_id, frames, bytes of what was decoded.
 
-    Recordings with a decoded.json are left alone unless force says otherwise. Frames are tasks of their own; the summary is written when
-    all of a recording's frames are, so its presence means that the folder is whole. Returns scan_id, frames, bytes."""
+    Recordings with a decoded.json are left alone unless force says otherwise. Frames are tasks of their own, which fill a folder of this
+    job that has another name; when all are there the driver gives each folder its own, once that of an earlier run is gone (its decoded.json
+    first). So a folder with a decoded.json is whole and holds nothing else, and a run that fails leaves what was there as it was."""
     recordings = recording_tar.load(spark, path, "recordings")
+    system, top = recording_tar.open_fs(out)
+    system.create_dir(top, recursive=True)
+    job = uuid.uuid4().hex[:16]
+    partial = lambda scan_id: f".{scan_id}.{job}.partial"
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = recording_tar.open_fs(out)
@@ -170,30 +139,44 @@ def decode(spark: SparkSession, path: str, out: str, force: bool = False) -> Dat
             for r in pdf.itertuples(index=False):
                 a = kernels.pixels(r)
                 data, kind = (png(image.to_bgr(a, r.ycbcr_matrix)), "png") if r.stream == "color" else (npy(a), "npy")
-                folder = f"{top}/{r.scan_id}/{r.stream}"
+                folder = f"{top}/{partial(r.scan_id)}/{r.stream}"
                 system.create_dir(folder, recursive=True)
-                final = f"{folder}/{r.frame_index:06d}.{kind}"
-                _put(system, final, [data])
+                _put(system, f"{folder}/{r.frame_index:06d}.{kind}", [data])
                 rows.append((r.scan_id, r.stream, len(data)))
             yield pd.DataFrame(rows, columns=["scan_id", "stream", "bytes"])
 
     of = lambda s: F.count_if(F.col("stream") == s).alias(f"{s}_frames")
-    written = blobs.mapInPandas(write, "scan_id string, stream string, bytes long").groupBy("scan_id").agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), *map(of, ("color", "depth", "confidence")))
-    written = todo.join(written, "scan_id", "left").fillna(0, ["frames", "bytes", "color_frames", "depth_frames", "confidence_frames"])
+    frames = blobs.mapInPandas(write, "scan_id string, stream string, bytes long").groupBy("scan_id").agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), *map(of, ("color", "depth", "confidence")))
+    frames = todo.join(frames, "scan_id", "left").fillna(0, ["frames", "bytes", "color_frames", "depth_frames", "confidence_frames"])
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = recording_tar.open_fs(out)
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                system.create_dir(f"{top}/{r.scan_id}", recursive=True)
-                copied = _text_members(r.tar_path, system, f"{top}/{r.scan_id}")
+                folder = f"{top}/{partial(r.scan_id)}"
+                system.create_dir(folder, recursive=True)
+                copied = _text_members(r.tar_path, system, folder)
                 total = int(r.bytes) + sum(copied.values())
-                _put(system, f"{top}/{r.scan_id}/decoded.json", [json.dumps(_summary(r, sorted(copied), total), indent=2).encode()])
+                _put(system, f"{folder}/decoded.json", [json.dumps(_summary(r, sorted(copied), total), indent=2).encode()])
                 rows.append((r.scan_id, int(r.frames), total))
             yield pd.DataFrame(rows, columns=["scan_id", "frames", "bytes"])
 
-    return written.mapInPandas(summarise, "scan_id string, frames long, bytes long")
+    schema = "scan_id string, frames long, bytes long"
+    try:
+        done = frames.mapInPandas(summarise, schema).collect()  # a row for each archive
+        for r in done:
+            final = f"{top}/{r.scan_id}"
+            if system.get_file_info(final).type.name != "NotFound":
+                if system.get_file_info(f"{final}/decoded.json").type.name != "NotFound":
+                    system.delete_file(f"{final}/decoded.json")
+                system.delete_dir(final)
+            system.move(f"{top}/{partial(r.scan_id)}", final)
+    finally:
+        for f in system.get_file_info(fs.FileSelector(top)):
+            if f.base_name.endswith(f".{job}.partial"):
+                system.delete_dir(f.path)
+    return spark.createDataFrame(done, schema)
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -73,7 +73,9 @@ def test_archives_are_assembled_once_when_complete(spark, tmp_path):
         assert {x.name.split("/")[1]: tar.extractfile(x).read() for x in tar.getmembers()} == files
     with open(got[0].archive, "rb") as f:
         assert f.read()[257:265] == b"ustar  \0"
-    assert sinks.assemble(sinks.ready(m, s, none)).collect() == []  # the first archive stays
+    before = os.stat(got[0].archive)
+    assert sinks.assemble(sinks.ready(m, s, none)).collect() == got  # the first archive stays, and is told again
+    assert os.stat(got[0].archive).st_ino == before.st_ino and os.listdir(manifest[0][1]) == [os.path.basename(got[0].archive)]
     stored = spark.createDataFrame([(manifest[0][1], manifest[0][2])], "root string, scan_id string")
     assert sinks.ready(m, s, stored).count() == 0
 

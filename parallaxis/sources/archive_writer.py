@@ -1,7 +1,8 @@
 """Writing archives: `df.write.format("recording_tar").mode("append").save(root)`.
 
 Rows are parts of members: scan_id, position, member, and either data (the bytes) or path and size (a staged file); root, if it is there,
-says where a row's archive goes instead of the path that was saved to, and sha256 what the part's bytes must hash to. Parts of a
+says where a row's archive goes instead of the path that was saved to, sha256 what the part's bytes must hash to, and a true prefix that
+a file goes on behind its part. Parts of a
 member follow each other in the order of position, members in the order of their first part. All rows of a recording must come in one
 task, one after the other, as write_archives() sees to.
 
@@ -70,7 +71,8 @@ class Pieces:
     def read(self, n: int) -> bytes:
         out = []
         while n > 0 and (self.file is not None or self._next()):
-            piece = self._take(min(n, CHUNK))
+            part = self.parts[self.at]
+            piece = self._take(min(n, CHUNK, part.size - self.read_bytes if part.prefix else n))
             if piece:
                 self.digest.update(piece)
                 self.read_bytes += len(piece)
@@ -95,6 +97,7 @@ class Part:
     path: str | None = None
     data: bytes | None = None
     sha256: str | None = None
+    prefix: bool = False
 
 
 @dataclass
@@ -178,7 +181,7 @@ def _part(row: Row) -> Part:
     data = _of(row, "data")
     if data is not None:
         return Part(int(row["position"]), row["member"], len(data), None, bytes(data), _of(row, "sha256"))
-    return Part(int(row["position"]), row["member"], int(row["size"]), row["path"], None, _of(row, "sha256"))
+    return Part(int(row["position"]), row["member"], int(row["size"]), row["path"], None, _of(row, "sha256"), bool(_of(row, "prefix")))
 
 
 def _delete(files) -> None:

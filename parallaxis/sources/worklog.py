@@ -10,14 +10,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parallaxis.functions import geometry, scalar
+from parallaxis.functions import scalar
 from parallaxis.operators import joins, runs, series
 
 K = "struct<fx:float,fy:float,cx:float,cy:float>"
-COLOR_LINE = f"scan_id string, line_no int, timestamp double, reason string, upright_rotation_deg int, gravity array<double>, gravity_timestamp double, exposure_duration_s double, intrinsics {K}, compressed_size long, raw_sha256 string"
-DISTORTION = "struct<center:array<float>,lookup_table:array<float>,inverse_lookup_table:array<float>>"
-DEPTH_LINE = f"scan_id string, line_no int, timestamp double, reason string, filtered boolean, accuracy string, quality string, intrinsics {K}, distortion {DISTORTION}, depth_to_color array<array<float>>, compressed_size long, raw_sha256 string"
+COLOR_LINE = f"scan_id string, line_no int, timestamp double, reason string, upright_rotation_deg int, gravity array<double>, gravity_timestamp double, exposure_duration_s double, intrinsics {K}, pose struct<tracking_state:string,world_from_camera:array<array<float>>>, compressed_size long, raw_sha256 string"
+DISTORTION = "struct<center:array<float>,lookup_table:array<float>,inverse_lookup_table:array<float>,scale:array<float>>"
+DEPTH_LINE = f"scan_id string, line_no int, timestamp double, reason string, filtered boolean, accuracy string, quality string, intrinsics {K}, distortion {DISTORTION}, color_distortion {DISTORTION}, depth_to_color array<array<float>>, compressed_size long, raw_sha256 string, confidence_compressed_size long, confidence_raw_sha256 string"
 SEGMENT_LINE = "scan_id string, file string, seg_index int, size long, sha256 string"
+#: What a recorder writes down when it begins.
+START_LINE = "scan_id string, user_name string, start_time_utc string, camera string, phone_model string, phone_id string, ios_version string, user string, recovered boolean, frame_rate double, color_width int, color_height int, ycbcr_matrix string, depth_width int, depth_height int, depth_pixel_format string, principal_point_origin string"
 
 
 def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,20 +49,6 @@ def delivered(log: DataFrame) -> DataFrame:
     return series.numbered(log.where("reason IS NULL"), ["scan_id"], ["line_no"])
 
 
-def distortion_runs(color: DataFrame, depth: DataFrame) -> DataFrame:
-    """scan_id, kind, value, ranges: runs of distortions of both streams and of transforms. A depth frame has its own; a colour
-    frame that of the latest depth frame up to its time, or else of the first that has one."""
-    d = delivered(depth)
-    c = joins.latest_or_first(delivered(color).select("scan_id", "frame_index", "timestamp"), d.where("distortion IS NOT NULL").select("scan_id", F.col("timestamp").alias("t"), "distortion"), ["scan_id"], "timestamp", "t", "distortion")
-    parts = [("color_distortion", c, "distortion"), ("depth_distortion", d, "distortion"), ("depth_to_color", d, "depth_to_color")]
-    out = None
-    for kind, df, value in parts:
-        e = runs.entries(runs.encode(df, ["scan_id"], "frame_index", F.when(F.col(value).isNotNull(), F.to_json(F.struct(F.col(value).alias("v"))))), ["scan_id"])
-        e = e.select("scan_id", F.lit(kind).alias("kind"), "entry_no", "value", "ranges")
-        out = e if out is None else out.unionByName(e)
-    return out
-
-
 def frames_json(log: DataFrame, names: Sequence[str]) -> DataFrame:
     """scan_id, frames_json, dropped_json: the lists of a frames file; nulls are written, as a null and no key differ.
 
@@ -125,12 +113,6 @@ def to_upload(members: DataFrame, underway: DataFrame) -> DataFrame:
     return members.where("NOT uploaded").join(underway.select("scan_id", "name"), ["scan_id", "name"], "left_anti")
 
 
-def carried_intrinsics(frames: DataFrame, scale: Column) -> DataFrame:
-    """Colour intrinsics of a scaled front camera with the principal point carried about the corner."""
-    point = lambda n: geometry.about_corner(F.col(f"intrinsics.{n}"), scale).alias(n)
-    return frames.withColumn("intrinsics", F.when(F.col("intrinsics").isNotNull(), F.struct(F.col("intrinsics.fx").alias("fx"), F.col("intrinsics.fy").alias("fy"), point("cx"), point("cy"))))
-
-
 def users_file_errors(text: DataFrame) -> DataFrame:
     """Configs that name a server which the file doesn't have. text: one column, value, with the file's JSON."""
     schema = "servers map<string,string>, users array<struct<name:string,configs:array<struct<server:string,data_root:string>>>>"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parallaxis import cli
-from parallaxis.sources import sinks, worklog
+from parallaxis.sources import compose, sinks, worklog
 from parallaxis.streaming import stateful
 from tests import recordings as R
 
@@ -90,12 +90,13 @@ def test_work_log_becomes_files(spark, tmp_path):
     k = {"fx": 1.0, "fy": 1.0, "cx": 0.5, "cy": 0.5}
     d = {"center": [1.0, 2.0], "lookup_table": [0.0], "inverse_lookup_table": [0.0]}
     color = [{"scan_id": "s", "line_no": i, "timestamp": float(i), "intrinsics": k, "reason": "late" if i == 2 else None} for i in range(4)]
-    depth = [{"scan_id": "s", "line_no": 0, "timestamp": 1.0, "distortion": d}, {"scan_id": "s", "line_no": 1, "timestamp": 3.0, "distortion": {**d, "center": [9.0, 2.0]}}]
+    other = {**d, "center": [9.0, 2.0]}
+    depth = [{"scan_id": "s", "line_no": 0, "timestamp": 1.0, "distortion": d, "color_distortion": d}, {"scan_id": "s", "line_no": 1, "timestamp": 3.0, "distortion": other, "color_distortion": other}]
     (tmp_path / "color.jsonl").write_text("\n".join(map(json.dumps, color)))
     (tmp_path / "depth.jsonl").write_text("\n".join(map(json.dumps, depth)))
     c = worklog.lines(spark, str(tmp_path / "color.jsonl"), worklog.COLOR_LINE)
     z = worklog.lines(spark, str(tmp_path / "depth.jsonl"), worklog.DEPTH_LINE)
-    r = {(x.kind, x.entry_no): x.ranges for x in worklog.distortion_runs(c, z).collect()}
+    r = {(x.kind, x.entry_no): x.ranges for x in compose.distortion_runs(c, z).collect()}
     assert r == {("color_distortion", 0): [[0, 1]], ("color_distortion", 1): [[2, 2]], ("depth_distortion", 0): [[0, 0]], ("depth_distortion", 1): [[1, 1]]}
     f = worklog.frames_json(c, ["timestamp", "gravity"]).first()
     assert f.frame_count == 3 and json.loads(f.frames_json)[0] == {"timestamp": 0.0, "gravity": None} and json.loads(f.dropped_json) == [{"timestamp": 2.0, "reason": "late"}]

@@ -26,10 +26,10 @@ def since_first(frames: DataFrame, keys: Sequence[str], ts: str, depth: str) ->
 
 def with_latest(frames: DataFrame, samples: DataFrame, keys: Sequence[str], ts: str, sample_ts: str, value: str) -> DataFrame:
     """Each frame with the newest sample that was there; null before the first one."""
-    from .joins import latest_or_first
+    from .joins import latest_or_first, on_keys
 
     late = samples.groupBy(*keys).agg(F.min(sample_ts).alias("first_sample_"))
-    out = latest_or_first(frames, samples, keys, ts, sample_ts, value).join(late, list(keys), "left")
+    out = on_keys(latest_or_first(frames, samples, keys, ts, sample_ts, value), late, keys, "left")
     return out.withColumn(value, F.when(F.col(ts) >= F.col("first_sample_"), F.col(value))).drop("first_sample_")
 
 

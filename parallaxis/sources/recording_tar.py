@@ -4,21 +4,25 @@
     spark.read.format("recording_tar").option("table", "frames").load("/data/archives")
 
 Tables: recordings, frames, runs, values, calibrations, members, blobs. Only `blobs` and the hashes of `members` read
-frame bytes; every other table reads the small members alone. Each archive is a partition, and blobs are cut
-into byte ranges of about `bytesPerPartition`. `mode` PERMISSIVE gives unreadable archives a row of `recordings` with the
+frame bytes; every other table reads the small members alone. The driver lists archives and opens none: each is a partition, and for blobs
+each range of `bytesPerPartition` of its bytes is, whose task has the frames that begin in it. Conditions on columns other than
+nested ones are evaluated before a frame is read, where spark.sql.python.filterPushdown.enabled is true when load() is called; the options
+scan_id, member, stream and frames do the same in any case. `mode` PERMISSIVE gives unreadable archives a row of `recordings` with the
 reason in `corrupt`; FAILFAST (the default) raises. Paths may be on any file system that pyarrow knows. Written archives: archive_writer.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-from collections.abc import Iterator
+import operator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import datasource as ds
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 from pyspark.sql.types import StructType
 
 from . import layout
@@ -46,7 +50,9 @@ TABLES = {
 @dataclass
 class Piece(InputPartition):
     path: str
-    members: tuple[tuple[str, int, int], ...] | None = None  # member, first frame, frame after the last
+    size: int = 0
+    first: int = 0  # of the bytes whose frames it has
+    after: int = 1 << 62
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -75,7 +81,7 @@ class RecordingTar(DataSource):
         return TABLES[self.options.get("table", "recordings")]
 
     def reader(self, schema: StructType) -> RecordingReader:
-        return RecordingReader(schema, dict(self.options))
+        return (FilteringReader if self.options.get("pushdown") == "true" else RecordingReader)(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool):
         from .archive_writer import ArchiveWriter
@@ -83,39 +89,54 @@ class RecordingTar(DataSource):
         return ArchiveWriter(schema, dict(self.options), overwrite)
 
 
+#: Filters that are evaluated here, and how.
+COMPARED = {ds.EqualTo: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge, ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le, ds.StringStartsWith: str.startswith}
+#: Columns of tables whose values are known before frame bytes are read.
+LATE_COLUMNS = ("data", "sha256")
+
+
+def passes(f: Filter, row: dict) -> bool:
+    """Whether a row passes a filter; a comparison with null doesn't."""
+    if isinstance(f, ds.Not):
+        return row.get(f.child.attribute[0]) is not None and not passes(f.child, row)
+    value = row.get(f.attribute[0])
+    if isinstance(f, ds.IsNull):
+        return value is None
+    if isinstance(f, ds.IsNotNull):
+        return value is not None
+    if isinstance(f, ds.EqualNullSafe):
+        return value == f.value
+    if value is None:
+        return False
+    return value in f.value if isinstance(f, ds.In) else bool(COMPARED[type(f)](value, f.value))
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names = schema.fieldNames()
+        self.plain = {f.name for f in schema.fields if f.dataType.typeName() in ("string", "integer", "long", "boolean")} - set(LATE_COLUMNS)
         self.table = options.get("table", "recordings")
         self.path = options["path"]
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.measure = options.get("measure", "false").lower() == "true"
-        self.bytes = int(options.get("bytesperpartition") or options.get("bytesPerPartition") or 128 << 20)
-        only = {"scan_id": options.get("scan_id"), "member": options.get("member"), "stream": options.get("stream")}
-        self.only = {k: set(v.split(",")) for k, v in only.items() if v}
+        self.bytes = max(1, int(options.get("bytesperpartition") or options.get("bytesPerPartition") or 128 << 20))
+        only = {c: set(options[c].split(",")) for c in ("scan_id", "member", "stream") if options.get(c)}
         if options.get("frames"):
-            self.only["frame_index"] = set(map(int, options["frames"].split(",")))
+            only["frame_index"] = set(map(int, options["frames"].split(",")))
+        self.filters: list[Filter] = [ds.In((c,), tuple(v)) for c, v in only.items() if c in self.names]
 
     def keeps(self, row: dict) -> bool:
-        return all(row.get(c) in v for c, v in self.only.items() if c in self.names)
+        return all(passes(f, row) for f in self.filters)
+
+    def can_hold(self, known: dict) -> bool:
+        """Whether rows with these values can pass, whatever their other columns are."""
+        return all(passes(f, known) for f in self.filters if (f.child if isinstance(f, ds.Not) else f).attribute[0] in known)
 
     def partitions(self) -> list[Piece]:
-        found = archives(self.path)
-        if self.table != "blobs":
-            return [Piece(p) for p, _ in found]
         out = []
-        for path, _ in found:
-            for s in self._contents(path).stored:
-                if not all(getattr(s, c) in self.only[c] for c in ("member", "stream") if c in self.only):
-                    continue
-                first, held = 0, 0
-                for i, (_, n) in enumerate(s.spans()):
-                    held += n
-                    if held >= self.bytes:
-                        out.append(Piece(path, ((s.member, first, i + 1),)))
-                        first, held = i + 1, 0
-                if first < s.frames:
-                    out.append(Piece(path, ((s.member, first, s.frames),)))
+        for path, size in archives(self.path):
+            step = self.bytes if self.table == "blobs" else max(size, 1)
+            out += [Piece(path, size, a, a + step) for a in range(0, max(size, 1), step)]
         return out or [Piece("")]
 
     def _contents(self, path: str) -> layout.Contents:
@@ -132,12 +153,12 @@ class RecordingReader(DataSourceReader):
             if not self.permissive:
                 raise
             if self.table == "recordings":
-                size = dict(archives(piece.path))[piece.path]
-                yield self.row({"tar_path": piece.path, "size": size, "corrupt": str(e)[:500], "scan_id": piece.path.rpartition("/")[2].removesuffix(".tar")})
+                yield self.row({"tar_path": piece.path, "size": piece.size, "corrupt": str(e)[:500], "scan_id": piece.path.rpartition("/")[2].removesuffix(".tar")})
             return
-        for r in self.rows(contents, piece):
-            if self.keeps(r):
-                yield self.row(r)
+        if self.can_hold({"scan_id": contents.recording["scan_id"]}):
+            for r in self.rows(contents, piece):
+                if self.keeps(r):
+                    yield self.row(r)
 
     def row(self, values: dict) -> tuple:
         return tuple(self.value(values.get(n)) for n in self.names)
@@ -149,27 +170,47 @@ class RecordingReader(DataSourceReader):
     def rows(self, c: layout.Contents, piece: Piece) -> Iterator[dict]:
         scan = {"scan_id": c.recording["scan_id"]}
         if self.table == "recordings":
-            yield c.recording | {"size": dict(archives(piece.path))[piece.path], "duration_s": _double(c.recording["duration_s"]), "frame_rate": _double(c.recording["frame_rate"])}
+            yield c.recording | {"size": piece.size, "duration_s": _double(c.recording["duration_s"]), "frame_rate": _double(c.recording["frame_rate"])}
         elif self.table == "members":
             system, at = open_fs(piece.path)
             for s in c.stored:
-                sha = None
-                if self.measure:
+                r = scan | {"member": s.member, "stream": s.stream, "tar_offset": s.offset, "size": s.size, "frames": s.frames, "frame_bytes": s.frame_bytes, "encoding": s.encoding, "recorded_size": s.recorded_size, "recorded_sha256": s.recorded_sha256, "stored_size_sum": sum(s.sizes) if s.sizes is not None else s.frames * s.frame_bytes, "sha256": None}
+                if self.measure and self.keeps(r):
                     with system.open_input_file(at) as f:
-                        sha = hashed(f, s.offset, s.size)
-                yield scan | {"member": s.member, "stream": s.stream, "tar_offset": s.offset, "size": s.size, "frames": s.frames, "frame_bytes": s.frame_bytes, "encoding": s.encoding, "recorded_size": s.recorded_size, "recorded_sha256": s.recorded_sha256, "stored_size_sum": sum(s.sizes) if s.sizes is not None else s.frames * s.frame_bytes, "sha256": sha}
+                        r["sha256"] = hashed(f, s.offset, s.size)
+                yield r
         elif self.table == "blobs":
-            by_name = {s.member: s for s in c.stored}
-            system, at = open_fs(piece.path)
-            with system.open_input_file(at) as f:
-                for member, first, after in piece.members:
-                    s = by_name[member]
-                    for i, (offset, n) in itertools.islice(enumerate(s.spans()), first, after):
-                        r = scan | {"member": member, "stream": s.stream, "frame_index": i, "width": s.width, "height": s.height, "pixel_format": s.pixel_format, "encoding": s.encoding, "raw_sha256": s.raw_sha256[i] if s.raw_sha256 else None, "tar_offset": offset, "stored_len": n}
-                        if self.keeps(r):
-                            yield r | {"data": f.read_at(n, offset)}
+            yield from self._blobs(c, piece, scan)
         else:
-            yield from (_floats(r) for r in getattr(c, self.table))
+            for r in getattr(c, self.table):
+                yield _floats(r)
+
+    def _blobs(self, c: layout.Contents, piece: Piece, scan: dict) -> Iterator[dict]:
+        """Frames that begin within the piece's bytes; only those that pass are read."""
+        system, at = open_fs(piece.path)
+        with system.open_input_file(at) as f:
+            for s in c.stored:
+                own = scan | {"member": s.member, "stream": s.stream, "width": s.width, "height": s.height, "pixel_format": s.pixel_format, "encoding": s.encoding}
+                if not self.can_hold(own):
+                    continue
+                spans = s.spans()
+                for i in range(bisect_left(spans, (piece.first,)), bisect_left(spans, (piece.after,))):
+                    offset, n = spans[i]
+                    r = own | {"frame_index": i, "raw_sha256": s.raw_sha256[i] if s.raw_sha256 else None, "tar_offset": offset, "stored_len": n}
+                    if self.keeps(r):
+                        yield r | {"data": f.read_at(n, offset)}
+
+
+class FilteringReader(RecordingReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            of = f.child if isinstance(f, ds.Not) else f
+            known = isinstance(of, (ds.In, ds.IsNull, ds.IsNotNull, ds.EqualNullSafe, *COMPARED)) and not (isinstance(f, ds.Not) and isinstance(of, (ds.IsNull, ds.IsNotNull, ds.EqualNullSafe)))
+            # unreadable archives have a row whatever their contents would be
+            if known and len(of.attribute) == 1 and of.attribute[0] in self.plain and not (self.permissive and self.table == "recordings") and not (isinstance(of, ds.In) and None in of.value):
+                self.filters.append(f)
+            else:
+                yield f
 
 
 def hashed(f, offset: int, size: int) -> str:
@@ -198,13 +239,17 @@ def _floats(r: dict) -> dict:
     return r
 
 
+#: Spark asks Python sources about filters only if this is true, and bears none that could be asked where it isn't.
+PUSHED = "spark.sql.python.filterPushdown.enabled"
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordingTar)
 
 
 def load(spark: SparkSession, path: str, table: str, **options: str):
     register(spark)
-    reader = spark.read.format("recording_tar").option("table", table)
+    reader = spark.read.format("recording_tar").option("table", table).option("pushdown", spark.conf.get(PUSHED))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load(path)

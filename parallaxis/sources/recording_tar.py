@@ -69,7 +69,11 @@ def archives(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(at, recursive=True))
-    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".tar") and not f.base_name.startswith("."))
+    return sorted((prefix + f.path, f.size) for f in found if is_archive(f))
+
+
+def is_archive(f: fs.FileInfo) -> bool:
+    return f.type == fs.FileType.File and f.base_name.endswith(".tar") and not f.base_name.startswith(".")
 
 
 class RecordingTar(DataSource):
@@ -83,6 +87,11 @@ class RecordingTar(DataSource):
     def reader(self, schema: StructType) -> RecordingReader:
         return (FilteringReader if self.options.get("pushdown") == "true" else RecordingReader)(schema, dict(self.options))
 
+    def streamReader(self, schema: StructType):
+        from .replay import ReplayReader
+
+        return ReplayReader(schema, dict(self.options))
+
     def writer(self, schema: StructType, overwrite: bool):
         from .archive_writer import ArchiveWriter
 

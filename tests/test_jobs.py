@@ -149,7 +149,7 @@ def test_streams(spark, tmp_path):
     for i, r in enumerate(rows):
         spark.createDataFrame([r], schema).coalesce(1).write.json(str(tmp_path / "up" / str(i)))
     s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(tmp_path / "up"))
-    assert [(r.key, r.members, r["size"]) for r in _run(spark, stateful.completed(s), "done")] == [("u", 1, 3)]
+    assert [tuple(r) for r in _run(spark, stateful.completed(s), "done")] == [("u", 1, 3, "complete")]
 
 
 def test_cli(spark, tmp_path, capsys):

@@ -51,18 +51,27 @@ def _with_root(requests: DataFrame, roots: DataFrame) -> DataFrame:
     return requests.join(there, scalar.is_data_root(F.col("data_root")) & (F.col("data_root") == F.col("root_")), "left").drop("root_").withColumn("root_there", F.col("root_there").isNotNull())
 
 
+def _head_rules(token: str) -> list[tuple[Column, int, str]]:
+    return [(F.col("content_length") < 0, 411, "length required"), (F.col("route_").isNull(), 404, "bad path"), (F.col("token") != token, 403, "bad token"), (~F.col("root_there"), 400, "bad data root")]
+
+
+def _put(requests: DataFrame, roots: DataFrame, rules: Column) -> DataFrame:
+    rows = _with_root(requests, roots).withColumn("route_", upload_route(F.col("path")))
+    return rows.withColumn("answer_", rules).select(*requests.columns, "route_.key", "route_.file", "answer_.status", "answer_.reason")
+
+
+def put_heads(requests: DataFrame, token: str, roots: DataFrame) -> DataFrame:
+    """put_answers() as far as they are known before the body is read."""
+    return _put(requests, roots, _rules(*_head_rules(token)))
+
+
 def put_answers(requests: DataFrame, token: str, roots: DataFrame) -> DataFrame:
     """Adds key, file, status and reason to requests to store a file.
 
     requests: path, token, data_root, content_length, data (the body, as far as it came), sha256. Of a longer body only the first
     content_length bytes count."""
-    rows = _with_root(requests, roots).withColumn("route_", upload_route(F.col("path")))
     body = F.substring(F.coalesce("data", F.lit(b"")), F.lit(1), F.col("content_length").cast("int"))
-    rules = _rules(
-        (F.col("content_length") < 0, 411, "length required"), (F.col("route_").isNull(), 404, "bad path"), (F.col("token") != token, 403, "bad token"), (~F.col("root_there"), 400, "bad data root"),
-        (F.octet_length(body) < F.col("content_length"), 400, "bytes missing"), (F.sha2(body, 256) != F.col("sha256"), 400, "sha256 mismatch"),
-    )
-    return rows.withColumn("answer_", rules).select(*requests.columns, "route_.key", "route_.file", "answer_.status", "answer_.reason")
+    return _put(requests, roots, _rules(*_head_rules(token), (F.octet_length(body) < F.col("content_length"), 400, "bytes missing"), (F.sha2(body, 256) != F.col("sha256"), 400, "sha256 mismatch")))
 
 
 def get_answers(requests: DataFrame, token: str, roots: DataFrame, archives: DataFrame) -> DataFrame:

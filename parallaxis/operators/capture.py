@@ -106,6 +106,8 @@ def finished(wanted: DataFrame, memory: DataFrame, disk: DataFrame, underway: Da
 
 def progress(parts: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of the bytes that are stored or sent so far. parts: keys, name, size, uploaded; sent: keys, name, bytes."""
-    rows = parts.join(sent, [*keys, "name"], "left")
+    from .joins import on_keys
+
+    rows = on_keys(parts, sent, [*keys, "name"], "left")
     done = F.when(F.col("uploaded"), F.col("size")).otherwise(F.least(F.coalesce("bytes", F.lit(0)), F.col("size")))
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(done), F.sum("size")).alias("progress"))

@@ -133,6 +133,17 @@ def ratios(df: DataFrame, keys: Names, raw: str, stored: str, member: str) -> Da
     return out.where(F.col("level") <= 1).select(*keys, member, F.try_divide("raw", "stored").alias("ratio"))
 
 
+def in_use(value: Column) -> Column:
+    """The distinct values of a group, in order."""
+    return F.sort_array(F.collect_set(value))
+
+
+def best_of(candidates: Column, score: Callable[[Column], Column]) -> Column:
+    """best() of an array of candidates within a row, so nothing is shuffled; null if none has a score."""
+    scored = F.transform(candidates, lambda c: F.struct(score(c).alias("score"), c.alias("candidate")))
+    return F.array_max(F.filter(scored, lambda x: x["score"].isNotNull() & ~F.isnan(x["score"])))["candidate"]
+
+
 def best(score: Column, candidate: Column) -> Column:
     """The candidate with the largest score; at ties the larger candidate. NaN scores don't count."""
     return F.max(F.when(~F.isnan(score), F.struct(score.alias("score"), candidate.alias("candidate"))))["candidate"]

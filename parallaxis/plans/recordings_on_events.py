@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxis.functions import geometry, scalar
-from parallaxis.operators import joins, runs, series, stats
-from parallaxis.sources import uploads
+from parallaxis.operators import capture, joins, runs, series, stats
+from parallaxis.sources import compose, uploads, worklog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,8 +314,7 @@ def grid_argmax(spark: SparkSession, d: str) -> DataFrame:
     """The best of 41 scales for each row; at ties the larger scale. The grid stays in the row, so nothing is shuffled."""
     e = read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
     grid = F.array(*[F.lit(i * 0.0025 + 0.95) for i in range(41)])
-    scored = F.transform(grid, lambda s: F.struct(F.round(-F.abs(F.col("a") * s - F.col("b")), 9).alias("score"), s.alias("candidate")))
-    best = F.array_max(F.filter(scored, lambda x: x["score"].isNotNull() & ~F.isnan(x["score"])))["candidate"]
+    best = stats.best_of(grid, lambda s: F.round(-F.abs(F.col("a") * s - F.col("b")), 9))
     return e.select("vec_id", F.round(best, 9).alias("scale")).where("scale IS NOT NULL")
 
 
@@ -395,7 +394,7 @@ def stored_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS in_use FROM events GROUP BY user_id")
 def values_in_use(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("in_use"))
+    return events(spark, d).groupBy("user_id").agg(F.array_join(stats.in_use(F.col("event_type")), ",").alias("in_use"))
 
 
 @query("SELECT label, round(avg(sqrt(embedding[1]::DOUBLE ** 2 + embedding[2]::DOUBLE ** 2 + embedding[3]::DOUBLE ** 2)), 9) AS gravity FROM embeddings GROUP BY label")
@@ -425,18 +424,22 @@ def alignment_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, sum(CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0 END) > 0 AS started, round(sum(CASE WHEN event_type = 'view' THEN value WHEN event_type = 'click' THEN value / 2 ELSE 0 END) / sum(value), 6) AS progress FROM events GROUP BY user_id""")
+SELECT user_id, round(sum(CASE WHEN event_type = 'view' THEN value WHEN event_type = 'click' THEN value / 2 ELSE 0 END) / sum(value), 6) AS progress FROM events GROUP BY user_id""")
 def upload_progress(spark: SparkSession, d: str) -> DataFrame:
     """Acknowledged sizes and what of the others is under way, over all sizes."""
-    v, kind = F.col("value"), F.col("event_type")
-    sent = F.when(kind == "view", v).when(kind == "click", v / 2).otherwise(0.0)
-    return events(spark, d).groupBy("user_id").agg((F.sum(F.when(kind.isin("view", "click"), v).otherwise(0.0)) > 0).alias("started"), F.round(F.try_divide(F.sum(sent), F.sum("value")), 6).alias("progress"))
+    e = events(spark, d)
+    parts = e.select("user_id", F.col("event_id").alias("name"), F.col("value").alias("size"), (F.col("event_type") == "view").alias("uploaded"))
+    sent = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("name"), (F.col("value") / 2).alias("bytes"))
+    return capture.progress(parts, sent, ["user_id"]).select("user_id", F.round("progress", 6).alias("progress"))
 
 
-@query("SELECT p_brand, arg_max(p_partkey, p_size::BIGINT * 1000000 - p_partkey) AS p_partkey FROM part GROUP BY p_brand")
+@query("""
+WITH f AS (SELECT p_brand, 4 * p_size AS width, 3 * p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS height, p_partkey % 60 AS fps FROM part)
+SELECT p_brand, width, height, fps FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY width * height DESC, fps DESC) AS n FROM f WHERE width * 3 = height * 4) WHERE n = 1""")
 def best_format(spark: SparkSession, d: str) -> DataFrame:
-    """The largest of each group; the first of them at ties."""
-    return read(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("p_partkey"))
+    """Of the 4:3 formats of a brand the largest, then the fastest."""
+    height = 3 * F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)
+    return capture.best_video(read(spark, d, "part").select("p_brand", (4 * F.col("p_size")).alias("width"), height.alias("height"), (F.col("p_partkey") % 60).alias("fps")), ["p_brand"])
 
 
 @query("SELECT page_id, url[1] = '/' AND NOT list_has_any(string_split(url, '/'), ['.', '..']) AS is_root, regexp_matches(url, '\\.[0-9]{6}$') AS is_segment FROM (SELECT page_id, regexp_replace(url, '^https?:/', '') AS url FROM pages)")
@@ -517,9 +520,15 @@ def median_intervals(spark: SparkSession, d: str) -> DataFrame:
     return stats.median_interval(events(spark, d), ["user_id"], "value")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents")
+@query("""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(hex(encode(text)), '..') AS x, octet_length(encode(text)) AS n FROM documents), f AS (SELECT *, 2 * greatest(1, (n + 95) // 96) AS h FROM t),
+b AS (SELECT doc_id, h, i, ('0x' || v)::BIGINT AS v FROM (SELECT doc_id, h, unnest(range(h * 48)) AS i, unnest(list_concat(x, list_transform(range(h * 48 - n), lambda j: '00'))) AS v FROM f)),
+c AS (SELECT doc_id, i, CASE WHEN i < 32 OR i // 32 = h THEN v ELSE (v - lag(v, 32) OVER (PARTITION BY doc_id ORDER BY i) + 256) % 256 END AS delta FROM b),
+s AS (SELECT doc_id, sum(delta * (1 + i % 97))::BIGINT AS deltas FROM c GROUP BY doc_id)
+SELECT t.doc_id, sha256(text) AS sha256, n::BIGINT AS size, deltas FROM t JOIN s ON s.doc_id = t.doc_id""")
 def frame_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Every text as the rows of a frame, encoded and decoded again; the digest is of what came back."""
+    """Every text as the rows of a frame, encoded and decoded again: a sum over the differences of rows that the stream holds, and the digest
+    of what came back."""
     import hashlib
 
     import numpy as np
@@ -535,19 +544,22 @@ def frame_codec(spark: SparkSession, d: str) -> DataFrame:
                 h = 2 * max(1, -(-len(raw) // 96))  # of 32 bytes; with half as many chroma rows
                 frame = np.zeros((h * 3 // 2, 32), dtype=np.uint8)
                 frame.ravel()[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-                back = codec.decode_color(codec.encode_color(frame, h), 32, h).tobytes()[: len(raw)]
-                out.append((r.doc_id, hashlib.sha256(back).hexdigest(), len(back)))
-            yield pd.DataFrame(out, columns=["doc_id", "sha256", "size"])
+                stream = codec.encode_color(frame, h)
+                stored = np.frombuffer(codec.inflate(stream), dtype=np.uint8).astype(np.int64)
+                back = codec.decode_color(stream, 32, h).tobytes()[: len(raw)]
+                out.append((r.doc_id, hashlib.sha256(back).hexdigest(), len(back), int(stored @ (1 + np.arange(len(stored)) % 97))))
+            yield pd.DataFrame(out, columns=["doc_id", "sha256", "size", "deltas"])
 
-    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, sha256 string, size long")
+    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, sha256 string, size long, deltas long")
 
 
 @query("""
 WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 256)::DOUBLE AS y, (l_suppkey * 7 % 256)::DOUBLE - 128 AS cb, (l_orderkey % 256)::DOUBLE - 128 AS cr FROM lineitem),
-q AS (SELECT *, y + 2 * (1 - 0.299) * cr AS red, y + 2 * (1 - 0.114) * cb AS blue FROM p)
-SELECT l_orderkey, l_linenumber, greatest(0, least(255, round_even(red, 0)))::INT AS r, greatest(0, least(255, round_even((y - 0.299 * red - 0.114 * blue) / (1 - 0.299 - 0.114), 0)))::INT AS g, greatest(0, least(255, round_even(blue, 0)))::INT AS b FROM q""")
+k AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 0.2126 ELSE 0.299 END::DOUBLE AS kr, CASE WHEN l_linenumber % 2 = 0 THEN 0.0722 ELSE 0.114 END::DOUBLE AS kb FROM p),
+q AS (SELECT *, y + 2 * (1 - kr) * cr AS red, y + 2 * (1 - kb) * cb AS blue FROM k)
+SELECT l_orderkey, l_linenumber, greatest(0, least(255, round_even(red, 0)))::INT AS r, greatest(0, least(255, round_even((y - kr * red - kb * blue) / (1 - kr - kb), 0)))::INT AS g, greatest(0, least(255, round_even(blue, 0)))::INT AS b FROM q""")
 def colour_conversion(spark: SparkSession, d: str) -> DataFrame:
-    """A 2 x 2 frame of one colour for each row, through the colour kernel."""
+    """A 2 x 2 frame of one colour for each row, through the colour kernel, by the matrix that is its."""
     import numpy as np
     import pandas as pd
 
@@ -560,8 +572,85 @@ def colour_conversion(spark: SparkSession, d: str) -> DataFrame:
             frame = np.zeros((3, 2 * n), dtype=np.uint8)
             frame[:2] = np.repeat(pdf.y.to_numpy(), 2)
             frame[2, 0::2], frame[2, 1::2] = pdf.cb.to_numpy(), pdf.cr.to_numpy()
-            bgr = image.to_bgr(frame, "ITU_R_601_4")[0, ::2].astype(np.int32)
+            both = [image.to_bgr(frame, m)[0, ::2].astype(np.int32) for m in ("ITU_R_709_2", "ITU_R_601_4")]
+            bgr = np.where(pdf.l_linenumber.to_numpy()[:, None] % 2 == 0, *both)
             yield pd.DataFrame({"l_orderkey": pdf.l_orderkey, "l_linenumber": pdf.l_linenumber, "r": bgr[:, 2], "g": bgr[:, 1], "b": bgr[:, 0]})
 
     p = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("y"), (F.col("l_suppkey") * 7 % 256).alias("cb"), (F.col("l_orderkey") % 256).alias("cr"))
     return p.mapInPandas(run, "l_orderkey long, l_linenumber int, r int, g int, b int")
+
+
+#: Events as a work log: users are recordings, even ids colour lines and odd ones depth lines, errors are dropped; one segment holds a file.
+LOG = """
+WITH l AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, event_id % 2 = 0 AS is_color, event_type = 'error' AS dropped, user_id % 2 = 0 AS rear, 1 + event_id % 7 AS size, event_id % 97 <> 0 AS hashed, event_id % 31 <> 0 AS marked
+  FROM events
+), d AS (SELECT *, lag(us) OVER (PARTITION BY user_id, is_color ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id, is_color ORDER BY event_id) - 1 AS i FROM l WHERE NOT dropped)
+"""
+
+
+def _log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """starts, color, depth and segments of the work logs that LOG describes."""
+    e, i = events(spark, d), F.col("event_id")
+    color = i % 2 == 0
+    common = [F.col("user_id").cast("string").alias("scan_id"), i.alias("line_no"), (F.col("us") / 1e6).alias("timestamp"), F.when(F.col("event_type") == "error", "late").alias("reason"), (1 + i % 7).alias("compressed_size"), F.when(i % 97 != 0, F.repeat(F.lit("a"), F.lit(64))).alias("raw_sha256")]
+    rear, marked = F.col("user_id") % 2 == 0, i % 31 != 0
+    pose = F.when(marked & rear, F.lit("normal")).alias("pose")
+    transform = F.when(marked, F.array(F.array((i % 3).cast("float")))).alias("depth_to_color")
+    c = e.where(color).select(*common, pose)
+    z = e.where(~color).select(*common, transform, F.when(marked & rear, F.lit(2).cast("long")).alias("confidence_compressed_size"))
+    starts = e.select(F.col("user_id").cast("string").alias("scan_id"), F.when(rear, "rear").otherwise("front").alias("camera")).distinct()
+    user = F.col("scan_id").cast("long")
+    segments = compose.logged_bytes(c, z).select("scan_id", "file", F.when(user % 5 == 0, 1).otherwise(0).alias("seg_index"), (F.col("bytes") + F.when(user % 3 == 0, 1).otherwise(0)).alias("size"))
+    return starts, c, z, segments
+
+
+@query(f"""
+{LOG}, f AS (
+  SELECT DISTINCT user_id, 'not_in_time_order' AS fault, is_color, false AS conf FROM d WHERE us <= before
+  UNION ALL SELECT DISTINCT user_id, 'no_encoding', is_color, false FROM d WHERE NOT hashed
+  UNION ALL SELECT user_id, 'pose_count', true, false FROM d WHERE is_color GROUP BY user_id HAVING count(*) FILTER (WHERE rear AND marked) <> count(*) FILTER (WHERE rear)
+  UNION ALL SELECT DISTINCT user_id, 'no_confidence_size', false, false FROM d WHERE NOT is_color AND rear AND NOT marked
+  UNION ALL SELECT DISTINCT user_id, 'segment_order', is_color, conf FROM d CROSS JOIN (VALUES (false), (true)) t(conf) WHERE user_id % 5 = 0 AND (NOT conf OR NOT is_color AND rear AND marked)
+  UNION ALL SELECT DISTINCT user_id, 'segment_size', is_color, conf FROM d CROSS JOIN (VALUES (false), (true)) t(conf) WHERE user_id % 3 = 0 AND (NOT conf OR NOT is_color AND rear AND marked)
+)
+SELECT user_id, fault, CASE WHEN is_color THEN 'color_frames.bin' WHEN conf THEN 'depth_frames_confidence.bin' ELSE 'depth_frames.bin' END AS file FROM f""")
+def writer_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps work logs from being recordings."""
+    return compose.faults(*_log(spark, d)).select(F.col("scan_id").cast("long").alias("user_id"), "fault", "file")
+
+
+@query(f"""
+{LOG}, z AS (
+  SELECT user_id, i, CASE WHEN rear THEN 0 WHEN marked THEN 1 + event_id % 3 END AS m FROM d WHERE NOT is_color
+), g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, m ORDER BY i) AS island FROM z WHERE m IS NOT NULL),
+r AS (SELECT user_id, m, min(i) AS first, max(i) AS last FROM g GROUP BY user_id, m, island),
+n AS (SELECT user_id, m, dense_rank() OVER (PARTITION BY user_id ORDER BY low) - 1 AS entry_no FROM (SELECT user_id, m, min(first) AS low FROM r GROUP BY user_id, m))
+SELECT r.user_id, n.entry_no::INT AS entry_no, r.m = 0 AS is_identity, r.first, r.last FROM r JOIN n ON n.user_id = r.user_id AND n.m = r.m""")
+def rear_identity_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the transforms between the streams; those of a rear camera are one identity."""
+    starts, _, depth, _ = _log(spark, d)
+    rows = compose.identity_runs(starts, depth).select("scan_id", F.posexplode("entries").alias("entry_no", "e")).select("scan_id", "entry_no", (F.size("e.value") == 3).alias("is_identity"), F.explode("e.ranges").alias("r"))
+    return rows.select(F.col("scan_id").cast("long").alias("user_id"), "entry_no", "is_identity", F.get("r", F.lit(0)).cast("long").alias("first"), F.get("r", F.lit(1)).cast("long").alias("last"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, 10 + o_orderkey % 50 AS size FROM orders),
+b AS (SELECT *, sum(size) OVER (PARTITION BY o_custkey ORDER BY i) - size AS before, sum(size) OVER (PARTITION BY o_custkey) * (o_custkey % 10) // 10 AS logged FROM s)
+SELECT o_custkey, i AS seg_index, least(size, logged - before)::BIGINT AS keep FROM b WHERE logged > before""")
+def recovered_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of the segments of recordings that were cut off: as much as their logs account for."""
+    s = series.numbered(read(spark, d, "orders").select(F.col("o_custkey").alias("scan_id"), F.lit("f").alias("file"), "o_orderkey", (10 + F.col("o_orderkey") % 50).alias("size")), ["scan_id"], ["o_orderkey"], "seg_index")
+    logged = s.groupBy("scan_id", "file").agg(F.expr("sum(size) * (scan_id % 10) div 10").alias("bytes"))
+    return worklog.recovered_segments(s, logged).select(F.col("scan_id").alias("o_custkey"), "seg_index", F.col("keep").cast("long").alias("keep"))
+
+
+@query("""
+SELECT e.user_id, e.event_id, (SELECT max(s.event_id)::VARCHAR FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'purchase' AND s.ts = (
+  SELECT max(t.ts) FROM events t WHERE t.user_id = e.user_id AND t.event_type = 'purchase' AND t.ts <= e.ts)) AS sample
+FROM events e WHERE e.event_type <> 'purchase'""")
+def latest_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame with the newest sample up to its time; null before the first."""
+    e = events(spark, d)
+    samples = e.where("event_type = 'purchase'").groupBy("user_id", F.col("us").alias("sample_us")).agg(F.max("event_id").cast("string").alias("sample"))
+    return capture.with_latest(e.where("event_type <> 'purchase'").select("user_id", "event_id", "us"), samples, ["user_id"], "us", "sample_us", "sample").select("user_id", "event_id", "sample")

@@ -50,6 +50,15 @@ def centre_carried(x: Column, size: Column, reference: Column) -> Column:
     return single(x * ratio(size, reference))
 
 
+def distortion(centre: Sequence[Column], lookup: Column, inverse: Column, size: Sequence[Column], reference: Sequence[Column]) -> Column:
+    """The distortion of an image of this size out of a calibration: its centre carried to the image, the tables as they are, and the scale; null if a
+    table is not there."""
+    carried = F.array(*[centre_carried(c, s, r) for c, s, r in zip(centre, size, reference, strict=True)])
+    scale = F.array(*[ratio(s, r) for s, r in zip(size, reference, strict=True)])
+    whole = F.struct(carried.alias("center"), lookup.alias("lookup_table"), inverse.alias("inverse_lookup_table"), scale.alias("scale"))
+    return F.when(lookup.isNotNull() & inverse.isNotNull(), whole)
+
+
 def homogeneous(m: Column) -> Column:
     """A 3 x 4 matrix (array of rows) with the row 0 0 0 1."""
     last = F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])

@@ -146,3 +146,9 @@ def visible(target: Column, shown: Column) -> Column:
 
 def display_size(size: Column) -> Column:
     return F.when(size >= 1_000_000_000, F.format_string("%.2f GB", size / 1e9)).otherwise(F.format_string("%.1f MB", size / 1e6))
+
+
+def display_duration(seconds: Column) -> Column:
+    """Minutes and seconds, rounded to whole seconds with halves to even, minutes without a leading zero: 61.5 is 1:02."""
+    whole = F.rint(seconds).cast("long")
+    return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))

@@ -138,23 +138,57 @@ def depth_edges(blobs: DataFrame) -> DataFrame:
     return blobs.where("stream = 'depth'").mapInPandas(_each(one, schema), schema).where("edges IS NOT NULL")
 
 
-def offset_scores(pairs: DataFrame, luma: DataFrame, edges: DataFrame) -> DataFrame:
-    """scan_id, offset, score over all pairs (color_index, depth_index) whose colour frame has three on each side."""
-    wanted = pairs.select("scan_id", "color_index", "depth_index", F.explode(F.array(*[F.lit(o) for o in range(-3, 4)])).alias("offset"))
-    near = wanted.withColumn("at", F.col("color_index") + F.col("offset")).join(luma.withColumnRenamed("frame_index", "at"), ["scan_id", "at"])
-    seven = near.groupBy("scan_id", "color_index", "depth_index").agg(F.array_sort(F.collect_list(F.struct("offset", "gradient"))).alias("near")).where(F.size("near") == 7)
-    both = seven.join(edges.withColumnRenamed("frame_index", "depth_index"), ["scan_id", "depth_index"])
+#: Frames on each side of one that its score looks at, and frames of a chunk; maps near an end of a chunk go to the next one too.
+REACH, CHUNK = 3, 64
 
-    def one(r) -> tuple:
-        w, h = int(r.width), int(r.height)
-        e = np.unpackbits(np.frombuffer(r.edges, dtype=np.uint8), count=w * h).reshape(h, w).astype(bool)
-        grads = {n["offset"]: np.frombuffer(n["gradient"], dtype="<f4").reshape(h, w) for n in r.near}
-        found = alignment.offset_scores(e, grads)
-        return r.scan_id, [found.get(o) for o in range(-3, 4)]
-
-    schema = "scan_id string,scores array<double>"
-    scores = both.mapInPandas(_each(one, schema), schema).select("scan_id", F.posexplode("scores").alias("p", "s"))
-    return scores.groupBy("scan_id", (F.col("p") - 3).alias("offset")).agg(F.avg("s").alias("score"))
+
+def in_chunks(rows: DataFrame, at: str, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of consecutive frames that may look at it: its own, and a neighbour's if it is within reach."""
+    first, last = (F.floor((F.col(at) + d) / chunk).cast("long") for d in (-reach, reach))
+    return rows.withColumn("chunk", F.explode(F.sequence(first, last)))
+
+
+def offset_scores(pairs: DataFrame, luma: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """scan_id, offset, score over all pairs (color_index, depth_index) whose colour frame has three on each side.
+
+    A recording is dealt by chunks of frames, each map to its own and, within reach of an end, to the next: 1 + 2 * REACH / CHUNK times in all.
+    A task slides over its chunk with the last few maps at hand, and gives sums."""
+    maps = in_chunks(luma.select("scan_id", F.col("frame_index").alias("at"), F.lit(0).alias("kind"), F.col("gradient").alias("data"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height")), "at", REACH, chunk)
+    of_pairs = pairs.select("scan_id", "color_index", "depth_index").join(edges.withColumnRenamed("frame_index", "depth_index"), ["scan_id", "depth_index"])
+    asked = of_pairs.select("scan_id", F.col("color_index").cast("int").alias("at"), F.lit(1).alias("kind"), F.col("edges").alias("data"), "width", "height", F.floor(F.col("color_index") / chunk).cast("long").alias("chunk"))
+    rows = maps.unionByName(asked).repartition("scan_id", "chunk").sortWithinPartitions("scan_id", "chunk", "at", "kind")
+
+    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, near, waiting, sums = None, {}, [], np.zeros((2, 2 * REACH + 1))
+
+        def given() -> pd.DataFrame:
+            at = np.flatnonzero(sums[1])
+            return pd.DataFrame([(key[0], int(i) - REACH, float(sums[0][i]), int(sums[1][i])) for i in at], columns=["scan_id", "offset", "total", "n"])
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if key != (r.scan_id, r.chunk):
+                    if key is not None:
+                        yield given()
+                    key, near, waiting, sums = (r.scan_id, r.chunk), {}, [], np.zeros((2, 2 * REACH + 1))
+                if r.kind:
+                    w, h = int(r.width), int(r.height)
+                    waiting.append((r.at, np.unpackbits(np.frombuffer(r.data, dtype=np.uint8), count=w * h).reshape(h, w).astype(bool)))
+                    continue
+                near = {i: g for i, g in near.items() if i >= r.at - 2 * REACH} | {r.at: np.frombuffer(r.data, dtype="<f4")}
+                # edges whose last neighbour this is, or could have been
+                for at, e in [x for x in waiting if x[0] + REACH <= r.at]:
+                    if all(at + o in near for o in range(-REACH, REACH + 1)):
+                        for o, score in alignment.offset_scores(e, {o: near[at + o].reshape(e.shape) for o in range(-REACH, REACH + 1)}).items():
+                            sums[:, o + REACH] += score, 1
+                waiting = [x for x in waiting if x[0] + REACH > r.at]
+        if key is not None:
+            yield given()
+
+    found = rows.mapInPandas(slide, "scan_id string, offset int, total double, n long").groupBy("scan_id", "offset").agg((F.sum("total") / F.sum("n")).alias("score"))
+    # recordings with pairs have a row for each offset, also where nothing could be scored
+    every = of_pairs.select("scan_id").distinct().withColumn("offset", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))))
+    return every.join(found, ["scan_id", "offset"], "left")
 
 
 def alignment_fits(pairs: DataFrame) -> DataFrame:

@@ -140,28 +140,6 @@ def resampled(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(inside, out, 0).astype(np.float32)
 
 
-def colourised(depth: np.ndarray, near: float = 0.2, far: float = 3.0) -> np.ndarray:
-    """A preview of depth: near warm, far cool, invalid pixels black."""
-    ok = is_valid(depth)
-    t = np.clip((np.where(ok, depth, near) - near) / (far - near), 0, 1)
-    ramp = lambda centre: np.clip(1.5 - np.abs(4 * (1 - t) - centre), 0, 1)
-    rgb = np.rint(255 * np.dstack([ramp(3), ramp(2), ramp(1)])).astype(np.uint8)
-    rgb[~ok] = 0
-    return rgb
-
-
-def letterboxed(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Scaled by the nearest pixel to fit, centred on black."""
-    h, w = image.shape[:2]
-    scale = min(width / w, height / h)
-    nw, nh = max(1, round(w * scale)), max(1, round(h * scale))
-    small = image[(np.arange(nh) * h // nh)][:, (np.arange(nw) * w // nw)]
-    out = np.zeros((height, width, *image.shape[2:]), dtype=image.dtype)
-    top, left = (height - nh) // 2, (width - nw) // 2
-    out[top : top + nh, left : left + nw] = small
-    return out
-
-
 #: The published polynomials of the turbo colour map, lowest power first, of red, green and blue.
 TURBO = (
     (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
@@ -187,6 +165,19 @@ def stretched(depth: np.ndarray, low: float, high: float) -> np.ndarray:
     return out
 
 
+#: The depths that a preview shows, in metres.
+PREVIEW_M = (0.2, 3.0)
+
+
+def colourised(depth: np.ndarray, near: float = PREVIEW_M[0], far: float = PREVIEW_M[1]) -> np.ndarray:
+    """A preview of depth, 8-bit RGB: near warm, far cool by the palette of 256 steps, invalid pixels black."""
+    ok = is_valid(depth)
+    near, far = np.float32(near), np.float32(far)
+    out = turbo(1 - (np.where(ok, depth, near).astype(np.float32) - near) / (far - near))[..., ::-1].copy()
+    out[~ok] = 0
+    return out
+
+
 def legend(width: int) -> np.ndarray:
     """A ramp of colours with even ticks, the first and the last at its ends; what these stand for is for the caller to say."""
     out = np.full((LEGEND_ROWS, width, 3), 255, dtype=np.uint8)

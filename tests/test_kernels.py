@@ -85,3 +85,39 @@ def test_canny_finds_a_step():
     a[:, 10:] = 255
     e = image.canny(a, 40, 120)
     assert e[5].sum() == 1 and e[5, 9:11].any()
+
+
+def test_preview_has_the_palette_at_fixed_ends():
+    z = np.array([[0.2, 3.0, 0.1, 9.0], [np.nan, 0.0, np.inf, 1.6]], dtype=np.float32)
+    shown = image.colourised(z)
+    assert (shown[0, 0] == image.turbo(np.array(1.0))[::-1]).all() and (shown[0, 1] == image.turbo(np.array(0.0))[::-1]).all()
+    assert (shown[0, 2] == shown[0, 0]).all() and (shown[0, 3] == shown[0, 1]).all()
+    assert not shown[1, :3].any() and shown[1, 3].any()
+
+
+def test_offset_scores_slide_over_chunks(spark):
+    """As comparing each pair with its seven neighbours, whatever the chunks; each map travels little more than once."""
+    from parallaxis.kernels import frames
+
+    rng = np.random.default_rng(4)
+    w, h = 24, 20
+    maps = {s: [rng.random((h, w)).astype("<f4") * 4 for _ in range(n)] for s, n in (("a", 40), ("b", 6), ("c", 7))}
+    gone = {("a", 11), ("a", 12)}  # frames that weren't kept
+    luma = [(s, i, bytearray(m.tobytes())) for s, ms in maps.items() for i, m in enumerate(ms) if (s, i) not in gone]
+    edges = {(s, i): rng.random((h, w)) < 0.2 for s, ms in maps.items() for i in range(len(ms))}
+    pairs = [(s, c, d) for s, ms in maps.items() for c, d in zip(range(len(ms)), rng.permutation(len(ms)).tolist(), strict=True)] + [("a", 20, 3)]
+    want = {}
+    for s, c, d in pairs:
+        near = {o: maps[s][c + o] for o in range(-3, 4) if 0 <= c + o < len(maps[s]) and (s, c + o) not in gone}
+        if len(near) == 7:
+            for o, v in alignment.offset_scores(edges[s, d], near).items():
+                want.setdefault((s, o), []).append(v)
+    p = spark.createDataFrame(pairs, "scan_id string, color_index int, depth_index int")
+    m = spark.createDataFrame(luma, "scan_id string, frame_index int, gradient binary")
+    e = spark.createDataFrame([(s, i, bytearray(np.packbits(x).tobytes()), w, h) for (s, i), x in edges.items()], "scan_id string, frame_index int, edges binary, width int, height int")
+    for chunk in (1, 5, 64):
+        got = {(r.scan_id, r.offset): r.score for r in frames.offset_scores(p, m, e, chunk).collect()}
+        assert set(got) == {(s, o) for s in "abc" for o in range(-3, 4)}
+        assert {k: v for k, v in got.items() if v is not None} == {k: pytest.approx(np.mean(v), rel=1e-5) for k, v in want.items()}
+    long = spark.range(6400).selectExpr("'a' AS scan_id", "CAST(id AS INT) AS frame_index")
+    assert frames.in_chunks(long, "frame_index").count() <= 1.1 * 6400

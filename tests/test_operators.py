@@ -266,3 +266,16 @@ def test_null_keys_of_runs_and_segments(spark):
     packed = spark.createDataFrame([(k, s, 5) for k in ("a", None, "b") for s in (0, 0, 1)], "k string, segment long, size long")
     ended = spark.createDataFrame([(None,), ("b",), (None,)], "k string")
     assert _rows(series.handed_over(packed, ["k"], "size", 10, ended)) == sorted([("a", 0, 2, 10), (None, 0, 2, 10), (None, 1, 1, 5), ("b", 0, 2, 10), ("b", 1, 1, 5)], key=repr)
+
+
+def test_distortion_needs_both_tables(spark):
+    df = spark.createDataFrame([([1.0], [2.0]), (None, [2.0]), ([1.0], None)], "lut array<float>, inv array<float>")
+    size, reference = [F.lit(1920), F.lit(1440)], [F.lit(4032), F.lit(3024)]
+    got = [r[0] for r in df.select(geometry.distortion([F.lit(2000.0), F.lit(1500.0)], F.col("lut"), F.col("inv"), size, reference)).collect()]
+    s = np.float32(1920) / np.float32(4032)
+    assert got[1:] == [None, None] and got[0].lookup_table == [1.0] and np.allclose(got[0].center, [2000 * s, 1500 * s], rtol=1e-6) and np.float32(got[0].scale[0]) == s
+
+
+def test_durations(spark):
+    df = spark.createDataFrame([(0.0,), (61.5,), (59.4,), (3599.6,), (6000.0,), (None,)], "s double")
+    assert [r[0] for r in df.select(scalar.display_duration(F.col("s"))).collect()] == ["0:00", "1:02", "0:59", "60:00", "100:00", None]

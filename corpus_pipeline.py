@@ -2,8 +2,9 @@
 to target weights, and encoded.
 
 Every stage works on all rows that the one before it kept, is written as Parquet into the shared folder, and is read
-back by the next. Null and empty texts have no language, so the second stage rejects them; repeated rows fall to
-the third. Empty tables pass through all stages.
+back by the next, and goes once the next is written. Null and empty texts have no language, so the second stage rejects them;
+repeated rows fall to the third. Texts of any length are taken whole, columns with other names are carried along up to the last stage, which
+returns its own. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parallaxis.llm import bpe, language, mixing, neardup, toxicity
-from parallaxis.llm.common import table, written
+from parallaxis.llm.common import discard, table, written
 from parallaxis.llm.queries import tokenizer_path
 
 #: A document goes if its language can't be told with this much confidence.
@@ -55,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

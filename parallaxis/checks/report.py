@@ -34,11 +34,14 @@ class Tables:
     color: DataFrame
     depth: DataFrame
     confidence: DataFrame
+    #: Where frames of colour and depth lie, for joins that would carry their bytes along.
+    color_places: DataFrame
+    depth_places: DataFrame
 
 
 def tables(spark: SparkSession, path: str) -> Tables:
     load = lambda t, **o: recording_tar.load(spark, path, t, **o)
-    return Tables(load("recordings"), load("frames"), load("runs"), load("calibrations"), load("members", measure="true"), *[load("blobs", stream=x) for x in ("color", "depth", "confidence")])
+    return Tables(load("recordings"), load("frames"), load("runs"), load("calibrations"), load("members", measure="true"), *[load("blobs", stream=x) for x in ("color", "depth", "confidence")], *[load("blobs", stream=x, content="false") for x in ("color", "depth")])
 
 
 def pairs(t: Tables) -> DataFrame:
@@ -151,7 +154,7 @@ def spatial(t: Tables, p: DataFrame, depth_k: Column | None = None) -> DataFrame
     if depth_k is not None:
         good = good.withColumn("depth_k", depth_k)
     chosen = series.subsample(good, ["scan_id"], ["depth_index"], alignment.MOST_PAIRS)
-    blob = lambda s: getattr(t, s).select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct("width", "height", "pixel_format", "encoding", "data").alias(s))
+    blob = lambda s: getattr(t, f"{s}_places").select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct(*kernels.PLACE).alias(s))
     rows = chosen.join(blob("color"), ["scan_id", "color_index"]).join(blob("depth"), ["scan_id", "depth_index"]).join(t.recordings.select("scan_id", "camera"), "scan_id")
     return kernels.alignment_report(kernels.alignment_fits(rows))
 

@@ -11,15 +11,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallaxis.sources import recording_tar
+
 from . import alignment, codec, image
 
+#: What a place of a frame consists of.
+PLACE = ("width", "height", "pixel_format", "encoding", "tar_path", "tar_offset", "stored_len")
 #: numpy types of stored pixels.
 TYPES = {"fdep": "<f4", "hdep": "<f2", "L008": "|u1"}
 
 
+def stored(row) -> bytes:
+    """A frame's bytes as they are stored: its data, or what lies at its place in the archive."""
+    if (data := getattr(row, "data", None)) is not None:
+        return bytes(data)
+    system, at = recording_tar.open_fs(row.tar_path)
+    with system.open_input_file(at) as f:
+        return f.read_at(int(row.stored_len), int(row.tar_offset))
+
+
 def pixels(row) -> np.ndarray:
     """The frame of a row of `blobs`, decoded if it is encoded."""
-    w, h, data = int(row.width), int(row.height), bytes(row.data)
+    w, h, data = int(row.width), int(row.height), stored(row)
     if row.pixel_format == "420f":
         return codec.decode_color(data, w, h) if row.encoding else np.frombuffer(data, dtype=np.uint8).reshape(h * 3 // 2, w)
     kind = np.dtype(TYPES[row.pixel_format])

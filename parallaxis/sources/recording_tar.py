@@ -7,7 +7,8 @@ Tables: recordings, frames, runs, values, calibrations, members, blobs. Only `bl
 frame bytes; every other table reads the small members alone. The driver lists archives and opens none: each is a partition, and for blobs
 each range of `bytesPerPartition` of its bytes is, whose task has the frames that begin in it. Conditions on columns other than
 nested ones are evaluated before a frame is read, where spark.sql.python.filterPushdown.enabled is true when load() is called; the options
-scan_id, member, stream and frames do the same in any case. `mode` PERMISSIVE gives unreadable archives a row of `recordings` with the
+scan_id, member, stream and frames do the same in any case. With the option content false, blobs have no data: they say where frames lie, so that
+joins carry places and the bytes are read by whoever needs them (kernels.frames.stored). `mode` PERMISSIVE gives unreadable archives a row of `recordings` with the
 reason in `corrupt`; FAILFAST (the default) raises. Paths may be on any file system that pyarrow knows. Written archives: archive_writer.
 """
 
@@ -42,8 +43,8 @@ TABLES = {
     "calibrations": "scan_id string, line_no int, frame_index int, ts double, calibration_json string",
     "members": """scan_id string, member string, stream string, tar_offset long, size long, frames int, frame_bytes long, encoding string, recorded_size long, recorded_sha256 string,
         stored_size_sum long, sha256 string""",
-    "blobs": """scan_id string, member string, stream string, frame_index int, width int, height int, pixel_format string, encoding string, raw_sha256 string, tar_offset long,
-        stored_len long, data binary""",
+    "blobs": """scan_id string, member string, stream string, frame_index int, width int, height int, pixel_format string, encoding string, raw_sha256 string, tar_path string,
+        tar_offset long, stored_len long, data binary""",
 }
 
 
@@ -128,6 +129,7 @@ class RecordingReader(DataSourceReader):
         self.path = options["path"]
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.measure = options.get("measure", "false").lower() == "true"
+        self.content = options.get("content", "true").lower() == "true"
         self.bytes = max(1, int(options.get("bytesperpartition") or options.get("bytesPerPartition") or 128 << 20))
         only = {c: set(options[c].split(",")) for c in ("scan_id", "member", "stream") if options.get(c)}
         if options.get("frames"):
@@ -205,9 +207,9 @@ class RecordingReader(DataSourceReader):
                 spans = s.spans()
                 for i in range(bisect_left(spans, (piece.first,)), bisect_left(spans, (piece.after,))):
                     offset, n = spans[i]
-                    r = own | {"frame_index": i, "raw_sha256": s.raw_sha256[i] if s.raw_sha256 else None, "tar_offset": offset, "stored_len": n}
+                    r = own | {"frame_index": i, "raw_sha256": s.raw_sha256[i] if s.raw_sha256 else None, "tar_path": piece.path, "tar_offset": offset, "stored_len": n}
                     if self.keeps(r):
-                        yield r | {"data": f.read_at(n, offset)}
+                        yield r | {"data": f.read_at(n, offset) if self.content else None}
 
 
 class FilteringReader(RecordingReader):

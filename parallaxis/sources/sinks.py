@@ -209,7 +209,7 @@ def panels(spark: SparkSession, path: str, box: int = 640) -> DataFrame:
 
     t, shown = report.tables(spark, path), rendered(spark, path)
     columns = shown.columns
-    blob = lambda s: getattr(t, s).select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct("width", "height", "pixel_format", "encoding", "data").alias(f"{s}_"))
+    blob = lambda s: getattr(t, f"{s}_places").select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct(*kernels.PLACE).alias(f"{s}_"))
     rows = shown.join(blob("color"), ["scan_id", "color_index"], "left").join(blob("depth"), ["scan_id", "depth_index"], "left")
     rows = rows.join(t.recordings.select("scan_id", F.col("ycbcr_matrix").alias("matrix_")), "scan_id").join(report.readings(t).select("scan_id", F.col("stretch").alias("ends_")), "scan_id", "left")
     more = {"near": "double", "far": "double", "valid_share": "double", "panel": "binary"}

@@ -153,3 +153,12 @@ def test_rules_of_table_archives(tmp_path, key, value):
 def test_a_table_archive_that_ends_within_a_frame(tmp_path):
     files = R.files_tables(7, "rear")
     assert "as long as its frames" in rejected(tmp_path, files | {"depth.bin": files["depth.bin"] + b"x"})
+
+
+def test_places_of_frames_are_where_their_bytes_lie(spark, tmp_path):
+    from parallaxis.kernels import frames
+
+    path = R.write(tmp_path, R.files_split("5.2", "rear"))
+    places = recording_tar.load(spark, path, "blobs", content="false").toPandas()
+    data = {(r.stream, r.frame_index): bytes(r.data) for r in recording_tar.load(spark, path, "blobs").collect()}
+    assert places["data"].isna().all() and {(r.stream, r.frame_index): frames.stored(r) for r in places.itertuples()} == data

@@ -40,7 +40,7 @@ LEXICON_WORDS = 40_000
 #: Longer words stay out of the lexicon.
 LEXICON_WORD_BYTES = 64
 #: A task's counts are passed on when it has seen so many words; a worker's memos have at most so many entries.
-COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 200_000, 150_000, 250_000
+COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 150_000, 100_000, 160_000
 OUT_BYTES = 2 << 20
 
 #: Fixed value: the pre-tokenizer's pattern for this vocabulary.

@@ -42,7 +42,7 @@ SAMPLE = (3_000, 1_500)
 #: For clean and for toxic documents.
 SAMPLE_CHARS = (16_000_000, 8_000_000)
 #: Words whose projected inputs a worker keeps; words and windows that are worked on at once.
-MEMO_WORDS, FLUSH_WORDS, RUN_WINDOWS = 80_000, 60_000, 1_024
+MEMO_WORDS, FLUSH_WORDS, RUN_WINDOWS = 60_000, 45_000, 1_024
 THRESHOLD = 0.7
 
 _PUNCTUATION = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))

@@ -38,10 +38,18 @@ class Tables:
     color_places: DataFrame
     depth_places: DataFrame
 
+    def release(self) -> None:
+        """Lets go of what tables() keeps."""
+        self.recordings.unpersist()
+        self.frames.unpersist()
 
-def tables(spark: SparkSession, path: str) -> Tables:
+
+def tables(spark: SparkSession, path: str, keep: bool = True) -> Tables:
+    """The tables of a report. Recordings and rows of frames, which most parts of a report read, are read once and kept, on disk where memory
+    is short, until release(), unless keep is false."""
     load = lambda t, **o: recording_tar.load(spark, path, t, **o)
-    return Tables(load("recordings"), load("frames"), load("runs"), load("calibrations"), load("members", measure="true"), *[load("blobs", stream=x) for x in ("color", "depth", "confidence")], *[load("blobs", stream=x, content="false") for x in ("color", "depth")])
+    kept = lambda df: df.persist() if keep else df
+    return Tables(kept(load("recordings")), kept(load("frames")), load("runs"), load("calibrations"), load("members", measure="true"), *[load("blobs", stream=x) for x in ("color", "depth", "confidence")], *[load("blobs", stream=x, content="false") for x in ("color", "depth")])
 
 
 def pairs(t: Tables) -> DataFrame:

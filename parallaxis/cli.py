@@ -33,6 +33,7 @@ def main(args: list[str] | None = None) -> int:
         for r in report.checks(t).orderBy("scan_id", "check_no").toLocalIterator():
             failed += not r.passed
             print(f"{r.scan_id} [{'PASS' if r.passed else 'FAIL'}] {r.name}")
+        t.release()
         return int(failed > 0)
     from parallaxis.sources import sinks
 

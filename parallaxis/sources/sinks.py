@@ -207,7 +207,7 @@ def panels(spark: SparkSession, path: str, box: int = 640) -> DataFrame:
     recording's readings), valid_share of the depth map, and panel, a PNG of both frames upright side by side over a legend."""
     from parallaxis.checks import report
 
-    t, shown = report.tables(spark, path), rendered(spark, path)
+    t, shown = report.tables(spark, path, keep=False), rendered(spark, path)
     columns = shown.columns
     blob = lambda s: getattr(t, f"{s}_places").select("scan_id", F.col("frame_index").alias(f"{s}_index"), F.struct(*kernels.PLACE).alias(f"{s}_"))
     rows = shown.join(blob("color"), ["scan_id", "color_index"], "left").join(blob("depth"), ["scan_id", "depth_index"], "left")

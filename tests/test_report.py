@@ -79,3 +79,14 @@ def test_statistics_of_a_front_table(spark, tmp_path):
     assert s.high is None and s.confidence is None and s.tracking is None and s.depth["count"] == 4 * R.DW * R.DH - 2
     assert s.lens_min == s.lens_max == 0.7 and s.latency_max == pytest.approx(0.05) and s.depth_bytes_per_row == [R.DW * 4]
     assert s.depth_dropped_by_reason == {"late_data": 1}
+
+
+def test_a_report_reads_rows_of_frames_once(spark, tmp_path):
+    path = R.write(tmp_path, R.files_split("5.2", "front"))
+    t = report.tables(spark, path)
+    try:
+        plan = report.checks(t)._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and t.frames.storageLevel.useDisk
+    finally:
+        t.release()
+    assert not t.frames.storageLevel.useMemory

@@ -105,9 +105,19 @@ def finished(wanted: DataFrame, memory: DataFrame, disk: DataFrame, underway: Da
 
 
 def progress(parts: DataFrame, sent: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of the bytes that are stored or sent so far. parts: keys, name, size, uploaded; sent: keys, name, bytes."""
-    from .joins import on_keys
-
-    rows = on_keys(parts, sent, [*keys, "name"], "left")
-    done = F.when(F.col("uploaded"), F.col("size")).otherwise(F.least(F.coalesce("bytes", F.lit(0)), F.col("size")))
-    return rows.groupBy(*keys).agg(F.try_divide(F.sum(done), F.sum("size")).alias("progress"))
+    """keys, started: whether parts that are stored or under way have bytes at all; progress: the share of the bytes that are
+    stored or sent so far, where there are none no number. parts: keys, name, size, uploaded; sent: keys, name, bytes.
+
+    Rows of one part add up; what was sent of stored or unknown parts doesn't count."""
+    rows = parts.select(*keys, "name", "size", "uploaded", F.lit(True).alias("part_")).unionByName(sent.select(*keys, "name", "bytes", F.lit(True).alias("sent_")), allowMissingColumns=True)
+    each = rows.groupBy(*keys, "name").agg(
+        F.sum("size").alias("size_"),
+        F.sum(F.when(F.col("uploaded"), F.col("size"))).alias("stored_"),
+        F.sum("bytes").alias("bytes_"),
+        *[F.bool_or(c).alias(c) for c in ("uploaded", "part_", "sent_")],
+    )
+    done = F.when(F.col("uploaded"), F.col("stored_")).otherwise(F.coalesce("bytes_", F.lit(0)))
+    begun = F.when(F.col("uploaded"), F.col("stored_")).when(F.col("sent_"), F.col("size_")).otherwise(0)
+    of = each.where("part_").groupBy(*keys).agg(F.sum(begun).alias("begun_"), F.sum(done).alias("done_"), F.sum("size_").alias("size_"))
+    share = F.when(F.col("size_") == 0, F.col("done_") * F.lit(float("inf"))).otherwise(F.try_divide("done_", "size_"))
+    return of.select(*keys, (F.col("begun_") > 0).alias("started"), share.alias("progress"))

@@ -424,13 +424,14 @@ def alignment_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, round(sum(CASE WHEN event_type = 'view' THEN value WHEN event_type = 'click' THEN value / 2 ELSE 0 END) / sum(value), 6) AS progress FROM events GROUP BY user_id""")
+SELECT user_id, sum(CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0 END) > 0 AS started, round(sum(CASE WHEN event_type = 'view' THEN value WHEN event_type = 'click' THEN value / 2 ELSE 0 END) / sum(value), 6) AS progress FROM events GROUP BY user_id""")
 def upload_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Acknowledged sizes and what of the others is under way, over all sizes."""
+    """Whether anything is acknowledged or under way; acknowledged sizes and what of the others is under way, over all sizes."""
     e = events(spark, d)
-    parts = e.select("user_id", F.col("event_id").alias("name"), F.col("value").alias("size"), (F.col("event_type") == "view").alias("uploaded"))
-    sent = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("name"), (F.col("value") / 2).alias("bytes"))
-    return capture.progress(parts, sent, ["user_id"]).select("user_id", F.round("progress", 6).alias("progress"))
+    name = F.struct("event_type", "event_id").alias("name")
+    parts = e.select("user_id", name, F.col("value").alias("size"), (F.col("event_type") == "view").alias("uploaded"))
+    sent = e.where("event_type = 'click'").select("user_id", name, (F.col("value") / 2).alias("bytes"))
+    return capture.progress(parts, sent, ["user_id"]).select("user_id", "started", F.round("progress", 6).alias("progress"))
 
 
 @query("""

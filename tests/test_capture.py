@@ -39,3 +39,29 @@ def test_gallery_and_progress(spark):
     parts = spark.createDataFrame([("u", "x", 60, True), ("u", "y", 40, False)], "k string, name string, size long, uploaded boolean")
     sent = spark.createDataFrame([("u", "y", 20)], "k string, name string, bytes long")
     assert capture.progress(parts, sent, ["k"]).first().progress == 0.8
+
+
+def test_upload_progress_is_its_sql(spark, tmp_path):
+    """With repeated rows, nulls, sizes below 0 and recordings without bytes, of which only some have started."""
+    import duckdb
+
+    from parallaxis.plans import recordings_on_events as plans
+
+    rows = [(1, 1, "view", 3.0), (2, 1, "click", 4.0), (2, 1, "click", 4.0), (2, 1, "error", 4.0), (3, 2, "error", 5.0), (4, 3, "view", 0.0), (5, 4, "click", None), (6, 5, "view", 3.0), (7, 5, "click", -4.0), (8, 5, "error", -1.0)]
+    rows += [(9, None, None, 2.0), (None, None, "click", 1.0), (None, None, "click", 2.0), (10, 6, "view", float("nan")), (11, 7, "view", 1.0), (12, 7, "error", -1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp'2026-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(plans.ORACLES["upload_progress"]).fetchall()
+    got = plans.upload_progress(spark, str(tmp_path))
+    assert got.columns == ["user_id", "started", "progress"]
+    of = lambda found: sorted(str(tuple(r)).replace("-nan", "nan") for r in found)
+    assert of(got.collect()) == of(want)
+    assert {r.user_id: r.started for r in got.collect()} == {1: True, 2: False, 3: False, 4: None, 5: False, None: True, 6: True, 7: True}
+
+
+def test_progress_counts_a_part_once(spark):
+    parts = spark.createDataFrame([("u", "x", 60, True), ("u", "y", 40, False), ("v", "x", 10, False), ("w", "x", 0, False)], "k string, name string, size long, uploaded boolean")
+    sent = spark.createDataFrame([("u", "x", 60), ("u", "y", 15), ("u", "y", 5), ("u", "z", 9), ("q", "x", 1)], "k string, name string, bytes long")
+    got = {r.k: (r.started, str(r.progress)) for r in capture.progress(parts, sent, ["k"]).collect()}
+    assert got == {"u": (True, "0.8"), "v": (False, "0.0"), "w": (False, "nan")}

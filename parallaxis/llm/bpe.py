@@ -19,7 +19,6 @@ import heapq
 import json
 import mmap
 import os
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,17 +38,20 @@ from .common import fresh_path, pick, resident, text_batches, written
 LEXICON_WORDS = 40_000
 #: Longer words stay out of the lexicon.
 LEXICON_WORD_BYTES = 64
-#: A task's counts are passed on when it has seen so many words; a worker's memos have at most so many entries.
-COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 200_000, 150_000, 250_000
-OUT_BYTES = 2 << 20
+#: A task adds up the counts of its runs of texts when they have so many pieces, and passes them on if half as many are different;
+#: a worker's memos have at most so many entries.
+COUNTED_AT_ONCE, MEMO_WORDS, MEMO_CHUNKS = 800_000, 150_000, 400_000
 
 #: Fixed value: the pre-tokenizer's pattern for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-#: White space but for the space and the line feed.
-RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-ODD_SPACE = re.compile(r" \s|\s ").search
+#: White space of Python or of the pattern, as RE2 (Arrow's regular expressions) has it in a class.
+SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]"
+#: A space next to other white space.
+ODD_SPACE = f" {SPACE}|{SPACE} "
+#: Chunks that are sure to be one piece of the pattern with the space before them: letters of old blocks only.
+ONE_WORD = r"\A[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha()) + r"]+\z"
 
 
 def _byte_chars() -> dict[str, int]:
@@ -63,6 +65,19 @@ def _byte_chars() -> dict[str, int]:
     return table
 
 
+def flat(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words in a row, and where each one's begin and end."""
+    _, ends, raw = words.buffers()
+    at = np.frombuffer(ends, dtype=np.int64, count=len(words) + 1, offset=8 * words.offset) if len(words) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+    return raw, at - at[0]
+
+
+def listed(values: pa.Array | pa.ChunkedArray) -> list:
+    """The same as to_pylist(), in a fraction of its time."""
+    return values.to_numpy(zero_copy_only=False).tolist() if isinstance(values, pa.Array) else values.to_numpy().tolist()
+
+
 class PairTable:
     """Ranks of pairs of ids for whole arrays: two hash tables, each key in one of them (cuckoo hashing)."""
 
@@ -73,7 +88,7 @@ class PairTable:
         bits = max(self.BITS, len(rank).bit_length() + 1)
         self.shift, self.none = np.uint64(64 - bits), none
         self.keys = np.full((2, 1 << bits), np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.ranks = np.full((2, 1 << bits), none, dtype=np.int64)
+        self.ranks = np.full((2, 1 << bits), none, dtype=np.int32)
         every = np.fromiter(rank, dtype=np.uint64, count=len(rank))
         value = np.fromiter(rank.values(), dtype=np.int64, count=len(rank))
         at = [self._place(every, t).tolist() for t in (0, 1)]
@@ -127,6 +142,7 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: PairTable | None = None
+        self.token_bytes: pa.Array | None = None
         self.table = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
 
     def merge(self, word: bytes) -> list[int]:
@@ -165,38 +181,43 @@ class ByteBpe:
                 heapq.heappush(heap, (r, p, ids[p], new))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
-    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def merge_many(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, where each word's begin and end), none empty. Each round merges the first best pair of
         every word that still has one, so it is the same as merge() for each of them."""
         if self.pairs is None:
-            self.pairs, self.byte_ids, self.made_ids = PairTable(self.rank, len(self.made)), np.array(self.byte), np.array([*self.made, -1])
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ids = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        owner, none = np.repeat(np.arange(len(words)), lengths), len(self.made)
-        rank = np.full(len(ids), none)
-        rank[:-1] = np.where(owner[1:] == owner[:-1], self.pairs.of(ids[:-1], ids[1:]), none)
+            self.pairs, self.byte_ids, self.made_ids = PairTable(self.rank, len(self.made)), np.array(self.byte, dtype=np.int32), np.array([*self.made, -1], dtype=np.int32)
+            every = np.arange(1 << 16)
+            self.byte_ranks = self.pairs.of(self.byte_ids[every >> 8], self.byte_ids[every & 255])
+        raw, at = flat(words)
+        lengths, none = np.diff(at), len(self.made)
+        ids, owner = self.byte_ids[raw], np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        rank = np.full(len(ids), none, dtype=np.int32)
+        rank[:-1] = self.byte_ranks[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        rank[at[1:] - 1] = none
         done_ids, done_owner = [], []
         while len(ids):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
+            lengths, least = np.diff(np.r_[starts, len(ids)]), np.minimum.reduceat(rank, starts)
+            best = np.repeat(least, lengths)
             over = best == none
             if over.any():
                 done_ids.append(ids[over])
                 done_owner.append(owner[over])
-                ids, owner, rank, best = ids[~over], owner[~over], rank[~over], best[~over]
-                if not len(ids):
-                    break
-            hit = np.flatnonzero(rank == best)
-            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
+            hit = np.flatnonzero((rank == best) & ~over)
+            hit = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]] if len(hit) else hit
             ids[hit] = self.made_ids[best[hit]]
-            keep = np.ones(len(ids), dtype=bool)
-            keep[hit + 1] = False
-            at = hit - np.arange(len(hit))  # where the merged pairs are once their second halves are gone
-            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            over[hit + 1] = True  # with the words that are done, the second halves go
+            kept = np.flatnonzero(~over)
+            at = np.searchsorted(kept, hit)  # where the merged pairs are then
+            ids, owner, rank = ids[kept], owner[kept], rank[kept]
             for i in (at, at - 1):
                 i = i[(i >= 0) & (i + 1 < len(ids))]
-                rank[i] = np.where(owner[i] == owner[i + 1], self.pairs.of(ids[i], ids[i + 1]), none)
-            rank[-1] = none
+                same = owner[i] == owner[i + 1]
+                rank[i[~same]] = none
+                i = i[same]
+                rank[i] = self.pairs.of(ids[i], ids[i + 1])
+            if len(rank):
+                rank[-1] = none
         ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
         by = np.argsort(owner, kind="stable")
         return ids[by].astype(np.int32), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
@@ -212,17 +233,38 @@ class ByteBpe:
             elif piece:
                 yield None, piece
 
-    @staticmethod
-    def chunks(text: str) -> list[str] | None:
-        """A text cut at its spaces, which are left out; None if it has a space next to other white space.
+    def plain(self, texts: pa.Array) -> pa.Array:
+        """Whether a text may be cut at its spaces: if it has no special token and no space next to other white space.
 
         No piece of the pattern goes on across a space that has no white space beside it, and none looks back, so the
         text's pieces are those of its first chunk and of every other one with a space before it."""
-        if any(c in text for c in RARE_SPACES):
-            odd = ODD_SPACE(text) is not None
-        else:
-            odd = "  " in text or " \n" in text or "\n " in text
-        return None if odd else text.split(" ")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        return pc.invert(odd)
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray]:
+        """Of each text its head: the first chunk, or all of one that isn't plain; the other chunks of all texts; and where
+        chunks of each text, its head with them, begin and end, and which of them are heads."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = self.plain(texts)
+        parts = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        chunks, at = parts.flatten(), np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))]
+        head = np.zeros(len(chunks), dtype=bool)
+        head[at[:-1]] = True
+        heads = listed(pc.if_else(plain, chunks.filter(pa.array(head)), texts))
+        return heads, chunks.filter(pa.array(~head)), at, head
+
+    def texts_of(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts whose ids begin and end at such places, made from the ids alone: their tokens' bytes in a row."""
+        if self.token_bytes is None:
+            self.token_bytes = pa.array(self.table, pa.large_binary())
+        raw, ends = flat(self.token_bytes.take(pa.array(ids)))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends[at]), pa.py_buffer(raw)])
+        try:
+            return found.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no characters
+            return pa.array([t.decode("utf-8", "replace") for t in found.to_pylist()], pa.string())
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
@@ -313,8 +355,7 @@ class Lexicon:
     def packed(self, number: int) -> bytes:
         return self.ids[self.ids_at[number] : self.ids_at[number + 1]].tobytes()
 
-
-    def find_many(self, words: list[bytes]) -> np.ndarray:
+    def find_many(self, words: list[bytes] | pa.LargeBinaryArray) -> np.ndarray:
         """The number of each word, -1 of those that aren't there: all words take a step at a time."""
         if self.arcs is None:
             start = np.array(self.start, dtype=np.int64)
@@ -322,10 +363,10 @@ class Lexicon:
             self.arcs = np.repeat(np.arange(len(start) - 1), np.diff(start)) * 256 + labels
             self.to, self.out = np.array(self.target, dtype=np.int64), np.array(self.output, dtype=np.int64)
         found = np.full(len(words), -1)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         if not len(self.arcs) or not len(words):
             return found
-        raw, at = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8), np.cumsum(lengths) - lengths
+        raw, at = flat(words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary()))
+        lengths, at = np.diff(at), at[:-1]
         live, state, number = np.arange(len(words)), np.full(len(words), self.root, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         finals = np.frombuffer(self.map, dtype=np.uint8, count=len(self.start) - 1, offset=self.final)
         for k in range(int(lengths.max()) + 1):
@@ -354,11 +395,6 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
-def one_word(chunk: str) -> bool:
-    """Whether a chunk is sure to be one piece of the pattern with the space before it: letters of old blocks only."""
-    return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250")
-
-
 class Encoder:
     """Encodes texts with memos of words and of chunks (words with a space before them and what follows), both bounded:
     one that is full is emptied. What a run of texts has and the memos lack is looked up and merged all at once."""
@@ -368,77 +404,61 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _packed(self, words: list[str]) -> list[bytes]:
+    def _packed(self, words: pa.Array) -> list[bytes]:
         """Packed ids of words, from the lexicon or merged."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(raw)
-        short = [i for i, r in enumerate(raw) if len(r) <= LEXICON_WORD_BYTES]
-        number = self.lexicon.find_many([raw[i] for i in short]).tolist()
-        rest = []
-        for i, n in zip(short, number, strict=True):
-            if n < 0:
-                rest.append(i)
-            else:
-                out[i] = self.lexicon.packed(n)
-        if rest:
-            ids, at = self.bpe.merge_many([raw[i] for i in rest])
+        words = words.cast(pa.large_binary())
+        size, out = pc.binary_length(words).to_numpy(), np.empty(len(words), dtype=object)
+        short, long = np.flatnonzero(size <= LEXICON_WORD_BYTES), np.flatnonzero(size > LEXICON_WORD_BYTES)
+        number = self.lexicon.find_many(words.take(pa.array(short)))
+        known, rest = number >= 0, short[number < 0]
+        out[short[known]] = list(map(self.lexicon.packed, number[known].tolist()))
+        if len(rest):
+            ids, at = self.bpe.merge_many(words.take(pa.array(rest)))
             data, at = ids.tobytes(), (4 * at).tolist()
-            for i, a, b in zip(rest, at, at[1:], strict=False):
-                out[i] = data[a:b]
-        if len(short) < len(raw):
-            for i, r in enumerate(raw):
-                if len(r) > LEXICON_WORD_BYTES:
-                    out[i] = array("i", self.bpe.merge(r)).tobytes()
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids (int32) of each text."""
+            out[rest] = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        out[long] = [array("i", self.bpe.merge(w)).tobytes() for w in listed(words.take(pa.array(long)))]
+        return out.tolist()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and end)."""
         with uncollected():
             return self._encode(texts)
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split, plans, chunks, words = self.bpe.split, [], set(), set()
-        for text in texts:
-            plan = []
-            for special, part in self.bpe.parts(text or ""):
-                if special is not None:
-                    plan.append((array("i", [special]).tobytes(), None, None))
-                    continue
-                cut = ByteBpe.chunks(part)
-                first = split(part if cut is None else cut[0])
-                words.update(first)
-                if cut is not None:
-                    del cut[0]
-                    chunks.update(cut)
-                plan.append((None, first, cut))
-            plans.append(plan)
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split, words = self.bpe.split, set()
+        heads, others, at, head = self.bpe.cut(texts)
+        plans = [[(special, split(part)) for special, part in self.bpe.parts(text)] for text in heads]
+        for plan in plans:
+            for _, pieces in plan:
+                words.update(pieces)
+        coded = others.dictionary_encode()
+        chunks = listed(coded.dictionary)
         if len(self.chunks) + len(chunks) > MEMO_CHUNKS:
             self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
-        new = chunks.difference(self.chunks)
-        whole = [c for c in new if one_word(c)]
-        pieces = {c: split(" " + c) for c in new.difference(whole)}
+        new = [i for i, c in enumerate(chunks) if c not in self.chunks]
+        asked = coded.dictionary.take(pa.array(new, pa.int64()))
+        one = pc.match_substring_regex(asked, ONE_WORD)
+        whole = asked.filter(one)
+        pieces = {c: split(" " + c) for c in listed(asked.filter(pc.invert(one)))}
         for p in pieces.values():
             words.update(p)
         if len(self.words) + len(words) > MEMO_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
         fresh = list(words.difference(self.words))
-        packed = self._packed(fresh + [" " + c for c in whole])
+        packed = self._packed(pa.concat_arrays([pa.array(fresh, pa.string()), pc.binary_join_element_wise("", whole, " ")]))
         self.words.update(zip(fresh, packed, strict=False))
-        self.chunks.update(zip(whole, packed[len(fresh) :], strict=True))
+        self.chunks.update(zip(listed(whole), packed[len(fresh) :], strict=True))
         word, chunk = self.words.__getitem__, self.chunks
         for c, p in pieces.items():
             chunk[c] = b"".join(map(word, p))
-        out = []
+        values = list(map(chunk.__getitem__, chunks))
         for plan in plans:
-            ids = []
-            for special, first, cut in plan:
-                if special is not None:
-                    ids.append(special)
-                else:
-                    ids += map(word, first)
-                    ids += map(chunk.__getitem__, cut or ())
-            out.append(b"".join(ids))
-        return out
+            values.append(b"".join([array("i", [special]).tobytes() if special is not None else b"".join(map(word, p)) for special, p in plan]))
+        place = np.empty(len(head), dtype=np.int64)
+        place[head] = len(chunks) + np.arange(len(heads))
+        place[~head] = coded.indices.to_numpy()
+        raw, ends = flat(pa.array(values, pa.large_binary()).take(pa.array(place)))
+        return raw.view(np.int32), ends[at] // 4
 
 
 def _worker_bpe(file: str) -> ByteBpe:
@@ -462,37 +482,55 @@ def _runs(texts: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
         yield slice(first, len(size))
 
 
+def added_up(counts: list[pa.Table]) -> pa.Table:
+    """word, n: the sum of several such tables."""
+    return pa.TableGroupBy(pa.concat_tables(counts), "word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
+def counted(batches: Iterable[pa.RecordBatch], bpe: ByteBpe) -> Iterator[pa.RecordBatch]:
+    """word, n of the texts in the first column; a word has a row each time that counts are passed on."""
+    seen, counts, size = Counter(), [], 0
+
+    def passed_on() -> pa.Table:
+        nonlocal counts, size
+        chunks = added_up([pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), *counts])
+        one = pc.match_substring_regex(chunks["word"], ONE_WORD)
+        with uncollected():
+            for chunk, n in zip(*map(listed, chunks.filter(pc.invert(one)).columns), strict=True):
+                for word in bpe.split(" " + chunk):
+                    seen[word] += n
+        whole = chunks.filter(one)
+        words = pa.table({"word": pc.binary_join_element_wise("", whole["word"], " "), "n": whole["n"]})
+        others = pa.table({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        seen.clear()
+        counts, size = [], 0
+        return added_up([words, others]).combine_chunks()
+
+    for batch in batches:
+        for some in _runs(batch.column(0)):
+            heads, others, _, _ = bpe.cut(batch.column(0)[some])
+            with uncollected():
+                for head in heads:
+                    for special, part in bpe.parts(head):
+                        if special is None:
+                            seen.update(bpe.split(part))
+            found = pc.value_counts(others)
+            counts.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            size += len(found)
+            if size + len(seen) > COUNTED_AT_ONCE:
+                counts = [added_up(counts)]
+                size = len(counts[0])
+                if size + len(seen) > COUNTED_AT_ONCE // 2:
+                    yield from passed_on().to_batches()
+    yield from passed_on().to_batches()
+
+
 def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     """word, n over all documents. Every task adds up its own words before they are shuffled."""
     file = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, chunks = _worker_bpe(file.value), Counter(), Counter()
-
-        def passed_on() -> pa.RecordBatch:
-            with uncollected():
-                for chunk, n in chunks.items():
-                    for word in (" " + chunk,) if one_word(chunk) else bpe.split(" " + chunk):
-                        seen[word] += n
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-            seen.clear()
-            chunks.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0):
-                with uncollected():
-                    for special, part in bpe.parts(text.as_py() or ""):
-                        if special is not None:
-                            continue
-                        if (cut := bpe.chunks(part)) is None:
-                            seen.update(bpe.split(part))
-                        else:
-                            seen.update(bpe.split(cut[0]))
-                            chunks.update(cut[1:])
-                if len(seen) + len(chunks) > COUNTED_AT_ONCE:
-                    yield passed_on()
-        yield passed_on()
+        return counted(batches, _worker_bpe(file.value))
 
     return text_batches(pick(docs, "text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -537,31 +575,13 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(file.value, lexicon)
-        table = encoder.bpe.table
-        keys, packed, texts, size = [], [], [], 0
-
-        def passed_on() -> pa.RecordBatch:
-            nonlocal keys, packed, texts, size
-            at = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
-            columns = {"doc_id": pa.array(keys, pa.int64()), "ids": ids}
-            if decoded:
-                columns["decoded"] = pa.array(texts, pa.string())
-            keys, packed, texts, size = [], [], [], 0
-            return pa.RecordBatch.from_pydict(columns)
-
         for batch in batches:
             for some in _runs(batch.column(1)):
-                texts_in = batch.column(1)[some].to_pylist()
-                for ids in encoder.encode(texts_in):
-                    packed.append(ids)
-                    size += len(ids)
-                    if decoded:
-                        texts.append(b"".join(map(table.__getitem__, np.frombuffer(ids, dtype=np.int32).tolist())).decode("utf-8", "replace"))
-                keys += batch.column(0)[some].to_pylist()
-                if size > OUT_BYTES:
-                    yield passed_on()
-        yield passed_on()
+                ids, at = encoder.encode(batch.column(1)[some])
+                columns = {"doc_id": batch.column(0)[some], "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))}
+                if decoded:
+                    columns["decoded"] = encoder.bpe.texts_of(ids, at)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return text_batches(pick(docs, "doc_id", "text")).mapInArrow(run, schema)
 

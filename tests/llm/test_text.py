@@ -7,6 +7,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,37 @@ def test_bpe_of_nothing(spark):
     assert bpe.round_trip(documents(spark, []), tokenizer_path()).count() == 0
 
 
+def test_runs_of_texts_are_the_library_s(tokenizer, tmp_path):
+    """Whole runs without Spark, in Arrow arrays, with every kind of white space beside others and alone."""
+    from tokenizers import Tokenizer
+
+    spaces, rng = [c for c in map(chr, range(0x3001)) if c.isspace()], random.Random(3)
+    parts = ["a", "Wörter", "don't", "ɐ", "ɏ", "12", "x\ny", "<|endoftext|>", "z" * 70, "漢字", "\x00", "\ufeff", "\u200b", " ", " ", " ", *spaces]
+    texts = [*odd_texts(), *["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(2_000)]]
+    coder, library = bpe.ByteBpe(tokenizer), Tokenizer.from_file(tokenizer_path())
+    (tmp_path / "lexicon").write_bytes(bpe.build_lexicon({w: coder.merge(w) for w in (b" a", b" 12", "Wörter".encode())}))
+    encoder = bpe.Encoder(coder, bpe.Lexicon(str(tmp_path / "lexicon")))
+    for first in range(0, len(texts), 500):
+        some = pa.array(["left out", *texts[first : first + 500]], pa.string())[1:]
+        ids, at = encoder.encode(some)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts[first : first + 500]]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+        assert coder.texts_of(ids, at).to_pylist() == [library.decode(w, skip_special_tokens=False) for w in want]
+    half = [i for i, t in coder.token.items() if t == b"\xc3"]
+    assert coder.texts_of(np.array(half * 2, dtype=np.int32), np.array([0, 1, 1, 2])).to_pylist() == ["\ufffd", "", "\ufffd"]
+
+
+def test_words_of_a_task_are_counted_once(tokenizer):
+    """300,000 words in eight batches give a row each, where they gave one in every part that was passed on."""
+    from collections import Counter
+
+    coder, text = bpe.ByteBpe(tokenizer), " ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(300_000))
+    batches = [pa.record_batch([pa.array([text, None, "a  b <|endoftext|> it's", "a"])], names=["text"])] * 8
+    rows = [r for b in bpe.counted(batches, coder) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = Counter(w for t in (text, "a  b ", " it's", "a") for w in coder.split(t))
+    assert len(rows) == len(want) and dict(rows) == {w: 8 * n for w, n in want.items()}
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w: [len(w), i] for i, w in enumerate(sorted({a + b + c for a in (b"x", b"yy", b"") for b in (b"work", b"talk") for c in (b"", b"s", b"ed", b"ing")}))}
     path = tmp_path / "lexicon"
